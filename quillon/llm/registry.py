@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from quillon.llm import exact_dedup, mixing
+from quillon.llm import exact_dedup, mixing, packing, token_files
 
 QUERIES = {
+    "op3_token_files": token_files.op3_token_files,
+    "op6_pack": packing.op6_pack,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
