@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillon.llm import exact_dedup, mixing, packing, token_files
+from quillon.llm import exact_dedup, language_id, mixing, packing, token_files
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op3_token_files": token_files.op3_token_files,
     "op6_pack": packing.op6_pack,
     "op9_mix_sources": mixing.op9_mix_sources,
