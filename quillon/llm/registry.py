@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillon.llm import exact_dedup, language_id, mixing, packing, token_files, toxicity
+from quillon.llm import chat, exact_dedup, language_id, mixing, packing, token_files, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op2_format_chat": chat.op2_format_chat,
     "op3_token_files": token_files.op3_token_files,
     "op6_pack": packing.op6_pack,
     "op7_toxicity": toxicity.op7_toxicity,

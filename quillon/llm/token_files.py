@@ -56,7 +56,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end:
     A null text counts as empty, so its document is the end id alone. Null doc_ids come first; rows repeated with one doc_id
     follow each other by text. An empty table writes files without rows. Texts move once, before they are encoded.
     """
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     (
         ordered.mapInArrow(_encode(tokenizer or default_tokenizer(), end), SCHEMA)
         .write.option("compression", "zstd")
