@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -94,66 +95,91 @@ def window_hashes(words: np.ndarray, width: int, seed: int) -> np.ndarray:
     return mix(total)
 
 
+def byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: printable ones as themselves, the others in order from code point 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class Bounded(dict):
+    """A cache that fills up to a size, keeps what came first (the frequent), and starts anew after many misses."""
+
+    def __init__(self, find, size: int):
+        self.find, self.size, self.missed = find, size, 0
+
+    def __missing__(self, key):
+        value = self.find(key)
+        if len(self) < self.size:
+            self[key] = value
+        else:
+            self.missed += 1
+            if self.missed > 4 * self.size:
+                self.clear()
+                self.missed = 0
+        return value
+
+
 class Tokens:
     """Token ids of whole texts by the tokenizers library.
 
-    The pre-tokenizer never joins a visible character with the white space after it, so a text's ids are the ids of its
-    pieces " word" and "\\nword" one after the other. Each distinct piece goes through the library once and is remembered
-    (up to CACHE pieces). A text in which white space is anything else than single spaces and newlines between visible
-    characters goes through the library whole.
+    For a byte-level pre-tokenizer: it never joins a visible character with the white space after it, so a text's ids are
+    the ids of its pieces " word" and "\\nword" one after the other; nor a letter with the
+    signs after it. Letters, after a space or not, are one pre-token and so is a run of signs, so the library's model is
+    asked for these directly; any other piece goes through the whole library. Pieces and words are remembered, up to CACHE each. A text in which white space is anything
+    else than single spaces and newlines between visible characters goes through the library whole, and so do all texts
+    of other tokenizers.
     """
 
+    SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+
     def __init__(self, path: str):
+        import json
+
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.wide = self.library.get_vocab_size() > 1 << 16
-        self.dtype = np.uint32 if self.wide else np.uint16
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        encode = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
-        return [np.asarray(e.ids, self.dtype).tobytes() for e in encode(texts, add_special_tokens=False)]
+        self.dtype = np.uint32 if self.library.get_vocab_size() > 1 << 16 else np.uint16
+        said = json.loads(self.library.to_str())
+        kind = said.get("pre_tokenizer") or {}
+        self.split = kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space") and said.get("normalizer") is None and said["model"]["type"] == "BPE"
+        self.code = "I" if self.dtype == np.uint32 else "H"
+        self.model, self.letters = self.library.model, byte_letters()
+        self.pieces, self.words = Bounded(self._piece, CACHE), Bounded(self._word, CACHE)
+        self.line = self._whole("\n")
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        # "\x00" marks a text's first word, "\n" a line's; other pieces have had a space before them
+        lead = piece[0]
+        word = piece[1:] if lead == "\x00" or lead == "\n" else " " + piece
+        bare = word.rstrip(self.SIGNS)
+        if bare.lstrip(" ").isalpha():
+            ids = self.words[bare]
+            if len(bare) < len(word):
+                ids += self.words[word[len(bare) :]]
+        else:
+            ids = self._whole(word)
+        return self.line + ids if lead == "\n" else ids
 
     def of(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null counts as empty."""
-        split, whole = [], {}
-        for i, text in enumerate(texts):
-            text = text or ""
-            marked = text.replace("\n", " \n")
-            words = marked.split(" ")
-            # pieces keep a leading mark: "\n" for a line's first word, " " for other words, none for the text's first
-            plain = text == "" or (
-                "" not in words and "\n" not in words and "\x00" not in text and len(text.split()) == len(words) and not text[0].isspace() and not text[-1].isspace()
+        out, get = [], self.pieces.__getitem__
+        for text in texts:
+            words = text.replace("\n", " \n").split(" ") if text else []
+            plain = not text or (
+                self.split and "" not in words and "\n" not in words and "\x00" not in text and len(text.split()) == len(words) and not text[0].isspace() and not text[-1].isspace()
             )
-            if plain:
-                split.append(words if text else [])
-            else:
-                split.append(None)
-                whole[i] = text
-        wanted: set[str] = set()
-        firsts = {}
-        for i, words in enumerate(split):
-            if words:
-                firsts[i] = "\x00" + words[0]
-                words[0] = firsts[i]
-                wanted.update(words)
-        missing = [w for w in wanted if w not in self.known]
-        local = {}
-        for a in range(0, len(missing), 4096):
-            some = missing[a : a + 4096]
-            asked = [w[1:] if w[0] == "\x00" else w if w[0] == "\n" else " " + w for w in some]
-            local.update(zip(some, self._encode(asked), strict=True))
-        if len(self.known) + len(local) > CACHE:
-            # start again with what this run of texts needs
-            kept = {w: self.known[w] for w in wanted if w in self.known}
-            self.known = kept
-        self.known.update(local)
-        order = list(whole)
-        entire = dict(zip(order, self._encode([whole[i] for i in order]), strict=True)) if order else {}
-        get = self.known.__getitem__
-        return [np.frombuffer(entire[i] if words is None else b"".join(map(get, words)), self.dtype) for i, words in enumerate(split)]
+            if plain and text:
+                words[0] = "\x00" + words[0]
+            out.append(np.frombuffer(b"".join(map(get, words)) if plain else self._whole(text), self.dtype))
+        return out
 
 
 def default_tokenizer() -> str:
