@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import chat, exact_dedup, gif, language_id, mixing, packing, token_files, toxicity
+from quillon.llm import chat, exact_dedup, gif, language_id, mixing, packing, passages, token_files, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_gif_media": gif.op5_gif_media,
     "op6_pack": packing.op6_pack,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_strip_repeats": passages.op8_strip_repeats,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
