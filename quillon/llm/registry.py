@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillon.llm import chat, exact_dedup, gif, language_id, mixing, packing, passages, token_files, toxicity
+from quillon.llm import chat, exact_dedup, gif, jaccard, language_id, mixing, packing, passages, token_files, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_format_chat": chat.op2_format_chat,
     "op3_token_files": token_files.op3_token_files,
+    "op4_jaccard_components": jaccard.op4_jaccard_components,
     "op5_gif_media": gif.op5_gif_media,
     "op6_pack": packing.op6_pack,
     "op7_toxicity": toxicity.op7_toxicity,
