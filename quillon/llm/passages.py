@@ -3,10 +3,10 @@
 1. Every partition hashes all its windows into ROWS rows of 2**WIDTH_BITS saturating counters (none, one, more) and
    emits them sparsely, by chunk; chunks merge across partitions, so counts are only ever overestimated. What is kept of
    a merged chunk is a bit for each counter that reached two: a fixed size at any input, known before (ROWS * 2**WIDTH_BITS / 8 bytes).
-2. A second pass emits exactly those windows of which all counters reached two: none that repeats is lost. They are
-   grouped exactly, by 96 bits of hash, by sorting them with their documents in ranges of (hash, doc_id). A window that
-   a third of all documents have spreads over many ranges; the range that continues a window's run learns from its
-   predecessor's last row that a smaller document has it.
+2. A second pass takes exactly those windows of which all counters reached two: none that repeats is lost. They are
+   grouped exactly, by 96 bits of hash. A partition settles what it can by itself: only a window's smallest document
+   there goes on, so a window that a third of all documents have is a few rows a partition. The others are compared
+   with the smallest document of all partitions.
 3. Positions to remove go back to their documents' whole texts, which are judged as they were.
 
 The more windows there are for each counter, the more single ones pass step 1; the result is the same.
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillon.llm.common import WordHashes, as_bytes, cut, mix, pieces_of, table, window_hashes
@@ -32,6 +32,8 @@ ROWS = 2
 CHUNK_BITS = 20
 SEEDS = (11, 12)
 RUN_BYTES = 4 << 20
+#: Windows that a partition holds at once in either pass.
+HELD = 4_000_000
 
 
 def _words(part: pa.RecordBatch, hashes: WordHashes) -> tuple[list[list[bytes]], list[np.ndarray]]:
@@ -56,7 +58,7 @@ def cells(windows: np.ndarray, row: int, bits: int) -> np.ndarray:
 
 def _deltas(places: np.ndarray) -> bytes:
     """Sorted distinct places as gaps, a byte each; 255 adds 255 and goes on."""
-    gaps = np.diff(places, prepend=-1) - 1
+    gaps = np.diff(places.astype(np.int64), prepend=-1) - 1
     long = gaps // 255
     out = np.full(len(gaps) + int(long.sum()), 255, np.uint8)
     out[np.cumsum(long + 1) - 1] = gaps % 255
@@ -70,50 +72,37 @@ def _places(deltas: bytes) -> np.ndarray:
     return total[ends] + np.arange(ends.sum())
 
 
-def _set(bits: np.ndarray, cell: np.ndarray) -> None:
-    """Sets the bits of sorted cells."""
-    if len(cell):
-        byte = cell >> 3
-        first = np.flatnonzero(np.concatenate([[True], byte[1:] != byte[:-1]]))
-        bits[byte[first]] |= np.bitwise_or.reduceat((1 << (cell & 7)).astype(np.uint8), first)
-
-
-class Counters:
-    """One row's counters of a partition: bits for 'once or more' and 'more than once'."""
-
-    def __init__(self, bits: int):
-        self.once, self.more = np.zeros(1 << (bits - 3), np.uint8), np.zeros(1 << (bits - 3), np.uint8)
-
-    def add(self, cell: np.ndarray) -> None:
-        if not len(cell):
-            return
-        cell = np.sort(cell)
-        same = cell[1:] == cell[:-1]
-        again, cell = cell[1:][same], cell[np.concatenate([[True], ~same])]
-        seen = cell[(self.once[cell >> 3] >> (cell & 7).astype(np.uint8) & 1) > 0]
-        _set(self.once, cell)
-        _set(self.more, again)
-        _set(self.more, seen)
-
-    def chunks(self) -> Iterator[tuple[int, bytes, bytes]]:
-        size = 1 << (CHUNK_BITS - 3)
-        for k in range(0, max(1, len(self.once) // size)):
-            once, more = (np.flatnonzero(np.unpackbits(x[k * size : (k + 1) * size], bitorder="little")) for x in (self.once, self.more))
-            if len(once):
-                yield k, _deltas(once), _deltas(more)
+def _chunks(row: int, cell: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row's counters of some windows, by chunk: the counters that are not 0 and those over 1."""
+    cell = np.sort(cell)
+    new = np.concatenate([[True], cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    more = cell[at[np.diff(np.append(at, len(cell))) > 1]]
+    once = cell[at]
+    edges = np.unique(once >> CHUNK_BITS)
+    bounds = edges.astype(np.int64) << CHUNK_BITS
+    size = 1 << CHUNK_BITS
+    first, first_more = np.searchsorted(once, bounds), np.searchsorted(more, bounds)
+    last, last_more = np.searchsorted(once, bounds + size), np.searchsorted(more, bounds + size)
+    rows = [(int(k), _deltas(once[a:b] - low), _deltas(more[c:d] - low)) for k, low, a, b, c, d in zip(edges, bounds, first, last, first_more, last_more)]
+    yield pa.RecordBatch.from_arrays([pa.array([row] * len(rows), pa.int32())] + [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["row", "chunk", "once", "more"])
 
 
 def _sketch(width: int, bits: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counters = WordHashes(), [Counters(bits) for _ in range(rows)]
+        hashes, held, size = WordHashes(), [[] for _ in range(rows)], 0
         for batch in batches:
             for part in pieces_of(batch, RUN_BYTES):
                 windows, _, _ = _windows(_words(part, hashes)[1], width)
-                for row, counter in enumerate(counters):
-                    counter.add(cells(windows, row, bits))
-        for row, counter in enumerate(counters):
-            for k, once, more in counter.chunks():
-                yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([k], pa.int32()), pa.array([once], pa.binary()), pa.array([more], pa.binary())], ["row", "chunk", "once", "more"])
+                for row in range(rows):
+                    held[row].append(cells(windows, row, bits).astype(np.uint32))
+                size += len(windows)
+            if size >= HELD:
+                for row in range(rows):
+                    yield from _chunks(row, np.concatenate(held[row]))
+                held, size = [[] for _ in range(rows)], 0
+        for row in range(rows if size else 0):
+            yield from _chunks(row, np.concatenate(held[row]))
 
     return run
 
@@ -160,35 +149,42 @@ def _repeated(shared, key: str, bits: int, rows: int) -> list[np.ndarray]:
 
 
 def _candidates(shared, key: str, width: int, bits: int, rows: int):
+    names = [c.split()[0] for c in FOUND.split(", ")]
+
+    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        h1, h2, doc, null, place = (np.concatenate(x) for x in zip(*held))
+        later = _after_first(h1, h2, doc, null)
+        if later.any():
+            yield from _gathered(doc[later], null[later], place[later], names)
+        go = ~later
+        n = int(go.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(h1[go]), pa.array(h2[go]), pa.array(doc[go], mask=null[go]), pa.array(place[go]), pa.nulls(n, pa.binary())], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, merged = WordHashes(), _repeated(shared, key, bits, rows)
+        hashes, merged, held, size = WordHashes(), _repeated(shared, key, bits, rows), [], 0
         for batch in batches:
             for part in pieces_of(batch, RUN_BYTES):
-                words, hashed = _words(part, hashes)
+                hashed = _words(part, hashes)[1]
                 windows, doc, position = _windows(hashed, width)
-                keep = np.ones(len(windows), bool)
+                at = np.arange(len(windows))
                 for row in range(rows):
-                    at = np.flatnonzero(keep)
                     cell = cells(windows[at], row, bits)
-                    keep[at] = (merged[row][cell >> 3] >> (cell & 7).astype(np.uint8) & 1) > 0
-                at = np.flatnonzero(keep)
+                    at = at[(merged[row][cell >> 3] >> (cell & 7).astype(np.uint8) & 1) > 0]
                 if not len(at):
                     continue
                 ids = part.column("doc_id").cast(pa.int64())
+                null = ids.is_null().to_numpy(zero_copy_only=False)
                 which = doc[at]
                 tags = np.array([_tag(t) if n else 0 for t, n in zip(as_bytes(part.column("text")), np.bincount(which, minlength=part.num_rows))], np.int64)
-                flat = np.concatenate(hashed)
                 start = np.cumsum([0, *map(len, hashed)])[which] + position[at]
-                second = _second(flat, start, width)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(windows[at].view(np.int64)),
-                        pa.array((second & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)),
-                        ids.take(pa.array(which)),
-                        pa.array(tags[which] << 32 | position[at]),
-                    ],
-                    ["h1", "h2", "doc_id", "place"],
-                )
+                second = _second(np.concatenate(hashed), start, width)
+                held.append((windows[at].view(np.int64), (second & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), ids.fill_null(0).to_numpy(zero_copy_only=False)[which], null[which], tags[which] << 32 | position[at]))
+                size += len(at)
+                if size >= HELD // 4:
+                    yield from flush(held)
+                    held, size = [], 0
+        if held:
+            yield from flush(held)
 
     return run
 
@@ -207,38 +203,47 @@ def _tag(text: bytes) -> int:
     return zlib.crc32(text) & 0x7FFFFFFF
 
 
-REMOVED = "doc_id long, places binary, part int, h1 long, h2 int, kind int"
+FOUND = "h1 long, h2 int, doc_id long, place long, places binary"
 
 
-def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (h1, h2, doc_id) nulls first: places in documents that aren't the first of their window's run.
+def _after_first(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, null: np.ndarray) -> np.ndarray:
+    """Which rows are surely in another document than the smallest one (null before all) with the same window."""
+    key = np.where(null, np.iinfo(np.int64).min, doc)
+    order = np.lexsort((key, h1))
+    a, b, d, z = h1[order], h2[order], doc[order], null[order]
+    # windows that share the first hash alone may part a run: its rows then go on and are settled later
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    head = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
+    out = np.zeros(len(a), bool)
+    out[order] = (d != d[head]) | (z != z[head])
+    return out
 
-    kind 0: places to remove. kind 1: places whose run this partition begins with, in its first document: to remove if the
-    partition before ends with the same window. kind 2: this partition's last window. Places are gathered by document.
-    """
-    part = TaskContext.get().partitionId()
-    names = ["doc_id", "places", "part", "h1", "h2", "kind"]
+
+def _gathered(doc: np.ndarray, null: np.ndarray, place: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Places by document, packed; spread by a hash of the document."""
+    order = np.lexsort((doc, null))
+    doc, null, place = doc[order], null[order], place[order]
+    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (null[1:] != null[:-1])]))
+    offsets = (np.append(first, len(doc)) * 8).astype(np.int32)
+    n = len(first)
+    packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(place.tobytes())])
+    ids = pa.array(doc[first], mask=null[first])
+    columns = {"h1": pa.array(mix(doc[first].view(np.uint64)).view(np.int64)), "h2": pa.array(np.zeros(n, np.int32)), "doc_id": ids, "place": pa.nulls(n, pa.int64()), "places": packed}
+    yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (h1, h2, doc_id) nulls first: places in documents that aren't the first of their window's run, by document."""
+    _bits.clear()
     last = None  # (h1, h2) and the first document of the run in progress
-    begun = None  # the partition's first window, while its first document lasts
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    size = 0
-
-    def rows(doc: np.ndarray, null: np.ndarray, place: np.ndarray, kind: int, h=(0, 0)) -> pa.RecordBatch:
-        order = np.lexsort((doc, null))
-        doc, null, place = doc[order], null[order], place[order]
-        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (null[1:] != null[:-1])]))
-        offsets = np.append(first, len(doc)).astype(np.int32) * 8
-        n = len(first)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(doc[first], mask=null[first]),
-                pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(place.tobytes())]),
-                pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, h[0], np.int64)), pa.array(np.full(n, h[1], np.int32)), pa.array(np.full(n, kind, np.int32)),
-            ],
-            names,
-        )
-
+    size, names = 0, ["doc_id", "places"]
     for batch in batches:
+        settled = batch.column("places").is_valid()
+        if pc.any(settled).as_py():
+            own = batch.filter(settled)
+            yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("places")], names)
+            batch = batch.filter(batch.column("places").is_null())
         n = batch.num_rows
         if not n:
             continue
@@ -252,24 +257,14 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not new[0]:
             first_doc, first_null = np.where(head < 0, last[2], first_doc), np.where(head < 0, last[3], first_null)
         gone = (doc != first_doc) | (null != first_null)
-        if last is None:
-            begun = (h1[0], h2[0], doc[0], null[0])
-        if begun is not None:
-            own = (h1 == begun[0]) & (h2 == begun[1]) & (doc == begun[2]) & (null == begun[3])
-            if own.any():
-                yield rows(doc[own], null[own], place[own], 1, begun[:2])
-            if not own[-1]:
-                begun = None
         last = (h1[-1], h2[-1], first_doc[-1], first_null[-1])
         held.append((doc[gone], null[gone], place[gone]))
         size += int(gone.sum())
-        if size >= 1_000_000:
-            yield rows(*map(np.concatenate, zip(*held)), 0)
+        if size >= HELD // 4:
+            yield from _gathered(*map(np.concatenate, zip(*held)), names)
             held, size = [], 0
     if size:
-        yield rows(*map(np.concatenate, zip(*held)), 0)
-    if last is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([b""], pa.binary()), pa.array([part], pa.int32()), pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int32()), pa.array([2], pa.int32())], names)
+        yield from _gathered(*map(np.concatenate, zip(*held)), names)
 
 
 def _strip(width: int, digest: bool):
@@ -306,14 +301,8 @@ def removed_places(docs: DataFrame, width: int = WINDOW, bits: int = WIDTH_BITS,
     merged = cut(sketches.repartition("row", "chunk").sortWithinPartitions("row", "chunk").mapInArrow(_merge, "row int, chunk int, repeated binary"), "sketch")
     # of fixed size: a bit for each counter
     shared = docs.sparkSession.sparkContext.broadcast([(r.row, r.chunk, bytes(r.repeated)) for r in merged.toLocalIterator()])
-    found = texts.mapInArrow(_candidates(shared, uuid.uuid4().hex, width, bits, rows), "h1 long, h2 int, doc_id long, place long")
-    order = ["h1", "h2", "doc_id"]
-    later = cut(found.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_later, REMOVED), "passages")
-    ends = later.where("kind = 2").select(F.col("part").alias("before"), F.col("h1").alias("e1"), F.col("h2").alias("e2"))
-    # a partition that had no rows has no end: the one before it that has one counts
-    begins = later.where("kind = 1")
-    begun = begins.join(ends, (begins["h1"] == ends["e1"]) & (begins["h2"] == ends["e2"]) & (ends["before"] < begins["part"]), "left_semi")
-    places = later.where("kind = 0").select("doc_id", "places").unionByName(begun.select("doc_id", "places"))
+    found = texts.mapInArrow(_candidates(shared, uuid.uuid4().hex, width, bits, rows), FOUND)
+    places = found.repartition("h1").sortWithinPartitions("h1", "h2", "doc_id").mapInArrow(_later, "doc_id long, places binary")
     return places.groupBy("doc_id").agg(F.collect_list("places").alias("gone"))
 
 
