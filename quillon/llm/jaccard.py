@@ -423,5 +423,13 @@ def _filter_rows(texts: DataFrame, bits: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text string")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, of the smallest doc_id of each component; of one doc_id's rows the first by text."""
+    columns = docs.columns
+    stay = jaccard_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
+    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi")
+    return kept.withColumn("__row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__row = 1").select(*columns)
+
+
 def op4_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))

@@ -171,7 +171,7 @@ class Labeller:
             missing = list({w for words in found for w in words})
         if missing:
             letters = [any(map(str.isalpha, w)) for w in missing]
-            new = self.model.scores(missing)
+            new = self.model.scores(missing) if self.model.langs else np.zeros((len(missing), 0), np.float32)
             new[~np.array(letters)] = 0
             self.known.update(zip(missing, range(len(self.rows), len(self.rows) + len(missing))))
             self.rows = np.concatenate([self.rows, new])
@@ -240,6 +240,19 @@ def identify(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFra
     return rows.mapInArrow(_predict(shared, with_spans), ", ".join(fields)).toDF(*kept, *new)
 
 
+#: A text is rejected if no language has this share of its letters.
+LEAST = 0.4
+
+
+def keep_identified(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """The rows of docs (doc_id, text, lang, any others) whose language can be told, with all their columns."""
+    model = train(docs.where(~held_out(F.col("doc_id"))))
+    columns = docs.columns
+    renamed = docs.select(*[F.col(f"`{c}`").alias(c if c == "text" else f"k{i}") for i, c in enumerate(columns)])
+    found = identify(renamed, model).where(F.col("score") >= least).where("lang_pred <> 'und'")
+    return found.select(*[F.col(c if c == "text" else f"k{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs.where(~held_out(F.col("doc_id"))))
