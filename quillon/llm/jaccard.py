@@ -196,42 +196,22 @@ def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.repeat(np.asarray(batch.column("set")), n))], ["h", "set"])
 
 
-FREQUENT = "set long, tokens binary, counts binary, part int, h long, count long, kind int"
+FREQUENT = "set long, h long, count long, part int, kind int"
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (h, set) sorted: for each set its shingles here with two sets or more, and their frequencies (kind 0).
+    """Of (h, set) sorted: the entries whose shingle two sets or more have, with its frequency (kind 0).
 
-    The first and last run may go on in other ranges: their sets come with kind 1, their lengths with kind 2.
+    The first and last run may go on in other ranges: their entries come with kind 1, their lengths here with kind 2.
     """
     part = TaskContext.get().partitionId()
     names = [c.split()[0] for c in FREQUENT.split(", ")]
-    held, size, carry, first = [], 0, None, None
-    edge_rows: dict[int, int] = {}
-
-    def pack(h, owner, count) -> pa.RecordBatch:
-        order = np.argsort(owner, kind="stable")
-        h, owner, count = h[order], owner[order], count[order].astype(np.int32)
-        start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-        bounds = np.append(start, len(owner)).astype(np.int32)
-        k = len(start)
-        zero = pa.array(np.zeros(k, np.int64))
-        blob = lambda x, w: pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer(bounds * w), pa.py_buffer(x.tobytes())])
-        return pa.RecordBatch.from_arrays([pa.array(owner[start]), blob(h, 8), blob(count, 4), pa.array(np.full(k, part, np.int32)), zero, zero, pa.array(np.zeros(k, np.int32))], names)
-
-    def edge(h: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
-        k = len(h)
-        empty = pa.array([b""] * k, pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(owner), empty, empty, pa.array(np.full(k, part, np.int32)), pa.array(h), pa.array(np.zeros(k, np.int64)), pa.array(np.full(k, 1, np.int32))], names)
+    carry, first = None, None
+    edges: dict[int, int] = {}
 
-    def whole(h: np.ndarray, owner: np.ndarray) -> None:
-        nonlocal size
-        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        length = np.diff(np.append(start, len(h)))
-        count = np.repeat(length, length)
-        keep = count > 1
-        held.append((h[keep], owner[keep], count[keep]))
-        size += int(keep.sum())
+    def rows(h: np.ndarray, owner: np.ndarray, count: np.ndarray, kind: int) -> pa.RecordBatch:
+        k = len(h)
+        return pa.RecordBatch.from_arrays([pa.array(owner.astype(np.int64)), pa.array(h.astype(np.int64)), pa.array(count.astype(np.int64)), pa.array(np.full(k, part, np.int32)), pa.array(np.full(k, kind, np.int32))], names)
 
     for batch in batches:
         if not batch.num_rows:
@@ -242,8 +222,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows of the range's first run leave at once, so a run of any length passes in bounded memory
         if h[0] == first:
             n = int(np.searchsorted(h, first, "right"))
-            yield edge(h[:n], owner[:n])
-            edge_rows[first] = edge_rows.get(first, 0) + n
+            yield rows(h[:n], owner[:n], np.zeros(n), 1)
+            edges[first] = edges.get(first, 0) + n
             h, owner = h[n:], owner[n:]
             if not len(h):
                 continue
@@ -251,39 +231,32 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, owner = np.concatenate([carry[0], h]), np.concatenate([carry[1], owner])
         last = int(np.searchsorted(h, h[-1], "left"))
         if last:
-            whole(h[:last], owner[:last])
+            start = np.flatnonzero(np.concatenate([[True], h[1:last] != h[: last - 1]]))
+            length = np.diff(np.append(start, last))
+            count = np.repeat(length, length)
+            keep = np.flatnonzero(count > 1)
+            yield rows(h[keep], owner[keep], count[keep], 0)
         carry = h[last:], owner[last:]
-        if size >= 1_000_000:
-            yield pack(*map(np.concatenate, zip(*held)))
-            held, size = [], 0
     if carry is not None:
-        yield edge(*carry)
-        edge_rows[int(carry[0][0])] = len(carry[0])
-    if size:
-        yield pack(*map(np.concatenate, zip(*held)))
-    for h, n in edge_rows.items():
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([b""], pa.binary()), pa.array([b""], pa.binary()), pa.array([part], pa.int32()), pa.array([h], pa.int64()), pa.array([n], pa.int64()), pa.array([2], pa.int32())], names)
-
-
-def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        k = batch.num_rows
-        h, total = np.asarray(batch.column("h")), np.minimum(np.asarray(batch.column("total")), (1 << 31) - 1).astype(np.int32)
-        blob = lambda x, w: pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer((np.arange(k + 1) * w).astype(np.int32)), pa.py_buffer(x.tobytes())])
-        yield pa.RecordBatch.from_arrays([batch.column("set"), blob(h, 8), blob(total, 4)], ["set", "tokens", "counts"])
+        yield rows(*carry, np.zeros(len(carry[0])), 1)
+        edges[int(carry[0][0])] = len(carry[0])
+    if edges:
+        yield rows(np.array(list(edges)), np.zeros(len(edges)), np.array(list(edges.values())), 2)
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (set, n, tokens: array of binary, counts: array of binary) the index entries (h, set, n, place)."""
+    """From (set, n, shared: array of count, h) the index entries (h, set, n, place)."""
     for batch in batches:
         out = []
-        for owner, n, tokens, counts in zip(*(batch.column(c).to_pylist() for c in ("set", "n", "tokens", "counts"))):
-            h, count = np.frombuffer(b"".join(tokens), np.int64), np.frombuffer(b"".join(counts), np.int32)
-            k = len(h) - need(n) + 1  # n - len(h) shingles are the set's own and come before
+        lists = batch.column("shared")
+        offsets = np.asarray(lists.offsets)
+        count, h = (np.asarray(lists.values.field(c)) for c in ("count", "h"))
+        for owner, n, a, b in zip(batch.column("set").to_pylist(), batch.column("n").to_pylist(), offsets[:-1], offsets[1:]):
+            k = (b - a) - need(n) + 1  # n - (b - a) shingles are the set's own and come before
             if k <= 0:
                 continue
-            order = np.lexsort((h, count))[:k]
-            out.append((h[order], np.full(k, owner), np.full(k, n, np.int32), (n - len(h) + np.arange(k)).astype(np.int32)))
+            order = np.lexsort((h[a:b], count[a:b]))[:k]
+            out.append((h[a:b][order], np.full(k, owner), np.full(k, n, np.int32), (n - (b - a) + np.arange(k)).astype(np.int32)))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["h", "set", "n", "place"])
 
@@ -380,10 +353,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     spread = sets.mapInArrow(_flat, "h long, set long").repartitionByRange("h", "set").sortWithinPartitions("h", "set")
     frequent = cut(spread.mapInArrow(_frequencies, FREQUENT), "jaccard")
     edges = frequent.where("kind = 2").groupBy("h").agg(F.sum("count").alias("total")).where("total > 1")
-    at_edge = frequent.where("kind = 1").select("set", "h").join(edges, "h").select("set", "h", "total").mapInArrow(_as_bytes, "set long, tokens binary, counts binary")
-    tokens = frequent.where("kind = 0").select("set", "tokens", "counts").unionByName(at_edge)
-    gathered = tokens.groupBy("set").agg(F.collect_list(F.struct("tokens", "counts")).alias("both"))
-    gathered = gathered.join(sets.select("set", "n"), "set").select("set", "n", F.col("both.tokens").alias("tokens"), F.col("both.counts").alias("counts"))
+    at_edge = frequent.where("kind = 1").select("set", "h").join(edges, "h").select("set", "h", F.col("total").alias("count"))
+    shared = frequent.where("kind = 0").select("set", "h", "count").unionByName(at_edge)
+    gathered = shared.groupBy("set").agg(F.collect_list(F.struct("count", "h")).alias("shared"))
+    gathered = gathered.join(sets.select("set", "n"), "set").select("set", "n", "shared")
     lists = cut(gathered.mapInArrow(_index, "h long, set long, n int, place int"), "jaccard")
     # only sets in a list are compared
     sets = cut(sets.join(lists.select("set").distinct(), "set", "left_semi"), "jaccard")
