@@ -233,16 +233,15 @@ def _gathered(doc: np.ndarray, null: np.ndarray, place: np.ndarray, names: list[
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (h1, h2, doc_id) nulls first: places in documents that aren't the first of their window's run, by document."""
+    """Of rows sorted by (h1, h2, doc_id) nulls first: places in documents that aren't the first of their window's run."""
     _bits.clear()
     last = None  # (h1, h2) and the first document of the run in progress
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    size, names = 0, ["doc_id", "places"]
+    names = ["doc_id", "place", "places"]
     for batch in batches:
         settled = batch.column("places").is_valid()
         if pc.any(settled).as_py():
             own = batch.filter(settled)
-            yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("places")], names)
+            yield pa.RecordBatch.from_arrays([own.column(c) for c in names], names)
             batch = batch.filter(batch.column("places").is_null())
         n = batch.num_rows
         if not n:
@@ -258,27 +257,22 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first_doc, first_null = np.where(head < 0, last[2], first_doc), np.where(head < 0, last[3], first_null)
         gone = (doc != first_doc) | (null != first_null)
         last = (h1[-1], h2[-1], first_doc[-1], first_null[-1])
-        held.append((doc[gone], null[gone], place[gone]))
-        size += int(gone.sum())
-        if size >= HELD // 4:
-            yield from _gathered(*map(np.concatenate, zip(*held)), names)
-            held, size = [], 0
-    if size:
-        yield from _gathered(*map(np.concatenate, zip(*held)), names)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[gone], mask=null[gone]), pa.array(place[gone]), pa.nulls(int(gone.sum()), pa.binary())], names)
 
 
 def _strip(width: int, digest: bool):
-    """Rows with text and `gone` (array of binary): text without covered words, or its digest."""
+    """Rows with text, gone (array of places), gone_packed (array of binary): text without covered words, or its digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces_of(batch, RUN_BYTES):
                 out = []
-                for text, gone in zip(as_bytes(part.column("text")), part.column("gone").to_pylist()):
+                lists = part.column("gone")
+                for i, (text, packed) in enumerate(zip(as_bytes(part.column("text")), part.column("gone_packed").to_pylist())):
                     words = text.split()
                     n = len(words)
-                    if gone:
-                        place = np.frombuffer(b"".join(gone), np.int64)
+                    if packed or lists[i].is_valid and len(lists[i]):
+                        place = np.concatenate([np.asarray(lists[i].values), np.frombuffer(b"".join(packed or []), np.int64)])
                         start = place[place >> 32 == _tag(text)] & 0xFFFFFFFF
                         edge = np.zeros(n + 1, np.int64)
                         start = np.unique(start)
@@ -295,20 +289,20 @@ def _strip(width: int, digest: bool):
 
 
 def removed_places(docs: DataFrame, width: int = WINDOW, bits: int = WIDTH_BITS, rows: int = ROWS) -> DataFrame:
-    """doc_id, gone: where windows start that occur in a document with a smaller doc_id (packed, as _strip reads them)."""
+    """doc_id, gone, gone_packed: where windows start that occur in a document with a smaller doc_id, as _strip reads them."""
     texts = docs.select("doc_id", "text")
     sketches = texts.mapInArrow(_sketch(width, bits, rows), "row int, chunk int, once binary, more binary")
     merged = cut(sketches.repartition("row", "chunk").sortWithinPartitions("row", "chunk").mapInArrow(_merge, "row int, chunk int, repeated binary"), "sketch")
     # of fixed size: a bit for each counter
     shared = docs.sparkSession.sparkContext.broadcast([(r.row, r.chunk, bytes(r.repeated)) for r in merged.toLocalIterator()])
     found = texts.mapInArrow(_candidates(shared, uuid.uuid4().hex, width, bits, rows), FOUND)
-    places = found.repartition("h1").sortWithinPartitions("h1", "h2", "doc_id").mapInArrow(_later, "doc_id long, places binary")
-    return places.groupBy("doc_id").agg(F.collect_list("places").alias("gone"))
+    places = found.repartition("h1").sortWithinPartitions("h1", "h2", "doc_id").mapInArrow(_later, "doc_id long, place long, places binary")
+    return places.groupBy("doc_id").agg(F.collect_list("place").alias("gone"), F.collect_list("places").alias("gone_packed"))
 
 
 def _joined(docs: DataFrame, width: int, bits: int, rows: int) -> DataFrame:
     gone = removed_places(docs, width, bits, rows).withColumnRenamed("doc_id", "__gone_id")
-    return docs.select("doc_id", "text").join(gone, F.col("doc_id").eqNullSafe(F.col("__gone_id")), "left").select("doc_id", "text", "gone")
+    return docs.select("doc_id", "text").join(gone, F.col("doc_id").eqNullSafe(F.col("__gone_id")), "left").select("doc_id", "text", "gone", "gone_packed")
 
 
 def strip_repeats(docs: DataFrame, width: int = WINDOW, bits: int = WIDTH_BITS, rows: int = ROWS) -> DataFrame:
