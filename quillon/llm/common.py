@@ -189,10 +189,32 @@ def default_tokenizer() -> str:
 
 
 _tokens: dict[str, Tokens] = {}
+_owner: list[str] = [""]
+_cleared: list[dict] = [_tokens]
+
+
+def claim(name: str, caches: dict | None = None) -> None:
+    """Called where an operator begins in a Python worker: what other operators remembered there goes.
+
+    Workers outlive tasks and stages; without this, the caches of all operators of a job would add up.
+    """
+    if caches is not None and not any(c is caches for c in _cleared):
+        _cleared.append(caches)
+    if _owner[0] != name:
+        _owner[0] = name
+        for c in _cleared:
+            c.clear()
+        try:
+            import ctypes
+
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except OSError:
+            pass
 
 
 def tokens(path: str) -> Tokens:
     """One encoder for a Python worker."""
+    claim("tokens")
     if path not in _tokens:
         import os
 

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import WordHashes, as_bytes, cut, mix, pieces_of, table, window_hashes
+from quillon.llm.common import WordHashes, as_bytes, claim, cut, mix, pieces_of, table, window_hashes
 
 WORDS = 5
 #: Links: 100 * |both| >= PERCENT * |either|.
@@ -79,6 +79,7 @@ ENTRY = "h long, doc long, sure boolean, n int, d2 long, count int"
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (h, doc, sure): first shingles; sure: it repeats here. And a row with n, digest (h, d2) and count for each document."""
     names = [c.split()[0] for c in ENTRY.split(", ")]
+    claim("entries")
     hashes = WordHashes()
     sets: list[tuple[int, np.ndarray]] = []
     size = 0
@@ -177,18 +178,6 @@ def _filter_cell(doc):
     return F.pmod(F.xxhash64(doc), F.lit(1 << FILTER_BITS))
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for batch in batches:
-        for part in pieces_of(batch, RUN_BYTES):
-            found = shingles(as_bytes(part.column("text")), hashes)
-            marks = [digest(s) for s in found]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_ids(part)), pa.array([a for a, _ in marks], pa.int64()), pa.array([b for _, b in marks], pa.int64()), pa.array(list(map(len, found)), pa.int32()), pa.array([s.tobytes() for s in found], pa.binary())],
-                ["doc", "d1", "d2", "n", "tokens"],
-            )
-
-
 def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = np.asarray(batch.column("n")).astype(np.int64)
@@ -347,8 +336,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     same = stats.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc").alias("set"), F.max("doc").alias("other"))
     standing = cut(maybe.join(same.select("d1", "d2", F.col("set").alias("doc")), "doc").select("doc", "d1", "d2"), "jaccard")
     bits = standing.select((_filter_cell("doc") + 1).alias("cell")).groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
-    seen = _filter_rows(texts, bits)
-    built = seen.mapInArrow(_sets, "doc long, d1 long, d2 long, n int, tokens binary")
+    built = _built(texts, bits)
     sets = cut(built.join(standing, ["doc", "d1", "d2"], "left_semi").dropDuplicates(["doc"]).select(F.col("doc").alias("set"), "n", "tokens"), "jaccard")
     spread = sets.mapInArrow(_flat, "h long, set long").repartitionByRange("h", "set").sortWithinPartitions("h", "set")
     frequent = cut(spread.mapInArrow(_frequencies, FREQUENT), "jaccard")
@@ -377,23 +365,31 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return out.select(real("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), real("component").alias("component_id"))
 
 
-def _filter_rows(texts: DataFrame, bits: DataFrame) -> DataFrame:
-    """Rows of texts whose document may be among those of the filter: it spares work, the exact join comes after."""
+def _built(texts: DataFrame, bits: DataFrame) -> DataFrame:
+    """The sets of documents that may be among those of the filter: it spares work, the exact join comes after."""
     held = [(r.bucket, bytes(r.bits)) for r in bits.toLocalIterator()]  # FILTER_BITS / 8 bytes at most
     shared = texts.sparkSession.sparkContext.broadcast([(b, zlib.compress(x, 1)) for b, x in held])
     rows = texts.withColumn("cell", _filter_cell(F.coalesce("doc_id", F.lit(NULL_ID))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("sets")
         filled = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
         for bucket, packed in shared.value:
             x = np.frombuffer(zlib.decompress(packed), np.uint8)
             filled[(bucket - 1) * len(x) : bucket * len(x)] = x
+        hashes = WordHashes()
         for batch in batches:
             cell = np.asarray(batch.column("cell"))
             keep = (filled[cell >> 3] >> (cell & 7).astype(np.uint8) & 1) > 0
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text")], ["doc_id", "text"]).filter(pa.array(keep))
-
-    return rows.mapInArrow(run, "doc_id long, text string")
+            for part in pieces_of(batch.filter(pa.array(keep)), RUN_BYTES):
+                found = shingles(as_bytes(part.column("text")), hashes)
+                marks = [digest(s) for s in found]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_ids(part)), pa.array([a for a, _ in marks], pa.int64()), pa.array([b for _, b in marks], pa.int64()), pa.array(list(map(len, found)), pa.int32()), pa.array([s.tobytes() for s in found], pa.binary())],
+                    ["doc", "d1", "d2", "n", "tokens"],
+                )
+
+    return rows.mapInArrow(run, "doc long, d1 long, d2 long, n int, tokens binary")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

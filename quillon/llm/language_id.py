@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import CACHE, held_out, mix, pieces_of, table
+from quillon.llm.common import CACHE, claim, held_out, mix, pieces_of, table
 
 #: Bounds of the training sample: documents of each language (expected) and distinct words of each language.
 TRAIN_DOCS = 2000
@@ -210,6 +210,7 @@ def _spans(text: str, labels: np.ndarray, langs: list[str]) -> list[tuple[int, i
 
 def _predict(model, with_spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language")
         labeller = Labeller(model.value)
         for batch in batches:
             for part in pieces_of(batch, 4 << 20):

@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillon.llm.common import WordHashes, as_bytes, cut, mix, pieces_of, table, window_hashes
+from quillon.llm.common import WordHashes, as_bytes, claim, cut, mix, pieces_of, table, window_hashes
 
 WINDOW = 13
 WIDTH_BITS = 29
@@ -138,6 +138,7 @@ _bits: dict[str, list[np.ndarray]] = {}
 
 def _repeated(shared, key: str, bits: int, rows: int) -> list[np.ndarray]:
     """The merged rows in this worker, unpacked once."""
+    claim("passages", _bits)
     if key not in _bits:
         _bits.clear()
         size = 1 << (CHUNK_BITS - 3)
@@ -234,7 +235,7 @@ def _gathered(doc: np.ndarray, null: np.ndarray, place: np.ndarray, names: list[
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (h1, h2, doc_id) nulls first: places in documents that aren't the first of their window's run."""
-    _bits.clear()
+    claim("later")
     last = None  # (h1, h2) and the first document of the run in progress
     names = ["doc_id", "place", "places"]
     for batch in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillon.llm.common import CACHE, held_out, pieces_of, table
+from quillon.llm.common import CACHE, claim, held_out, pieces_of, table
 
 #: Bound of the training sample: expected rows of each label.
 TRAIN_ROWS = 6000
@@ -220,6 +220,7 @@ class Scorer:
 
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         scorer = Scorer(model.value)
         for batch in batches:
             for part in pieces_of(batch, 4 << 20):
