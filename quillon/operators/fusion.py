@@ -40,7 +40,7 @@ def fuse(rankings: DataFrame, weights: dict[str, float], k: Column) -> DataFrame
     """qid, id, score of rankings (qid, signal, id, score, and what k needs): sum of weight / (k + rank), rank from 1 by score, then id."""
     w = Window.partitionBy("qid", "signal").orderBy(F.desc("score"), "id")
     table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
-    return rankings.withColumn("rank", F.row_number().over(w)).groupBy("qid", "id").agg(F.sum(table[F.col("signal")] / (k + F.col("rank"))).alias("score"))
+    return rankings.withColumn("rank", F.row_number().over(w)).groupBy("qid", "id").agg(F.round(F.sum(table[F.col("signal")] / (k + F.col("rank"))), 12).alias("score"))
 
 
 def confidence_signal() -> Column:

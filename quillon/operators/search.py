@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 #: Queries that one block broadcasts; the block's size in bytes is BLOCK times the vector's, whatever the table's size.
 BLOCK = 4096
+#: Scores are compared to so many decimals: equal sums in another order then tie, and ids decide.
+DIGITS = 9
 #: Word pattern of the lexical index.
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -26,7 +28,7 @@ def _block_top(block, k: int):
                 pick = [j for j, r in enumerate(rows) if len(r) == len(q) and (owners[i] is None or owner[j] == owners[i])]
                 if not pick:
                     continue
-                scores = np.array([rows[j] for j in pick]) @ q
+                scores = np.round(np.array([rows[j] for j in pick]) @ q, DIGITS)
                 # ties with the k-th stay until the ids decide
                 if len(pick) > k:
                     edge = np.partition(scores, -k)[-k]
@@ -97,7 +99,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75)
     whole = found.join(df, "token").crossJoin(F.broadcast(sizes))  # one row
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    return whole.groupBy("qid", "id").agg(F.sum(part).alias("score"))
+    return whole.groupBy("qid", "id").agg(F.round(F.sum(part), DIGITS).alias("score"))
 
 
 def positional(ranked: DataFrame) -> DataFrame:

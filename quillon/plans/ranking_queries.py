@@ -325,21 +325,21 @@ def rk22(spark, d):
 def recall_frames(spark, d):
     """Documents as memories with the vector of the same number where there is one; benchmark texts with every hundredth vector as queries."""
     v = X.read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    mem = X.semantic(spark, d).join(v.select(F.concat(F.lit("s-"), "vec_id").alias("id"), "v"), "id", "left")
+    mem = X.semantic(spark, d).withColumn("content", F.col("object")).join(v.select(F.concat(F.lit("s-"), "vec_id").alias("id"), "v"), "id", "left")
     q = X.read(spark, d, "benchmark").join(v.where("vec_id % 100 = 0"), F.col("item_id") * 100 == F.col("vec_id")).select(F.concat(F.lit("q"), "item_id").alias("qid"), "text", "v", F.concat(F.lit("src"), F.col("item_id") % 20).alias("target"))
     return mem, q
 
 
 @query("rk24_recall", f"""WITH {BM}, mv AS (SELECT m.*, v.e, v.norm FROM mem m LEFT JOIN (SELECT 's-' || vec_id AS id, e, norm FROM vec) v USING (id) WHERE memory_type = 'semantic'),
  qs AS (SELECT 'q' || item_id AS qid, text, e AS qe, norm AS qn, 'src' || (item_id % 20) AS target, {_intent('text')} AS intent FROM benchmark JOIN vec ON item_id * 100 = vec_id),
- vt AS (SELECT qid, id, score FROM (SELECT qid, id, list_dot_product(qe, e) / (qn * norm) AS score, row_number() OVER (PARTITION BY qid ORDER BY list_dot_product(qe, e) / (qn * norm) DESC, id) AS r FROM qs, mv WHERE e IS NOT NULL) WHERE r <= 100),
- lt0 AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM b WHERE qid IN (SELECT qid FROM qs)), lt1 AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n FROM lt0 WHERE r <= 100),
+ vt AS (SELECT qid, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM (SELECT qid, id, round(list_dot_product(qe, e) / (qn * norm), 9) AS score FROM qs, mv WHERE e IS NOT NULL)) WHERE r <= 100),
+ lt0 AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS r FROM b WHERE qid IN (SELECT qid FROM qs)), lt1 AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n FROM lt0 WHERE r <= 100),
  lt AS (SELECT qid, id, (n - r + 1) / n AS score FROM lt1), c AS (SELECT qid, id FROM vt UNION SELECT qid, id FROM lt), cn AS (SELECT qid, count(*) AS n FROM c GROUP BY qid),
  sg AS (SELECT c.qid, c.id, 0.0 AS activation, {AFF} AS intent, confidence, CASE WHEN subject = target THEN 1.0 ELSE 0.0 END AS entity FROM c JOIN mv USING (id) JOIN qs USING (qid)),
  lg AS (SELECT qid, id, 'vector' AS signal, score, 1.0 AS w FROM vt UNION ALL SELECT qid, id, 'lexical', score, 0.8 FROM lt UNION ALL SELECT qid, id, 'activation', activation, 1.0 FROM sg UNION ALL SELECT qid, id, 'intent', intent, 0.5 FROM sg
   UNION ALL SELECT qid, id, 'confidence', confidence, 0.5 FROM sg UNION ALL SELECT qid, id, 'entity', entity, 1.2 FROM sg),
  gt AS (SELECT *, row_number() OVER (PARTITION BY qid, signal ORDER BY score DESC, id) AS r, count(*) OVER (PARTITION BY qid, signal) AS m, max(score) OVER (PARTITION BY qid, signal) - min(score) OVER (PARTITION BY qid, signal) AS sp FROM lg),
- fu AS (SELECT qid, id, sum(w / (least(greatest(n // 10, 1), 60) + r)) AS score FROM gt JOIN cn USING (qid) WHERE m = 1 OR sp > 1e-6 GROUP BY qid, id)
+ fu AS (SELECT qid, id, round(sum(w / (least(greatest(n // 10, 1), 60) + r)), 12) AS score FROM gt JOIN cn USING (qid) WHERE m = 1 OR sp > 1e-6 GROUP BY qid, id)
  SELECT qid, id, r AS rank, round(score, 6) AS final_score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM fu) WHERE r <= 5""")
 def rk24(spark, d):
     mem, q = recall_frames(spark, d)
