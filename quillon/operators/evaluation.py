@@ -75,10 +75,10 @@ def bootstrap(values: DataFrame, by: str, resamples: int, confidence: float = 0.
     slots = values.select(by, "i").join(n, by).select(by, "n", "i", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
     drawn = slots.select(by, "r", F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "r", "i").cast("binary")), 1, 12), 16, 10).cast("long"), F.col("n")).alias("i"))
     means = drawn.join(values, [by, "i"]).groupBy(by, "r").agg(F.avg("value").alias("m"))
-    ranked = means.withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy("m")))
+    ranked = means.withColumn("__k", F.row_number().over(Window.partitionBy(by).orderBy("m")))
     tail = (1 - confidence) / 2
     low, high = math.floor(tail * resamples) + 1, min(math.ceil((1 - tail) * resamples), resamples)
-    return ranked.groupBy(by).agg(F.max(F.when(F.col("k") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("k") == high, F.col("m"))).alias("high")).join(n.select(by, "mean"), by)
+    return ranked.groupBy(by).agg(F.max(F.when(F.col("__k") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("__k") == high, F.col("m"))).alias("high")).join(n.select(by, "mean"), by)
 
 
 def bradley_terry(wins: DataFrame, rounds: int = 50) -> DataFrame:

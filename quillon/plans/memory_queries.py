@@ -73,10 +73,11 @@ def dc09(spark, d):
     return consolidation.temporal_context(rows).select(F.col("session").alias("user_id"), "event_id", R(F.col("context") + 1e-9).alias("context"))
 
 
-@query("dc10_promote")
+@query("dc10_promote", "SELECT source AS entity, 's-' || min(doc_id) AS seed, 's-' || max(doc_id) AS newest, count(*) AS size, round(least(count(*) * 0.3, 1), 6) AS confidence FROM documents GROUP BY source, text HAVING count(*) > 1")
 def dc10(spark, d):
-    rows = vecs(spark, d).select(F.col("owner").alias("entity"), "id", X.at(F.col("vec_id")).alias("created_at"), F.concat(F.lit("content "), "vec_id").alias("content"), "v")
-    return consolidation.promote(rows, 0.6).select("entity", "seed", "newest", "size", R("confidence").alias("confidence"))
+    """Hash embeddings of documents: only equal texts are near each other."""
+    rows = X.read(spark, d, "documents").select(F.col("source").alias("entity"), F.concat(F.lit("s-"), "doc_id").alias("id"), X.at(F.col("doc_id")).alias("created_at"), F.md5(F.col("text").cast("binary")).alias("content"), V.hash_embedding(F.col("text")).alias("v"))
+    return consolidation.promote(rows, 0.8).select("entity", "seed", "newest", "size", R("confidence").alias("confidence"))
 
 
 @query("jn06_similar_pairs", "SELECT 'l' || a.label AS entity, a.id AS a, b.id AS b, round(list_dot_product(a.e, b.e) / (a.norm * b.norm), 6) AS score FROM vec a JOIN vec b ON a.label = b.label AND a.id < b.id WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) > 0.5")
