@@ -8,12 +8,15 @@ Sets are word-shingle hashes. The join works on documents' distinct sets and nev
 2. The sets of those left are built (documents with equal sets are one), and their shingles' document frequencies
    counted exactly, in ranges of (shingle, set). Each set enters its rarest n - ceil(T n) + 1 shingles of the order by
    (frequency, hash) into the index lists; those that only it has are left out, as no list would hold another set.
-3. Answers are derived from those of similar sets: in a list each component's first set is checked against the list's
-   first, one pair a set and round; what links joins that component and takes over its answers, so sets in one component
-   are never compared again. The rounds end when they link nothing new, or after ROUNDS.
+3. Answers are derived from those of similar sets: a list's first set is the one with the fewest shingles that no other
+   set has, the likeliest to link; one set of each other component of the list is checked against it, one pair a component
+   and round. What links joins that component and takes over its answers, so sets in one component are never compared
+   again. The rounds end when they link nothing new, or after ROUNDS.
 4. The pairs across components that are left in the lists are checked one by one. Lists are cut in blocks of sizes, and a set
    meets only its own block and the next, so blocks that can't reach the threshold are skipped; within them a pair is
-   skipped if the shingles after the two positions don't suffice.
+   skipped if the shingles after the two positions don't suffice, or if the shingles that only one set has are too many:
+   they are all in the pair's difference. In a large group of near copies the first kind of set has linked by then and the
+   second is skipped.
 
 Every check is exact, on the whole sets.
 """
@@ -234,7 +237,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (set, n, shared: array of count, h) the index entries (h, set, n, place)."""
+    """From (set, n, shared: array of count, h) the index entries (h, set, n, place, own): own shingles no other set has."""
     for batch in batches:
         out = []
         lists = batch.column("shared")
@@ -245,9 +248,9 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if k <= 0:
                 continue
             order = np.lexsort((h[a:b], count[a:b]))[:k]
-            out.append((h[a:b][order], np.full(k, owner), np.full(k, n, np.int32), (n - (b - a) + np.arange(k)).astype(np.int32)))
+            out.append((h[a:b][order], np.full(k, owner), np.full(k, n, np.int32), (n - (b - a) + np.arange(k)).astype(np.int32), np.full(k, n - (b - a), np.int32)))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["h", "set", "n", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["h", "set", "n", "place", "own"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,19 +304,20 @@ def _round(lists: DataFrame, of: DataFrame | None) -> tuple[DataFrame, DataFrame
         rows = lists.withColumn("comp", F.col("set"))
     else:
         rows = lists.join(of, lists["set"] == of["node"], "left").withColumn("comp", F.coalesce("component", "set")).drop("node", "component")
-    several = rows.groupBy("h").agg(F.min(F.struct("comp", "set")).alias("first"), F.max("comp").alias("most")).where("first.comp <> most")
+    several = rows.groupBy("h").agg(F.min(F.struct("own", "set", "comp")).alias("first"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most")
     rows = rows.join(several.select("h", "first"), "h")
-    stars = rows.where("comp <> first.comp").groupBy("comp", F.col("first.comp").alias("to"), F.col("set").alias("a"), F.col("first.set").alias("b")).count()
-    pairs = stars.groupBy("comp").agg(F.max(F.struct("count", F.negative("b").alias("nb"), F.negative("a").alias("na"))).alias("best"))
-    return rows.select("h", "set", "n", "place", "comp"), pairs.select((-F.col("best.na")).alias("a"), (-F.col("best.nb")).alias("b"))
+    stars = rows.where("comp <> first.comp").groupBy("comp", F.col("first.comp").alias("to"), F.col("set").alias("a"), F.col("own").alias("own"), F.col("first.set").alias("b")).count()
+    pairs = stars.groupBy("comp").agg(F.max(F.struct("count", F.negative("own").alias("no"), F.negative("b").alias("nb"), F.negative("a").alias("na"))).alias("best"))
+    return rows.select("h", "set", "n", "place", "own", "comp"), pairs.select((-F.col("best.na")).alias("a"), (-F.col("best.nb")).alias("b"))
 
 
 def _across(rows: DataFrame) -> DataFrame:
     """All pairs of sets in one list but not in one component whose sizes and positions allow a link."""
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT)))
-    left = rows.select("h", F.explode(F.array(block, block + 1)).alias("block"), F.col("set").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("comp").alias("ca"))
-    right = rows.select("h", block.alias("block"), F.col("set").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("comp").alias("cb"))
-    over = F.expr(f"1 + least(na - pa, nb - pb) >= ceil({PERCENT} * (na + nb) / {100.0 + PERCENT} - 1e-9)")
+    left = rows.select("h", F.explode(F.array(block, block + 1)).alias("block"), F.col("set").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("own").alias("oa"), F.col("comp").alias("ca"))
+    right = rows.select("h", block.alias("block"), F.col("set").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("own").alias("ob"), F.col("comp").alias("cb"))
+    both = f"ceil({PERCENT} * (na + nb) / {100.0 + PERCENT} - 1e-9)"  # the overlap that a link needs
+    over = F.expr(f"1 + least(na - pa, nb - pb) >= {both} AND na + nb - oa - ob >= 2 * {both}")
     smaller = F.expr("na < nb OR na = nb AND a < b")
     return left.join(right, ["h", "block"]).where(smaller & F.expr(f"100 * na >= {PERCENT} * nb AND ca <> cb") & over).select("a", "b").distinct()
 
@@ -345,7 +349,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     shared = frequent.where("kind = 0").select("set", "h", "count").unionByName(at_edge)
     gathered = shared.groupBy("set").agg(F.collect_list(F.struct("count", "h")).alias("shared"))
     gathered = gathered.join(sets.select("set", "n"), "set").select("set", "n", "shared")
-    lists = cut(gathered.mapInArrow(_index, "h long, set long, n int, place int"), "jaccard")
+    lists = cut(gathered.mapInArrow(_index, "h long, set long, n int, place int, own int"), "jaccard")
     # only sets in a list are compared
     sets = cut(sets.join(lists.select("set").distinct(), "set", "left_semi"), "jaccard")
     links, of, rows = None, None, None
