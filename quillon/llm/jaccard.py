@@ -236,21 +236,13 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(np.array(list(edges)), np.zeros(len(edges)), np.array(list(edges.values())), 2)
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (set, n, shared: array of count, h) the index entries (h, set, n, place, own): own shingles no other set has."""
-    for batch in batches:
-        out = []
-        lists = batch.column("shared")
-        offsets = np.asarray(lists.offsets)
-        count, h = (np.asarray(lists.values.field(c)) for c in ("count", "h"))
-        for owner, n, a, b in zip(batch.column("set").to_pylist(), batch.column("n").to_pylist(), offsets[:-1], offsets[1:]):
-            k = (b - a) - need(n) + 1  # n - (b - a) shingles are the set's own and come before
-            if k <= 0:
-                continue
-            order = np.lexsort((h[a:b], count[a:b]))[:k]
-            out.append((h[a:b][order], np.full(k, owner), np.full(k, n, np.int32), (n - (b - a) + np.arange(k)).astype(np.int32), np.full(k, n - (b - a), np.int32)))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["h", "set", "n", "place", "own"])
+def _index(shared: DataFrame) -> DataFrame:
+    """From (set, n, h, count) the index entries (h, set, n, place, own); own: shingles that no other set has, which come before."""
+    all_, order = Window.partitionBy("set"), Window.partitionBy("set").orderBy("count", "h")
+    rows = shared.withColumn("rank", F.row_number().over(order)).withColumn("shared", F.count(F.lit(1)).over(all_).cast("int"))
+    least = F.floor((F.col("n") * PERCENT + 99) / 100)
+    own = F.col("n") - F.col("shared")
+    return rows.where(F.col("rank") <= F.col("shared") - least + 1).select("h", "set", "n", (own + F.col("rank") - 1).cast("int").alias("place"), own.cast("int").alias("own"))
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,9 +339,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     edges = frequent.where("kind = 2").groupBy("h").agg(F.sum("count").alias("total")).where("total > 1")
     at_edge = frequent.where("kind = 1").select("set", "h").join(edges, "h").select("set", "h", F.col("total").alias("count"))
     shared = frequent.where("kind = 0").select("set", "h", "count").unionByName(at_edge)
-    gathered = shared.groupBy("set").agg(F.collect_list(F.struct("count", "h")).alias("shared"))
-    gathered = gathered.join(sets.select("set", "n"), "set").select("set", "n", "shared")
-    lists = cut(gathered.mapInArrow(_index, "h long, set long, n int, place int, own int"), "jaccard")
+    lists = cut(_index(shared.join(sets.select("set", "n"), "set")), "jaccard")
     # only sets in a list are compared
     sets = cut(sets.join(lists.select("set").distinct(), "set", "left_semi"), "jaccard")
     links, of, rows = None, None, None
