@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Python-side caches are emptied at this size, so that their memory does not follow the corpus.
 CACHE = 400_000
+#: Words whose ids a Python worker remembers.
+WORDS = 700_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -126,7 +128,7 @@ class Tokens:
     For a byte-level pre-tokenizer: it never joins a visible character with the white space after it, so a text's ids are
     the ids of its pieces " word" and "\\nword" one after the other; nor a letter with the
     signs after it. Letters, after a space or not, are one pre-token and so is a run of signs, so the library's model is
-    asked for these directly; any other piece goes through the whole library. Pieces and words are remembered, up to CACHE each. A text in which white space is anything
+    asked for these directly; any other piece goes through the whole library. Pieces and words are remembered, up to CACHE and WORDS of them. A text in which white space is anything
     else than single spaces and newlines between visible characters goes through the library whole, and so do all texts
     of other tokenizers.
     """
@@ -146,7 +148,7 @@ class Tokens:
         self.split = kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space") and said.get("normalizer") is None and said["model"]["type"] == "BPE"
         self.code = "I" if self.dtype == np.uint32 else "H"
         self.model, self.letters = self.library.model, byte_letters()
-        self.pieces, self.words = Bounded(self._piece, CACHE), Bounded(self._word, CACHE)
+        self.pieces, self.words = Bounded(self._piece, CACHE), Bounded(self._word, WORDS)
         self.line = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
