@@ -127,12 +127,9 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of entries sorted by h: (doc, n, d1, d2, count) with the counts of shingles that repeat in other partitions, summed here."""
+    """Of entries sorted by h: a document's (doc, n, d1, d2, count), and a row of count 1 for each of its shingles that other partitions have."""
     names = ["doc", "n", "d1", "d2", "count"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
     carry: tuple[np.ndarray, ...] | None = None
-    held: list[np.ndarray] = []
-    size = 0
 
     def counted(h: np.ndarray, doc: np.ndarray, sure: np.ndarray) -> np.ndarray:
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -140,11 +137,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeats = np.repeat((length > 1) | np.maximum.reduceat(sure, start), length)
         return doc[repeats & ~sure]  # the documents of a sure row were counted where it came from
 
-    def rows(docs: list[np.ndarray]) -> pa.RecordBatch:
-        doc, count = np.unique(np.concatenate(docs), return_counts=True)
-        nothing = pa.nulls(len(doc), pa.int32())
-        zero = pa.array(np.zeros(len(doc), np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(doc), nothing, zero, zero, pa.array(count.astype(np.int32))], names)
+    def rows(doc: np.ndarray) -> pa.RecordBatch:
+        zero, k = pa.array(np.zeros(len(doc), np.int64)), len(doc)
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.nulls(k, pa.int32()), zero, zero, pa.array(np.ones(k, np.int32))], names)
 
     for batch in batches:
         n = batch.column("n")
@@ -162,19 +157,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = h[last:], doc[last:], sure[last:]
         if len(carry[0]) > 2:
             # of a long run only whether it repeats matters for what follows
-            held.append(counted(*carry))
-            size += len(held[-1])
+            yield rows(counted(*carry))
             carry = carry[0][:1], carry[1][:1], np.array([True])
         if last:
-            held.append(counted(h[:last], doc[:last], sure[:last]))
-            size += len(held[-1])
-        if size > 1_000_000:
-            yield rows(held)
-            held, size = [], 0
+            yield rows(counted(h[:last], doc[:last], sure[:last]))
     if carry is not None:
-        held.append(counted(*carry))
-    if held:
-        yield rows(held)
+        yield rows(counted(*carry))
 
 
 def _filter_cell(doc):
