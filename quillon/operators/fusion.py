@@ -82,7 +82,7 @@ def recall(memories: DataFrame, queries: DataFrame, now: Column, config: Config
     vector = search.vector_top_k(memories.where("v IS NOT NULL").select("id", "v", F.lit(None).cast("string").alias("owner")), queries.select("qid", "v", F.lit(None).cast("string").alias("owner")), c.candidates).select("qid", "id", "score")
     hits = search.top_k(search.bm25(docs, queries), c.candidates)
     lexical = search.positional(hits)
-    ids = vector.select("qid", "id").unionByName(hits.select("qid", "id")).distinct()
+    ids = search.dealt(vector.select("qid", "id").unionByName(hits.select("qid", "id")), "qid", "id").distinct()
     intents = queries.select("qid", "target", T.intent(F.col("text")).alias("intent"))
     rows = ids.join(memories.drop("v", "content"), "id").join(intents, "qid")
     signals = rows.select(
@@ -98,6 +98,7 @@ def recall(memories: DataFrame, queries: DataFrame, now: Column, config: Config
     )
     long = signals.select("qid", "id", F.expr("stack(4, 'activation', activation, 'intent', intent, 'confidence', confidence, 'entity', entity) AS (signal, score)")).where("score IS NOT NULL")
     rankings = vector.select("qid", "id", F.lit("vector").alias("signal"), "score").unionByName(lexical.select("qid", "id", F.lit("lexical").alias("signal"), "score")).unionByName(long)
+    rankings = search.dealt(rankings, "qid", "signal")
     sizes = ids.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
     fused = fuse_with(gate(rankings).join(sizes, "qid"), c)
     out = fused.join(signals, ["qid", "id"]).join(vector.withColumnRenamed("score", "vector_score"), ["qid", "id"], "left").join(lexical.withColumnRenamed("score", "lexical_score"), ["qid", "id"], "left")

@@ -71,6 +71,15 @@ def top_k(scores: DataFrame, k: int, by: str = "qid") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def dealt(union: DataFrame, *by: str) -> DataFrame:
+    """A union dealt out anew by keys.
+
+    Spark 4.1 takes the union of frames with one partitioning for partitioned itself, although adaptive execution may have
+    coalesced them differently; a join on top of it then fails. An exchange of its own makes the partitioning real.
+    """
+    return union.repartition(*by)
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
