@@ -17,6 +17,20 @@ DIGITS = 9
 TOKEN = r"[\p{L}\p{N}]+"
 
 
+def _block_over(block, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, queries, _ = block.value
+        for batch in batches:
+            ids, rows = batch.column("id").to_pylist(), [np.asarray(v, float) for v in batch.column("v").to_pylist()]
+            for q, unit in zip(qids, queries):
+                pick = [j for j, r in enumerate(rows) if len(r) == len(unit)]
+                scores = np.round(np.array([rows[j] for j in pick]) @ unit, DIGITS) if pick else np.zeros(0)
+                near = np.flatnonzero(scores > least)
+                yield pa.RecordBatch.from_arrays([pa.array([q] * len(near), pa.string()), pa.array([ids[pick[n]] for n in near], pa.string()), pa.array(scores[near])], ["qid", "id", "score"])
+
+    return run
+
+
 def _block_top(block, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, queries, owners = block.value
@@ -42,19 +56,28 @@ def _block_top(block, k: int):
     return run
 
 
+def vector_over(memories: DataFrame, queries: DataFrame, least: float) -> DataFrame:
+    """qid, id, score of all rows of memories (id, v, owner) whose cosine with a query (qid, v, owner) is over `least`."""
+    return _in_blocks(memories, queries, lambda block: _block_over(block, least), False)
+
+
 def vector_top_k(memories: DataFrame, queries: DataFrame, k: int, scoped: bool = False) -> DataFrame:
     """qid, id, score, rank: the k rows of memories (id, v, owner) nearest to each query (qid, v, owner) by cosine.
 
     Zero queries and zero rows have no answers; rows of other lengths than the query's are left out. With scoped, only rows
     of the query's owner count. Ties by id. Queries go out in blocks of a fixed number; each partition keeps k a query.
     """
+    return top_k(_in_blocks(memories, queries, lambda block: _block_top(block, k), scoped), k)
+
+
+def _in_blocks(memories: DataFrame, queries: DataFrame, job, scoped: bool) -> DataFrame:
     unit = lambda df: df.withColumn("v", F.col("v").cast("array<double>")).withColumn("__n", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).where("__n > 0").withColumn("v", F.transform("v", lambda x: x / F.col("__n"))).drop("__n")
     rows = unit(memories.select("id", "v", "owner"))
     found, held = None, []
 
     def block(part: list) -> DataFrame:
         shared = memories.sparkSession.sparkContext.broadcast(([q.qid for q in part], [np.array(q.v) for q in part], [q.owner if scoped else None for q in part]))
-        return rows.mapInArrow(_block_top(shared, k), "qid string, id string, score double")
+        return rows.mapInArrow(job(shared), "qid string, id string, score double")
 
     for q in unit(queries.select("qid", "v", "owner")).toLocalIterator():
         held.append(q)
@@ -62,7 +85,7 @@ def vector_top_k(memories: DataFrame, queries: DataFrame, k: int, scoped: bool =
             found, held = block(held) if found is None else found.unionByName(block(held)), []
     if held or found is None:
         found = block(held) if found is None else found.unionByName(block(held))
-    return top_k(found, k)
+    return found
 
 
 def top_k(scores: DataFrame, k: int, by: str = "qid") -> DataFrame:

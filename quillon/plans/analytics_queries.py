@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.operators import analytics, evaluation, sessions
+from quillon.operators import analytics, evaluation, search, sessions
 from quillon.plans import fixtures as X
 from quillon.plans.ranking_queries import COS, asked, cosines, vecs
 from quillon.plans.registry import query
@@ -228,12 +228,8 @@ def ev11(spark, d):
 
 @query("ev12_gold", f"WITH {COS}, a2 AS (SELECT qid, id FROM s WHERE score > 0.7 UNION SELECT qid, id FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM s) WHERE r = 1) SELECT qid, id FROM a2")
 def ev12(spark, d):
-    from quillon.functions import vectors as V
-
-    q = asked(spark, d).select("qid", F.col("v").alias("qv"))
     best = cosines(spark, d, 1).select("qid", "id")
-    # the stated queries against all rows, block by block
-    near = cosines(spark, d, 1000).where("score > 0.7").select("qid", "id")
+    near = search.vector_over(vecs(spark, d), asked(spark, d), 0.7).select("qid", "id")
     return near.unionByName(best).distinct()
 
 
