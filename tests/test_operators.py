@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillon.functions import decay, text as T, vectors as V
 from quillon.operators import analytics, consolidation, evaluation, fusion, graph, procedures, search, sessions, store, sync
 from quillon.sources import tables
-from quillon.streaming import activity
+from quillon.streaming import activity, capture
 
 
 def one(spark, *columns):
@@ -234,6 +234,18 @@ def test_streams(spark, tmp_path):
     assert [r.held for r in spark.table("ring").collect()] == [5]
 
 
+def test_capture_streams(spark, tmp_path):
+    src, schema = str(tmp_path / "in"), "session string, id long, kind string, content string"
+    rows = [("s", i, "user_statement", f"we decided on plan {i}") for i in range(4)] + [("s", 9, "tool", "the root cause was x"), ("s", 10, "tool", "nothing"), ("t", 1, "tool", "we chose tea")]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(src)
+    stream = lambda: spark.readStream.schema(schema).parquet(src)
+    drain(capture.capture(stream(), {1: 3, 2: 1}).writeStream.format("memory").queryName("captured").outputMode("append").option("checkpointLocation", str(tmp_path / "c1")).start())
+    assert {(r.session, r.id, r.tier) for r in spark.table("captured").collect()} == {("s", 0, 1), ("s", 1, 1), ("s", 2, 1), ("s", 9, 2), ("t", 1, 1)}
+    out = str(tmp_path / "facts")
+    drain(stream().selectExpr("id", "'Ann likes tea. Nothing here.' AS text").writeStream.foreachBatch(capture.extraction_sink(out)).option("checkpointLocation", str(tmp_path / "c2")).start())
+    assert {(r.subject, r.predicate, r.object) for r in spark.read.parquet(out).collect()} == {("ann", "likes", "tea")}
+
+
 def test_entry_imports(spark):
     started = time.time()
     import __spark_entry__ as e
