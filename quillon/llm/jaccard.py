@@ -302,14 +302,11 @@ def _across(rows: DataFrame) -> DataFrame:
     return left.join(right, ["h", "block"]).where(smaller & F.expr(f"100 * na >= {PERCENT} * nb AND ca <> cb") & over).select("a", "b").distinct()
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row of docs (doc_id, text; others unused).
+def _joined(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of texts (doc_id, text): stats (doc, n, d1, d2) of every row; links (a, b) that connect all sets that links connect.
 
-    Null and empty texts have no shingles and link with nothing, so their component is their own doc_id. Rows with one doc_id
-    are one node that has the links of each. A null doc_id is the smallest and names its component. An empty table gives
-    an empty result. Texts with equal sets link, whatever they look like.
+    A set is its digest: d1 names it in lists and links, so rows that share a doc_id keep a set each.
     """
-    texts = docs.select("doc_id", "text")
     entries = texts.mapInArrow(_entries, ENTRY).repartition("h").sortWithinPartitions("h")
     counted = cut(entries.mapInArrow(_counted, "doc long, n int, d1 long, d2 long, count int"), "jaccard")
     stats = counted.where("n IS NOT NULL").select("doc", "n", "d1", "d2")
@@ -317,11 +314,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * PERCENT / 100) / SHARE))
     maybe = counted.groupBy("doc").agg(n_max.alias("n"), F.sum("count").alias("count")).where(F.col("count") >= least).select("doc")
     # equal sets are one: the smallest document stands for them
-    same = stats.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc").alias("set"), F.max("doc").alias("other"))
-    standing = cut(maybe.join(same.select("d1", "d2", F.col("set").alias("doc")), "doc").select("doc", "d1", "d2"), "jaccard")
+    same = stats.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc").alias("doc"))
+    standing = cut(maybe.join(same.select("d1", "d2", "doc"), "doc").select("doc", "d1", "d2"), "jaccard")
     bits = standing.select((_filter_cell("doc") + 1).alias("cell")).groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
     built = _built(texts, bits)
-    sets = cut(built.join(standing, ["doc", "d1", "d2"], "left_semi").dropDuplicates(["doc"]).select(F.col("doc").alias("set"), "n", "tokens"), "jaccard")
+    sets = cut(built.join(standing, ["doc", "d1", "d2"], "left_semi").dropDuplicates(["d1", "d2"]).select(F.col("d1").alias("set"), "n", "tokens"), "jaccard")
     spread = sets.mapInArrow(_flat, "h long, set long").repartitionByRange("h", "set").sortWithinPartitions("h", "set")
     frequent = cut(spread.mapInArrow(_frequencies, FREQUENT), "jaccard")
     edges = frequent.where("kind = 2").groupBy("h").agg(F.sum("count").alias("total")).where("total > 1")
@@ -340,11 +337,41 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         of = cut(components(links), "jaccard")
     rows, _ = _round(lists, of)
     rest = cut(verified(_across(rows), sets), "jaccard")
-    graph = links.unionByName(rest).unionByName(stats.where("n > 0").join(same.where("other > set"), ["d1", "d2", "n"]).select(F.col("doc").alias("a"), F.col("set").alias("b")))
-    of = components(graph)
-    out = stats.join(of, stats["doc"] == of["node"], "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
+    return stats, links.unionByName(rest)
+
+
+def _classes(stats: DataFrame, links: DataFrame) -> DataFrame:
+    """set, class (sets that links connect have one class) and low, the smallest document of the class, of all sets."""
+    of = components(links)
+    same = stats.where("n > 0").groupBy(F.col("d1").alias("set")).agg(F.min("doc").alias("doc"))
+    rows = cut(same.join(of, same["set"] == of["node"], "left").select("set", F.coalesce("component", "set").alias("class"), "doc"), "jaccard")
+    return rows.select("set", "class").join(rows.groupBy("class").agg(F.min("doc").alias("low")), "class")
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row of docs (doc_id, text; others unused).
+
+    Null and empty texts have no shingles and link with nothing, so their component is their own doc_id. Rows with one doc_id
+    are one node that has the links of each. A null doc_id is the smallest and names its component. An empty table gives
+    an empty result. Texts with equal sets link, whatever they look like.
+    """
+    stats, links = _joined(docs.select("doc_id", "text"))
+    return _named(stats, _classes(stats, links)).select("doc_id", "n_shingles", "component_id")
+
+
+def _named(stats: DataFrame, classes: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row of stats, and what else classes has of its set."""
+    found = stats.join(classes.drop("class").withColumnRenamed("set", "d1"), "d1", "left").withColumn("low", F.coalesce("low", "doc"))
+    found = cut(found, "jaccard")
+    # documents with rows in several classes connect these
+    several = found.groupBy("doc").agg(F.min("low").alias("least"), F.max("low").alias("most")).where("least <> most").select("doc")
+    bridges = cut(found.join(several, "doc").select(F.col("doc").alias("a"), F.col("low").alias("b")).distinct(), "jaccard")
+    if not bridges.isEmpty():
+        # a document's number may be that of a class of which it is the smallest: it is then in that class
+        of = components(bridges)
+        found = found.join(of, found["low"] == of["node"], "left").withColumn("low", F.coalesce("component", "low")).drop("node", "component")
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return out.select(real("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), real("component").alias("component_id"))
+    return found.select(real("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), real("low").alias("component_id"), *found.columns[5:])
 
 
 def _built(texts: DataFrame, bits: DataFrame) -> DataFrame:

@@ -113,3 +113,19 @@ def test_components(spark):
             a, b = sorted((find(a), find(b)))
             parent[b] = a
     assert got == {x: find(x) for x in parent}
+
+
+def words(seed, n=40):
+    return [f"w{k}" for k in np.random.default_rng(seed).integers(0, 10**6, n)]
+
+
+def near(text, k):
+    """The text with its last word changed."""
+    return " ".join(text[:-1] + [f"end{k}"])
+
+
+def test_each_text_of_one_doc_id_keeps_its_links(spark):
+    a, b, c, d = (words(s) for s in range(4))
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (6, near(a, 1)), (7, near(b, 2)), (None, " ".join(c)), (None, " ".join(d)), (8, near(c, 3)), (9, near(d, 4)), (4, near(b, 5)), (10, " ".join(words(9))), (10, "")]
+    assert got(frame(spark, rows)) == brute(rows)
+    assert {r[0]: r[2] for r in got(frame(spark, rows))} == {5: 4, 6: 4, 7: 4, 4: 4, None: None, 8: None, 9: None, 10: 10}
