@@ -76,21 +76,21 @@ def _ids(part: pa.RecordBatch) -> np.ndarray:
     return part.column("doc_id").cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
 
 
-ENTRY = "h long, doc long, sure boolean, n int, d2 long, count int"
+ENTRY = "h long, doc long, sure boolean, n int, d2 long, count int, mark long"
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, doc, sure): first shingles; sure: it repeats here. And a row with n, digest (h, d2) and count for each document."""
+    """Rows (h, doc, sure): first shingles; sure: it repeats here. And a row with n, digest (h, d2), count and the text's mark for each document."""
     names = [c.split()[0] for c in ENTRY.split(", ")]
     claim("entries")
     hashes = WordHashes()
-    sets: list[tuple[int, np.ndarray]] = []
+    sets: list[tuple[int, np.ndarray, int]] = []
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal sets, size
         firsts = []
-        for _, s in sets:
+        for _, s, _ in sets:
             n = len(s)
             firsts.append(s[: n - need(n) + max(1, n // SHARE)] if n else s)
         flat = np.concatenate(firsts)
@@ -101,24 +101,24 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = np.flatnonzero(new)
         length = np.diff(np.append(start, len(flat)))
         counts = np.bincount(owner, np.repeat(length > 1, length), len(sets)).astype(np.int32)
-        ids = np.array([i for i, _ in sets], np.int64)
+        ids = np.array([i for i, _, _ in sets], np.int64)
         m = len(start)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(flat[start].view(np.int64)), pa.array(ids[owner[start]]), pa.array(length > 1), pa.array(np.zeros(m, np.int32), mask=np.ones(m, bool)), pa.array(np.zeros(m, np.int64)), pa.array(np.zeros(m, np.int32))],
+            [pa.array(flat[start].view(np.int64)), pa.array(ids[owner[start]]), pa.array(length > 1), pa.array(np.zeros(m, np.int32), mask=np.ones(m, bool)), pa.array(np.zeros(m, np.int64)), pa.array(np.zeros(m, np.int32)), pa.array(np.zeros(m, np.int64))],
             names,
         )
-        marks = [digest(s) for _, s in sets]
+        marks = [digest(s) for _, s, _ in sets]
         k = len(sets)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([a for a, _ in marks], pa.int64()), pa.array(ids), pa.array(np.zeros(k, bool)), pa.array([len(s) for _, s in sets], pa.int32()), pa.array([b for _, b in marks], pa.int64()), pa.array(counts)],
+            [pa.array([a for a, _ in marks], pa.int64()), pa.array(ids), pa.array(np.zeros(k, bool)), pa.array([len(s) for _, s, _ in sets], pa.int32()), pa.array([b for _, b in marks], pa.int64()), pa.array(counts), pa.array([x for _, _, x in sets], pa.int64())],
             names,
         )
         sets, size = [], 0
 
     for batch in batches:
         for part in pieces_of(batch, RUN_BYTES):
-            for i, s in zip(_ids(part).tolist(), shingles(as_bytes(part.column("text")), hashes)):
-                sets.append((i, s))
+            for i, s, x in zip(_ids(part).tolist(), shingles(as_bytes(part.column("text")), hashes), part.column("mark").to_pylist()):
+                sets.append((i, s, x))
                 size += len(s)
             if size >= CHUNK:
                 yield from flush()
@@ -127,8 +127,8 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of entries sorted by h: a document's (doc, n, d1, d2, count), and a row of count 1 for each of its shingles that other partitions have."""
-    names = ["doc", "n", "d1", "d2", "count"]
+    """Of entries sorted by h: a document's (doc, n, d1, d2, count, mark), and a row of count 1 for each of its shingles that other partitions have."""
+    names = ["doc", "n", "d1", "d2", "count", "mark"]
     carry: tuple[np.ndarray, ...] | None = None
 
     def counted(h: np.ndarray, doc: np.ndarray, sure: np.ndarray) -> np.ndarray:
@@ -139,14 +139,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows(doc: np.ndarray) -> pa.RecordBatch:
         zero, k = pa.array(np.zeros(len(doc), np.int64)), len(doc)
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.nulls(k, pa.int32()), zero, zero, pa.array(np.ones(k, np.int32))], names)
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.nulls(k, pa.int32()), zero, zero, pa.array(np.ones(k, np.int32)), zero], names)
 
     for batch in batches:
         n = batch.column("n")
         stats = n.is_valid()
         if pc.any(stats).as_py():
             own = batch.filter(stats)
-            yield pa.RecordBatch.from_arrays([own.column(c) for c in ("doc", "n", "h", "d2", "count")], names)
+            yield pa.RecordBatch.from_arrays([own.column(c) for c in ("doc", "n", "h", "d2", "count", "mark")], names)
             batch = batch.filter(n.is_null())
         if not batch.num_rows:
             continue
@@ -165,6 +165,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(counted(*carry))
 
 
+def _mark():
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64("text")
+
+
 def _filter_cell(doc):
     return F.pmod(F.xxhash64(doc), F.lit(1 << FILTER_BITS))
 
@@ -303,13 +308,13 @@ def _across(rows: DataFrame) -> DataFrame:
 
 
 def _joined(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of texts (doc_id, text): stats (doc, n, d1, d2) of every row; links (a, b) that connect all sets that links connect.
+    """Of texts (doc_id, text): stats (doc, mark of the text, n, d1, d2) of every row; links (a, b) that connect all sets that links connect.
 
     A set is its digest: d1 names it in lists and links, so rows that share a doc_id keep a set each.
     """
-    entries = texts.mapInArrow(_entries, ENTRY).repartition("h").sortWithinPartitions("h")
-    counted = cut(entries.mapInArrow(_counted, "doc long, n int, d1 long, d2 long, count int"), "jaccard")
-    stats = counted.where("n IS NOT NULL").select("doc", "n", "d1", "d2")
+    entries = texts.withColumn("mark", _mark()).mapInArrow(_entries, ENTRY).repartition("h").sortWithinPartitions("h")
+    counted = cut(entries.mapInArrow(_counted, "doc long, n int, d1 long, d2 long, count int, mark long"), "jaccard")
+    stats = counted.where("n IS NOT NULL").select("doc", "mark", "n", "d1", "d2")
     n_max = F.min(F.when(F.col("n") > 0, F.col("n")))
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * PERCENT / 100) / SHARE))
     maybe = counted.groupBy("doc").agg(n_max.alias("n"), F.sum("count").alias("count")).where(F.col("count") >= least).select("doc")
@@ -371,7 +376,7 @@ def _named(stats: DataFrame, classes: DataFrame) -> DataFrame:
         of = components(bridges)
         found = found.join(of, found["low"] == of["node"], "left").withColumn("low", F.coalesce("component", "low")).drop("node", "component")
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return found.select(real("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), real("low").alias("component_id"), *found.columns[5:])
+    return found.select(real("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), real("low").alias("component_id"), *(c for c in found.columns if c not in ("doc", "mark", "n", "d1", "d2", "low")))
 
 
 def _built(texts: DataFrame, bits: DataFrame) -> DataFrame:
@@ -402,11 +407,19 @@ def _built(texts: DataFrame, bits: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, of the smallest doc_id of each component; of one doc_id's rows the first by text."""
-    columns = docs.columns
-    stay = jaccard_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi")
-    return kept.withColumn("__row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__row = 1").select(*columns)
+    """The rows of docs, with all their columns, but one text of each group that links connect: that of the smallest doc_id (null first).
+
+    Texts count, not doc_ids: different texts under one doc_id, or without one, go only if links connect them with a text that stays.
+    Of one doc_id's texts in a group one stays; so does one of rows with equal doc_id and text. Texts without shingles all stay.
+    """
+    stats, links = _joined(docs.select("doc_id", "text"))
+    rows = stats.join(_classes(stats, links).select(F.col("set").alias("d1"), "class"), "d1", "left").select("doc", "mark", "class")
+    rows = cut(rows, "jaccard")
+    first = rows.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc", "mark")).alias("first")).select("first.doc", "first.mark")
+    stay = first.unionByName(rows.where("class IS NULL").select("doc", "mark")).distinct().select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"))
+    kept = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__mark": _mark()}).join(stay, ["__doc", "__mark"], "left_semi")
+    one = Window.partitionBy("__doc", "__mark").orderBy("text")
+    return kept.withColumn("__row", F.row_number().over(one)).where("__row = 1").select(*docs.columns)
 
 
 def op4_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,3 +129,11 @@ def test_each_text_of_one_doc_id_keeps_its_links(spark):
     rows = [(5, " ".join(a)), (5, " ".join(b)), (6, near(a, 1)), (7, near(b, 2)), (None, " ".join(c)), (None, " ".join(d)), (8, near(c, 3)), (9, near(d, 4)), (4, near(b, 5)), (10, " ".join(words(9))), (10, "")]
     assert got(frame(spark, rows)) == brute(rows)
     assert {r[0]: r[2] for r in got(frame(spark, rows))} == {5: 4, 6: 4, 7: 4, 4: 4, None: None, 8: None, 9: None, 10: 10}
+
+
+def test_keep_one_drops_no_unrelated_text(spark):
+    a, b, c, d = (words(s) for s in range(4))
+    rows = [(None, " ".join(a)), (None, " ".join(b)), (5, " ".join(c)), (5, " ".join(d)), (6, near(a, 1)), (7, near(d, 2)), (5, near(c, 3)), (8, " ".join(words(8))), (8, " ".join(words(8))), (9, None), (9, "")]
+    left = [(r.doc_id, r.text) for r in jaccard.keep_one(frame(spark, rows)).collect()]
+    assert len(left) == 7
+    assert {x for x in left if x[1] not in (" ".join(c), near(c, 3))} == {rows[0], rows[1], rows[3], rows[7], rows[9], rows[10]}
