@@ -18,6 +18,9 @@ Sets are word-shingle hashes. The join works on documents' distinct sets and nev
    they are all in the pair's difference. In a large group of near copies the first kind of set has linked by then and the
    second is skipped.
 
+5. If asked for, every set's number of links comes from its difference to the centre of its component (see _link_counts), also
+   for the pairs inside a component that the steps before have skipped.
+
 Every check is exact, on the whole sets.
 """
 
@@ -307,8 +310,9 @@ def _across(rows: DataFrame) -> DataFrame:
     return left.join(right, ["h", "block"]).where(smaller & F.expr(f"100 * na >= {PERCENT} * nb AND ca <> cb") & over).select("a", "b").distinct()
 
 
-def _joined(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of texts (doc_id, text): stats (doc, mark of the text, n, d1, d2) of every row; links (a, b) that connect all sets that links connect.
+def _joined(texts: DataFrame, counts: bool = False) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Of texts (doc_id, text): stats (doc, mark of the text, n, d1, d2) of every row; links (a, b) that connect all sets that links connect;
+    if counts, (set, n_links) of the sets that have links.
 
     A set is its digest: d1 names it in lists and links, so rows that share a doc_id keep a set each.
     """
@@ -342,7 +346,7 @@ def _joined(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         of = cut(components(links), "jaccard")
     rows, _ = _round(lists, of)
     rest = cut(verified(_across(rows), sets), "jaccard")
-    return stats, links.unionByName(rest)
+    return stats, links.unionByName(rest), _link_counts(of, links, rest, sets) if counts else None
 
 
 def _classes(stats: DataFrame, links: DataFrame) -> DataFrame:
@@ -353,6 +357,60 @@ def _classes(stats: DataFrame, links: DataFrame) -> DataFrame:
     return rows.select("set", "class").join(rows.groupBy("class").agg(F.min("doc").alias("low")), "class")
 
 
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(set, centre, f, k, size, tokens): the shingles that only one of a set and its centre has, and what they weigh."""
+    for batch in batches:
+        f, k, size, out, before, centre = [], [], [], [], None, None
+        for x, y, p in zip(batch.column("tokens_a").to_pylist(), batch.column("tokens_b").to_pylist(), batch.column("b").to_pylist()):
+            if p != before:
+                before, centre = p, np.frombuffer(y, np.uint64)
+            a = np.frombuffer(x, np.uint64)
+            more, less = np.setdiff1d(a, centre, True), np.setdiff1d(centre, a, True)
+            f.append(100 * len(less) + PERCENT * len(more))
+            k.append((100 - PERCENT) * len(centre))
+            size.append(len(less) + len(more))
+            out.append(np.concatenate([less, more]).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(f, pa.int64()), pa.array(k, pa.int64()), pa.array(size, pa.int32()), pa.array(out, pa.binary())], ["set", "centre", "f", "k", "n", "tokens"])
+
+
+def _link_counts(of: DataFrame | None, links: DataFrame, rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """(set, n_links) of all sets that link with another.
+
+    Inside a component all pairs count, without forming most of them. With d shingles of the component's centre S missing in a set,
+    e more than S has and f = 100 d + PERCENT e, two sets link if and only if f_a + f_b <= k + (100 + PERCENT) x: k is
+    (100 - PERCENT) |S| and x the number of shingles that both differences from S have. Pairs with f_a + f_b <= k are counted from
+    the numbers of sets by f; for the others, x must make up for the excess, so they meet in lists of the differences' shingles
+    (each set in those that any x that it needs must touch) and are checked one by one. Across components `rest` has the links.
+    """
+    ends = rest.select(F.col("a").alias("set")).unionByName(rest.select(F.col("b").alias("set"))).groupBy("set").agg(F.count(F.lit(1)).alias("n_links"))
+    if of is None:
+        return ends
+    centres = links.groupBy(F.col("b").alias("node")).count().join(of, "node").groupBy("component").agg(F.max(F.struct("count", "node")).alias("best"))
+    pairs = of.join(centres, "component").select(F.col("node").alias("a"), F.col("best.node").alias("b"))
+    left = sets.select(F.col("set").alias("a"), F.col("tokens").alias("tokens_a"))
+    right = sets.select(F.col("set").alias("b"), F.col("tokens").alias("tokens_b"))
+    apart = pairs.join(left, "a").join(right, "b").select("a", "b", "tokens_a", "tokens_b")
+    apart = cut(apart.mapInArrow(_differences, "set long, centre long, f long, k long, n int, tokens binary"), "jaccard")
+    by_f = apart.groupBy("centre", "k", "f").count()
+    asked = by_f.select("centre", F.col("f").alias("at"), "count").unionByName(by_f.select("centre", (F.col("k") - F.col("f")).alias("at"), F.lit(0).cast("long").alias("count")))
+    upto = Window.partitionBy("centre").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    reach = cut(asked.groupBy("centre", "at").agg(F.sum("count").alias("count")).withColumn("n_links", F.sum("count").over(upto)), "jaccard").select("centre", "at", "n_links")
+    near = apart.select("set", "centre", "k", "f", (F.col("k") - F.col("f")).alias("at")).join(reach, ["centre", "at"])
+    near = near.select("set", (F.col("n_links") - F.expr("int(2 * f <= k)")).alias("n_links"))  # less itself
+    most = by_f.groupBy("centre").agg(F.max("f").alias("most"))
+    far = cut(apart.join(most, "centre").where("f + most > k").drop("most"), "jaccard")
+    spread = far.mapInArrow(_flat, "h long, set long").join(far.select("set", "centre", "f", "k"), "set")
+    several = spread.groupBy("centre", "h").count().where("count > 1")
+    shared = spread.join(several, ["centre", "h"])
+    rows = shared.withColumn("rank", F.row_number().over(Window.partitionBy("set").orderBy("count", "h"))).withColumn("after", F.count(F.lit(1)).over(Window.partitionBy("set")) - F.col("rank") + 1)
+    rows = cut(rows.where("after >= greatest(1, ceil((f - k) / 100))").select("centre", "h", "set", "f", "k", "after"), "jaccard")
+    one, two = (rows.select("centre", "h", *(["k"] if c == "a" else []), F.col("set").alias(c), F.col("f").alias(f"f{c}"), F.col("after").alias(f"after_{c}")) for c in "ab")
+    meet = one.join(two, ["centre", "h"]).where(F.expr(f"a < b AND fa + fb > k AND {100 + PERCENT} * least(after_a, after_b) >= fa + fb - k"))
+    more = cut(verified(meet.select("a", "b").distinct(), sets), "jaccard")
+    more = more.select(F.col("a").alias("set")).unionByName(more.select(F.col("b").alias("set"))).groupBy("set").agg(F.count(F.lit(1)).alias("n_links"))
+    return near.unionByName(more).unionByName(ends).repartition("set").groupBy("set").agg(F.sum("n_links").alias("n_links"))
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row of docs (doc_id, text; others unused).
 
@@ -360,10 +418,20 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     are one node that has the links of each. A null doc_id is the smallest and names its component. An empty table gives
     an empty result. Texts with equal sets link, whatever they look like.
     """
-    stats, links = _joined(docs.select("doc_id", "text"))
+    stats, links, _ = _joined(docs.select("doc_id", "text"))
     return _named(stats, _classes(stats, links)).select("doc_id", "n_shingles", "component_id")
 
 
+def jaccard_links(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id as jaccard_components, and n_links: the other sets that the row's set links with, all of them verified.
+
+    Rows with equal sets are one set, so copies add nothing to n_links; they show in n_shingles and component_id.
+    """
+    stats, links, counts = _joined(docs.select("doc_id", "text"), True)
+    classes = _classes(stats, links).join(counts, "set", "left")
+    return _named(stats, classes).withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
+
+
 def _named(stats: DataFrame, classes: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of stats, and what else classes has of its set."""
     found = stats.join(classes.drop("class").withColumnRenamed("set", "d1"), "d1", "left").withColumn("low", F.coalesce("low", "doc"))
@@ -412,7 +480,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Texts count, not doc_ids: different texts under one doc_id, or without one, go only if links connect them with a text that stays.
     Of one doc_id's texts in a group one stays; so does one of rows with equal doc_id and text. Texts without shingles all stay.
     """
-    stats, links = _joined(docs.select("doc_id", "text"))
+    stats, links, _ = _joined(docs.select("doc_id", "text"))
     rows = stats.join(_classes(stats, links).select(F.col("set").alias("d1"), "class"), "d1", "left").select("doc", "mark", "class")
     rows = cut(rows, "jaccard")
     first = rows.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc", "mark")).alias("first")).select("first.doc", "first.mark")
@@ -423,4 +491,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op4_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_links(table(spark, sf_dir, "documents"))

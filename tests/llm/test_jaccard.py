@@ -137,3 +137,24 @@ def test_keep_one_drops_no_unrelated_text(spark):
     left = [(r.doc_id, r.text) for r in jaccard.keep_one(frame(spark, rows)).collect()]
     assert len(left) == 7
     assert {x for x in left if x[1] not in (" ".join(c), near(c, 3))} == {rows[0], rows[1], rows[3], rows[7], rows[9], rows[10]}
+
+
+def test_links_are_counted(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for n in (12, 60, 150):
+        base = words(n, n)
+        spot = [f"spot{k}" for k in range(4)]
+        for k in range(30):  # near and far copies, some with the same edits
+            copy = list(base)
+            for at in rng.integers(0, n, rng.integers(0, max(2, n // 8))):
+                copy[at] = str(rng.choice(spot)) if rng.random() < 0.6 else f"new{rng.integers(10**6)}"
+            rows.append(" ".join(copy))
+        rows += [" ".join(base[k * 2 :] + [f"c{n}"] * 3) for k in range(n // 4)]  # a chain whose ends don't link
+    rows += [rows[0].upper(), rows[40], "alone in the world it is", "", None]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in ((t or "").lower().split() for t in rows)]
+    links = {s: sum(1 for x in set(sets) if s and x and x != s and 100 * len(s & x) >= 75 * len(s | x)) for s in sets}
+    found = jaccard.jaccard_links(frame(spark, list(enumerate(rows)))).collect()
+    assert max(links.values()) > 10
+    assert sorted((r.doc_id, r.n_links) for r in found) == [(i, links[s]) for i, s in enumerate(sets)]
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == sorted(brute(list(enumerate(rows))))
