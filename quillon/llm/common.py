@@ -130,21 +130,23 @@ class Tokens:
     signs after it. Letters, after a space or not, are one pre-token and so is a run of signs, so the library's model is
     asked for these directly; any other piece goes through the whole library. Pieces and words are remembered, up to CACHE and WORDS of them. A text in which white space is anything
     else than single spaces and newlines between visible characters goes through the library whole, and so do all texts
-    of other tokenizers.
+    of other tokenizers. With added, an added token that a text holds literally is that token, as the library has it by default
+    (such texts go through it whole); without, it is text like any other.
     """
 
     SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import json
 
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not added
         self.dtype = np.uint32 if self.library.get_vocab_size() > 1 << 16 else np.uint16
         said = json.loads(self.library.to_str())
         kind = said.get("pre_tokenizer") or {}
+        self.added = [t["content"] for t in said.get("added_tokens") or [] if added or not t["special"]]
         self.split = kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space") and said.get("normalizer") is None and said["model"]["type"] == "BPE"
         self.code = "I" if self.dtype == np.uint32 else "H"
         self.model, self.letters = self.library.model, byte_letters()
@@ -177,6 +179,7 @@ class Tokens:
             words = text.replace("\n", " \n").split(" ") if text else []
             plain = not text or (
                 self.split and "" not in words and "\n" not in words and "\x00" not in text and len(text.split()) == len(words) and not text[0].isspace() and not text[-1].isspace()
+                and not any(t in text for t in self.added)
             )
             if plain and text:
                 words[0] = "\x00" + words[0]
@@ -190,7 +193,7 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-_tokens: dict[str, Tokens] = {}
+_tokens: dict[tuple[str, bool], Tokens] = {}
 _owner: list[str] = [""]
 _cleared: list[dict] = [_tokens]
 
@@ -214,15 +217,15 @@ def claim(name: str, caches: dict | None = None) -> None:
             pass
 
 
-def tokens(path: str) -> Tokens:
+def tokens(path: str, added: bool = False) -> Tokens:
     """One encoder for a Python worker."""
     claim("tokens")
-    if path not in _tokens:
+    if (path, added) not in _tokens:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _tokens[path] = Tokens(path)
-    return _tokens[path]
+        _tokens[path, added] = Tokens(path, added)
+    return _tokens[path, added]
 
 
 def crc_of_ids(ids: np.ndarray) -> int:

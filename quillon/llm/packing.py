@@ -73,7 +73,7 @@ class Bins:
         return [(*r, k, None, None) for k, waiting in sorted(self.open.items()) for r, _ in waiting]
 
 
-def _pack(path: str, end: int, capacity: int):
+def _pack(path: str, end: int, capacity: int, added: bool):
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     kinds = [pa.int64()] * 6 + [pa.int32()] + [pa.int64()] * 2
 
@@ -83,7 +83,7 @@ def _pack(path: str, end: int, capacity: int):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, bins = tokens(path), TaskContext.get().partitionId(), Bins(capacity)
+        encoder, part, bins = tokens(path, added), TaskContext.get().partitionId(), Bins(capacity)
         for batch in batches:
             for some in pieces_of(batch, 4 << 20):
                 rows = []
@@ -115,13 +115,13 @@ def _first_fit(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, end: int = 0, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, end: int = 0, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece of docs (doc_id, text).
 
     A null text counts as empty: one piece with the end id alone. Rows repeated with one doc_id are packed each. An empty
     table gives an empty result. Sequences differ with the input's partitions; the pieces of a document don't.
     """
-    pieces = cut(docs.select("doc_id", "text").mapInArrow(_pack(tokenizer or default_tokenizer(), end, capacity), SCHEMA), "packing")
+    pieces = cut(docs.select("doc_id", "text").mapInArrow(_pack(tokenizer or default_tokenizer(), end, capacity, added), SCHEMA), "packing")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     filled = pieces.where("bin IS NOT NULL").select(*names, F.expr("shiftleft(part, 31) + bin").alias("sequence_id"), "offset")
     rest = pieces.where("bin IS NULL").select(*names, "part", "class")
@@ -148,4 +148,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end: int = 0, capacity:
 
 
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), added=True)

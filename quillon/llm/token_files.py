@@ -24,9 +24,9 @@ PAGE = 256 << 10
 SCHEMA = "doc_id long, shard int, shard_start long, n_tokens long, ids array<int>"
 
 
-def _encode(path: str, end: int):
+def _encode(path: str, end: int, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, start = tokens(path), TaskContext.get().partitionId(), 0
+        encoder, shard, start = tokens(path, added), TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in pieces_of(batch, 4 << 20):
                 ids = encoder.of(part.column("text").to_pylist())
@@ -50,7 +50,7 @@ def _encode(path: str, end: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END, added: bool = False) -> None:
     """Writes the ids of every whole text (doc_id, text; other columns are not used), each followed by `end`, to `path`.
 
     A null text counts as empty, so its document is the end id alone. Null doc_ids come first; rows repeated with one doc_id
@@ -58,7 +58,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end:
     """
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     (
-        ordered.mapInArrow(_encode(tokenizer or default_tokenizer(), end), SCHEMA)
+        ordered.mapInArrow(_encode(tokenizer or default_tokenizer(), end, added), SCHEMA)
         .write.option("compression", "zstd")
         .option("parquet.writer.version", "v2")
         .option("parquet.block.size", str(ROW_GROUP))
@@ -95,7 +95,7 @@ def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "tokens")
-    write_tokens(table(spark, sf_dir, "documents"), path)
+    write_tokens(table(spark, sf_dir, "documents"), path, added=True)
     files = read_tokens(spark, path)
     rows = files.select("doc_id", "shard", "shard_start", "ids").mapInArrow(_crc, "doc_id long, shard int, shard_start long, n_tokens long, ids_crc32 long")
     return rows.join(shard_starts(files), "shard").select("doc_id", (F.col("base") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")

@@ -128,3 +128,17 @@ def test_op6_pads_little_and_keeps_every_id(spark, library):
             assert start == at
             at += length
     assert len(seen) == len(docs)
+
+
+def test_added_tokens_are_the_librarys_by_default(spark, tmp_path):
+    plain = Tokenizer.from_file(common.default_tokenizer())
+    texts = TEXTS + ["a<|endoftext|>b c", "<|endoftext|>", "one <|endoftext|> two\nthree"]
+    encoder = common.Tokens(common.default_tokenizer(), added=True)
+    assert [x.tolist() for x in encoder.of(texts)] == [expected(plain, t) for t in texts]
+    rows = [(i, t, "", "") for i, t in enumerate(texts[-3:])]
+    frame(spark, rows).select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    want = [(i, len(x) + 1, zlib.crc32(np.array(x + [0], "<u4").tobytes())) for i, x in enumerate(expected(plain, t) for t in texts[-3:])]
+    files = token_files.op3_token_files(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in files) == want
+    packed = packing.op6_pack(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.doc_tokens, r.ids_crc32) for r in packed) == want
