@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -16,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Python-side caches are emptied at this size, so that their memory does not follow the corpus.
 CACHE = 400_000
-#: Words whose ids a Python worker remembers.
-WORDS = 700_000
+#: Text that is encoded at once.
+RUN_BYTES = 10 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,46 +96,30 @@ def window_hashes(words: np.ndarray, width: int, seed: int) -> np.ndarray:
     return mix(total)
 
 
-def byte_letters() -> dict[int, str]:
-    """How byte-level vocabularies write bytes: printable ones as themselves, the others in order from code point 256."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
-
-
-class Bounded(dict):
-    """A cache that fills up to a size, keeps what came first (the frequent), and starts anew after many misses."""
-
-    def __init__(self, find, size: int):
-        self.find, self.size, self.missed = find, size, 0
-
-    def __missing__(self, key):
-        value = self.find(key)
-        if len(self) < self.size:
-            self[key] = value
-        else:
-            self.missed += 1
-            if self.missed > 4 * self.size:
-                self.clear()
-                self.missed = 0
-        return value
+#: White space that makes a text go through the library whole: anything but single spaces and newlines between visible characters.
+ODD = r"\A[ \n]|[ \n]\z|[ \n][ \n]|[\x00\t\x0B-\x0D\x1C-\x1F\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: Letters of long-settled scripts (Latin, Greek, Cyrillic, Han) and signs of ASCII: a run of the first and a run of the second after it are two pre-tokens.
+LETTERS = r"A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}\x{3B1}-\x{3C9}\x{410}-\x{44F}\x{4E00}-\x{9FA5}"
+SIGNS = r"!-/:-@\[-`{-~"
 
 
 class Tokens:
-    """Token ids of whole texts by the tokenizers library.
+    """Token ids of whole texts by the tokenizers library, by Arrow batch.
 
     For a byte-level pre-tokenizer: it never joins a visible character with the white space after it, so a text's ids are
-    the ids of its pieces " word" and "\\nword" one after the other; nor a letter with the
-    signs after it. Letters, after a space or not, are one pre-token and so is a run of signs, so the library's model is
-    asked for these directly; any other piece goes through the whole library. Pieces and words are remembered, up to CACHE and WORDS of them. A text in which white space is anything
-    else than single spaces and newlines between visible characters goes through the library whole, and so do all texts
-    of other tokenizers. With added, an added token that a text holds literally is that token, as the library has it by default
-    (such texts go through it whole); without, it is text like any other.
+    the ids of its pieces " word" and "\\nword" one after the other; nor a letter with the signs after it, so a word and its
+    signs are two units. A batch is split and its units numbered by Arrow; the library encodes each distinct unit
+    once (many in one call, a newline between them), and numpy gathers the ids of the texts. Units of earlier batches are remembered up to UNITS of
+    them and UNIT_BYTES of text, in Arrow arrays. A text in which white space is anything else than single spaces and newlines between visible
+    characters goes through the library whole, and so do all texts of other tokenizers. An added token that a text holds literally is that token, as
+    the library has it by default (such texts go through it whole); with added=False it is text like any other.
     """
 
-    SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+    UNITS = 500_000
+    UNIT_BYTES = 8 << 20
+    CALL = 1000
 
-    def __init__(self, path: str, added: bool = False):
+    def __init__(self, path: str, added: bool = True):
         import json
 
         from tokenizers import Tokenizer
@@ -148,43 +131,118 @@ class Tokens:
         kind = said.get("pre_tokenizer") or {}
         self.added = [t["content"] for t in said.get("added_tokens") or [] if added or not t["special"]]
         self.split = kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space") and said.get("normalizer") is None and said["model"]["type"] == "BPE"
-        self.code = "I" if self.dtype == np.uint32 else "H"
-        self.model, self.letters = self.library.model, byte_letters()
-        self.pieces, self.words = Bounded(self._piece, CACHE), Bounded(self._word, WORDS)
-        self.line = self._whole("\n")
-
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        return array(self.code, [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        # "\x00" marks a text's first word, "\n" a line's; other pieces have had a space before them
-        lead = piece[0]
-        word = piece[1:] if lead == "\x00" or lead == "\n" else " " + piece
-        bare = word.rstrip(self.SIGNS)
-        if bare.lstrip(" ").isalpha():
-            ids = self.words[bare]
-            if len(bare) < len(word):
-                ids += self.words[word[len(bare) :]]
-        else:
-            ids = self._whole(word)
-        return self.line + ids if lead == "\n" else ids
+        line = self._whole("\n")
+        self.line = line[0] if len(line) == 1 else None
+        self.split = self.split and self.line is not None
+        self.units, self.starts, self.ids = pa.array([], pa.string()), np.zeros(1, np.int64), np.zeros(0, self.dtype)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
+
+    def _encoded(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ids of units (none empty, no newlines in them), by the library."""
+        words = units.to_pylist()
+        found = [np.zeros(0, self.dtype)]
+        for a in range(0, len(words), self.CALL * 16):
+            runs = ["\n".join(words[i : i + self.CALL]) + "\n" for i in range(a, min(a + self.CALL * 16, len(words)), self.CALL)]
+            found += [np.asarray(e.ids, self.dtype) for e in self.library.encode_batch_fast(runs, add_special_tokens=False)]
+        flat = np.concatenate(found)
+        ends = np.flatnonzero(flat == self.line)
+        starts = np.concatenate([[0], ends - np.arange(len(ends))])
+        return starts, np.delete(flat, ends)
+
+    def _known(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First id, number of ids, and the ids, of distinct units."""
+        place = pc.index_in(units, value_set=self.units) if len(self.units) else pa.nulls(len(units), pa.int32())
+        new = units.filter(place.is_null())
+        starts, ids = self._encoded(new)
+        room = min(len(new), self.UNITS - len(self.units)) if self.units.nbytes < self.UNIT_BYTES else 0
+        base = len(self.ids)
+        lengths_old, lengths_new = np.diff(self.starts), np.diff(starts)
+        at = place.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at[at < 0] = len(lengths_old) + np.arange(len(new))
+        first = np.concatenate([self.starts[:-1], base + starts[:-1]])[at]
+        length = np.concatenate([lengths_old, lengths_new])[at]
+        both = np.concatenate([self.ids, ids])
+        if room > 0:
+            self.units = pa.concat_arrays([self.units, new.slice(0, room)])
+            self.starts = np.concatenate([self.starts, base + starts[1 : room + 1]])
+            self.ids = both[: self.starts[-1]].copy()
+        return first, length, both
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As _known, of distinct words: "\x00" marks a text's first word, "\n" a line's; other words have had a space before them."""
+        parts = pc.extract_regex(words, f"\\A(?P<lead>[\\x00\\n]?)(?P<bare>[{LETTERS}]+)(?P<tail>[{SIGNS}]*)\\z")
+        simple = parts.is_valid()
+        lead = pc.starts_with(words, "\n")
+        spaced = pc.invert(pc.or_(lead, pc.starts_with(words, "\x00")))
+        bare = pc.if_else(simple, pc.struct_field(parts, "bare"), pc.if_else(spaced, words, pc.utf8_slice_codeunits(words, 1)))
+        units = pc.if_else(spaced, pc.binary_join_element_wise(" ", bare, ""), bare)
+        tails = pc.struct_field(parts, "tail")
+        tails = pc.if_else(pc.equal(pc.binary_length(tails), 0), None, tails)
+        coded = pa.concat_arrays([units, tails]).dictionary_encode()
+        first, length, ids = self._known(coded.dictionary)
+        # after the units: a newline, and nothing
+        n, line, nothing = len(words), len(first), len(first) + 1
+        first, length, ids = np.append(first, [len(ids), 0]), np.append(length, [1, 0]), np.append(ids, self.dtype(self.line))
+        index = coded.indices.fill_null(nothing).to_numpy(zero_copy_only=False)
+        three = np.empty((n, 3), np.int64)
+        three[:, 0] = np.where(lead.to_numpy(zero_copy_only=False), line, nothing)
+        three[:, 1], three[:, 2] = index[:n], index[n:]
+        flat, _ = gathered(first, length, ids, three.reshape(-1))
+        sizes = length[three].sum(1)
+        return np.cumsum(sizes) - sizes, sizes, flat
+
+    def flat(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets and ids of all texts, one after the other; null counts as empty; with end, each is followed by it."""
+        texts = texts.cast(pa.string()).fill_null("")
+        n = len(texts)
+        empty = pc.equal(pc.binary_length(texts), 0)
+        odd = pc.match_substring_regex(texts, ODD) if self.split else pa.array(np.ones(n, bool))
+        for token in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
+        odd = pc.and_(odd, pc.invert(empty))
+        plain = pc.invert(pc.or_(odd, empty))
+        counts, ids = np.zeros(n, np.int64), np.zeros(0, self.dtype)
+        if pc.any(plain).as_py():
+            lists = pc.split_pattern(pc.binary_join_element_wise("\x00", pc.replace_substring(texts.filter(plain), "\n", " \n"), ""), " ")
+            coded = lists.flatten().dictionary_encode()
+            first, length, known = self._words(coded.dictionary)
+            index = np.asarray(coded.indices)
+            ids, sizes = gathered(first, length, known, index)
+            offsets = np.asarray(lists.offsets).astype(np.int64)
+            counts[plain.to_numpy(zero_copy_only=False)] = np.add.reduceat(sizes, offsets[:-1] - offsets[0])
+        whole = {int(i): self._whole(texts[int(i)].as_py()) for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False))}
+        for i, x in whole.items():
+            counts[i] = len(x)
+        if whole or end is not None:
+            sizes = counts + (end is not None)
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+            out = np.full(offsets[-1], 0 if end is None else end, self.dtype)
+            kept = np.ones(len(out), bool)
+            if end is not None:
+                kept[offsets[1:] - 1] = False
+            for i, x in whole.items():
+                out[offsets[i] : offsets[i] + len(x)] = x
+                kept[offsets[i] : offsets[i] + len(x)] = False
+            out[kept] = ids
+            return offsets, out
+        return np.concatenate([[0], np.cumsum(counts)]), ids
 
     def of(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null counts as empty."""
-        out, get = [], self.pieces.__getitem__
-        for text in texts:
-            words = text.replace("\n", " \n").split(" ") if text else []
-            plain = not text or (
-                self.split and "" not in words and "\n" not in words and "\x00" not in text and len(text.split()) == len(words) and not text[0].isspace() and not text[-1].isspace()
-                and not any(t in text for t in self.added)
-            )
-            if plain and text:
-                words[0] = "\x00" + words[0]
-            out.append(np.frombuffer(b"".join(map(get, words)) if plain else self._whole(text), self.dtype))
-        return out
+        offsets, ids = self.flat(pa.array(texts, pa.string()))
+        return [ids[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+
+
+def gathered(first: np.ndarray, length: np.ndarray, values: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """values[first[i] : first[i] + length[i]] for each i of index, one after the other, and their lengths."""
+    sizes = length[index]
+    ends = np.cumsum(sizes)
+    small = np.int32 if len(values) < 1 << 31 and (not len(ends) or ends[-1] < 1 << 31) else np.int64
+    place = np.repeat((first[index] - (ends - sizes)).astype(small), sizes)
+    place += np.arange(len(place), dtype=small)
+    return values[place], sizes
 
 
 def default_tokenizer() -> str:
@@ -217,7 +275,7 @@ def claim(name: str, caches: dict | None = None) -> None:
             pass
 
 
-def tokens(path: str, added: bool = False) -> Tokens:
+def tokens(path: str, added: bool = True) -> Tokens:
     """One encoder for a Python worker."""
     claim("tokens")
     if (path, added) not in _tokens:
@@ -226,7 +284,3 @@ def tokens(path: str, added: bool = False) -> Tokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _tokens[path, added] = Tokens(path, added)
     return _tokens[path, added]
-
-
-def crc_of_ids(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())

@@ -10,6 +10,7 @@ after the last round (less than one bin a class, so a fixed number of pieces) is
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import crc_of_ids, cut, default_tokenizer, pieces_of, table, tokens
+from quillon.llm.common import RUN_BYTES, cut, default_tokenizer, pieces_of, table, tokens
 
 CAPACITY = 1024
 SLACK = 0.02
@@ -85,12 +86,13 @@ def _pack(path: str, end: int, capacity: int, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, bins = tokens(path, added), TaskContext.get().partitionId(), Bins(capacity)
         for batch in batches:
-            for some in pieces_of(batch, 4 << 20):
-                rows = []
-                for doc, ids in zip(some.column("doc_id").to_pylist(), encoder.of(some.column("text").to_pylist())):
-                    ids, start = np.append(ids, ids.dtype.type(end)), 0
-                    for n in cuts(len(ids), capacity):
-                        rows += bins.add((doc, start, n, crc_of_ids(ids[start : start + n]), len(ids)), n)
+            for some in pieces_of(batch, RUN_BYTES):
+                offsets, flat = encoder.flat(some.column("text"), end)
+                flat, rows = flat.astype("<u4"), []
+                for doc, first, after in zip(some.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+                    start = 0
+                    for n in cuts(after - first, capacity):
+                        rows += bins.add((doc, start, n, zlib.crc32(flat[first + start : first + start + n]), after - first), n)
                         start += n
                 yield batch_of(rows, part)
         yield batch_of(bins.rest(), part)
@@ -115,7 +117,7 @@ def _first_fit(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, end: int = 0, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, end: int = 0, capacity: int = CAPACITY, added: bool = True) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece of docs (doc_id, text).
 
     A null text counts as empty: one piece with the end id alone. Rows repeated with one doc_id are packed each. An empty
@@ -148,4 +150,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end: int = 0, capacity:
 
 
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), added=True)
+    return pack(table(spark, sf_dir, "documents"))

@@ -8,6 +8,7 @@ ranges of doc_id and a shard's rows are sorted. A reader of metadata alone never
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import crc_of_ids, default_tokenizer, pieces_of, shared_path, table, tokens
+from quillon.llm.common import RUN_BYTES, default_tokenizer, pieces_of, shared_path, table, tokens
 
 END = 0
 ROW_GROUP = 32 << 20
@@ -28,20 +29,16 @@ def _encode(path: str, end: int, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, start = tokens(path, added), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part in pieces_of(batch, 4 << 20):
-                ids = encoder.of(part.column("text").to_pylist())
-                n = np.fromiter((len(x) + 1 for x in ids), np.int64, len(ids))
-                offsets = np.concatenate([[0], np.cumsum(n)])
-                flat = np.full(offsets[-1], end, np.int32)
-                for a, x in zip(offsets, ids):
-                    flat[a : a + len(x)] = x
+            for part in pieces_of(batch, RUN_BYTES):
+                offsets, flat = encoder.flat(part.column("text"), end)
+                n = np.diff(offsets)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").cast(pa.int64()),
                         pa.array(np.full(len(n), shard, np.int32)),
                         pa.array(start + offsets[:-1]),
                         pa.array(n),
-                        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat)),
+                        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.astype(np.int32))),
                     ],
                     ["doc_id", "shard", "shard_start", "n_tokens", "ids"],
                 )
@@ -50,7 +47,7 @@ def _encode(path: str, end: int, added: bool):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END, added: bool = False) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END, added: bool = True) -> None:
     """Writes the ids of every whole text (doc_id, text; other columns are not used), each followed by `end`, to `path`.
 
     A null text counts as empty, so its document is the end id alone. Null doc_ids come first; rows repeated with one doc_id
@@ -85,17 +82,17 @@ def shard_starts(files: DataFrame) -> DataFrame:
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("ids")
-        offsets, flat = np.asarray(ids.offsets), np.asarray(ids.values)
+        offsets, flat = np.asarray(ids.offsets), np.asarray(ids.values).astype("<u4")
         yield pa.RecordBatch.from_arrays(
             [batch.column(c) for c in ("doc_id", "shard", "shard_start")]
-            + [pa.array(np.diff(offsets).astype(np.int64)), pa.array([crc_of_ids(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.int64())],
+            + [pa.array(np.diff(offsets).astype(np.int64)), pa.array([zlib.crc32(flat[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.int64())],
             ["doc_id", "shard", "shard_start", "n_tokens", "ids_crc32"],
         )
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "tokens")
-    write_tokens(table(spark, sf_dir, "documents"), path, added=True)
+    write_tokens(table(spark, sf_dir, "documents"), path)
     files = read_tokens(spark, path)
     rows = files.select("doc_id", "shard", "shard_start", "ids").mapInArrow(_crc, "doc_id long, shard int, shard_start long, n_tokens long, ids_crc32 long")
     return rows.join(shard_starts(files), "shard").select("doc_id", (F.col("base") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")

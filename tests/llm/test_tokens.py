@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -14,9 +15,7 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def library():
-    library = Tokenizer.from_file(common.default_tokenizer())
-    library.encode_special_tokens = True
-    return library
+    return Tokenizer.from_file(common.default_tokenizer())
 
 
 def expected(library, text):
@@ -37,6 +36,20 @@ def test_pieces_of_random_texts(library):
     assert [x.tolist() for x in encoder.of(texts)] == [expected(library, t) for t in texts]
 
 
+def test_random_words_in_small_caches(library):
+    rng = np.random.default_rng(4)
+    alphabet = np.array(list("abtsdmlverABé's'.,!-(1東жʼ\u0301"))
+    words = ["".join(rng.choice(alphabet, rng.integers(1, 9))) for _ in range(5000)]
+    texts = ["".join(w + s for w, s in zip(rng.choice(words, 30), rng.choice(list("    \n"), 30)))[:-1] for _ in range(400)]
+    encoder = common.Tokens(common.default_tokenizer())
+    encoder.UNITS, encoder.CALL = 700, 13
+    for a in range(0, 400, 80):
+        offsets, ids = encoder.flat(pa.array(texts[a : a + 80] + [None, ""]), 7)
+        assert [ids[x:y].tolist() for x, y in zip(offsets[:-1], offsets[1:])] == [expected(library, t) + [7] for t in texts[a : a + 80]] + [[7], [7]]
+    assert len(encoder.units) == 700 and len(encoder.starts) == 701 and encoder.starts[-1] == len(encoder.ids)
+    assert [len(x) for x in encoder.flat(pa.array([], pa.string()))] == [1, 0]
+
+
 def frame(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, ids string, start string")
 
@@ -133,8 +146,11 @@ def test_op6_pads_little_and_keeps_every_id(spark, library):
 def test_added_tokens_are_the_librarys_by_default(spark, tmp_path):
     plain = Tokenizer.from_file(common.default_tokenizer())
     texts = TEXTS + ["a<|endoftext|>b c", "<|endoftext|>", "one <|endoftext|> two\nthree"]
-    encoder = common.Tokens(common.default_tokenizer(), added=True)
+    encoder = common.Tokens(common.default_tokenizer())
     assert [x.tolist() for x in encoder.of(texts)] == [expected(plain, t) for t in texts]
+    spelt = Tokenizer.from_file(common.default_tokenizer())
+    spelt.encode_special_tokens = True
+    assert [x.tolist() for x in common.Tokens(common.default_tokenizer(), added=False).of(texts)] == [expected(spelt, t) for t in texts]
     rows = [(i, t, "", "") for i, t in enumerate(texts[-3:])]
     frame(spark, rows).select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
     want = [(i, len(x) + 1, zlib.crc32(np.array(x + [0], "<u4").tobytes())) for i, x in enumerate(expected(plain, t) for t in texts[-3:])]
