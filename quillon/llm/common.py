@@ -17,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 CACHE = 400_000
 #: Text that is encoded at once.
 RUN_BYTES = 10 << 20
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,16 +26,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset and Spark is local, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+_folders: dict[tuple[str, str], str] = {}
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's own folder of the shared one, which goes when the driver's JVM ends."""
+    key = spark.sparkContext.applicationId, shared_folder(spark)
+    if key not in _folders:
+        _folders[key] = f"{key[1]}/quillon-{key[0]}-{uuid.uuid4().hex[:8]}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(_folders[key])
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+    return f"{_folders[key]}/{name}-{uuid.uuid4().hex}"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches that go to Python workers hold so many bytes, not only so many rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

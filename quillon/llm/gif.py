@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm.common import as_bytes, pieces_of, table
+from quillon.llm.common import as_bytes, pieces_of, small_batches, table
 
 WIDTH = 64
 FRAME_ROWS = 4096
@@ -316,6 +316,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
     A null text counts as empty; an empty one is a row of zeros. Texts of any length are whole, in as many frames as needed.
     """
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 

@@ -12,16 +12,17 @@ document's language is the one with most letters.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import CACHE, claim, held_out, mix, pieces_of, table
+from quillon.llm.common import RUN_BYTES, claim, held_out, mix, pieces_of, small_batches, table
 
 #: Bounds of the training sample: documents of each language (expected) and distinct words of each language.
 TRAIN_DOCS = 2000
@@ -32,9 +33,11 @@ SMOOTH = 0.5
 #: Price of a change of language, in nats; most that one word can speak for or against a language.
 SWITCH = 12.0
 CLIP = 10.0
+#: Words that are scored at once.
+SCORED = 16_384
 #: A language uses a script if at least this share of its letters is in it.
 SCRIPT_SHARE = 0.02
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 #: First code points of script ranges (Unicode blocks), each up to the next one; fixed values.
 SCRIPTS = [
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"), (0x0780, "Other"),
@@ -157,48 +160,68 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
 
 
 class Labeller:
-    """Words of texts to labels; words' scores are remembered."""
+    """Words of texts to labels. Words of earlier runs keep their scores, up to KNOWN of them, in Arrow and numpy arrays."""
+
+    KNOWN = 300_000
 
     def __init__(self, model: Model):
-        self.model, self.rows, self.known = model, np.zeros((0, len(model.langs)), np.float32), {}
-
-    def label(self, texts: list[str | None], spans: bool = False) -> list[tuple[str, float, list]]:
-        """(lang, score, spans) of each text; spans: (first character, end, lang) of runs of one language, if asked for."""
-        found = [LETTERS.findall(t.lower()) if t else [] for t in texts]
-        missing = list({w for words in found for w in words} - self.known.keys())
-        if len(self.known) + len(missing) > CACHE:
-            self.known, self.rows = {}, self.rows[:0]
-            missing = list({w for words in found for w in words})
-        if missing:
-            letters = [any(map(str.isalpha, w)) for w in missing]
-            new = self.model.scores(missing) if self.model.langs else np.zeros((len(missing), 0), np.float32)
-            new[~np.array(letters)] = 0
-            self.known.update(zip(missing, range(len(self.rows), len(self.rows) + len(missing))))
-            self.rows = np.concatenate([self.rows, new])
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        index = np.fromiter((self.known[w] for words in found for w in words), np.int64, int(lengths.sum()))
-        langs, k = self.model.langs, len(self.model.langs)
-        label = viterbi(self.rows[index], lengths) if k else index * 0
-        weight = np.fromiter((len(w) for words in found for w in words), np.float64, len(index))
-        owner = np.repeat(np.arange(len(found)), lengths)
-        votes = np.bincount(owner * max(k, 1) + label, weight, len(found) * max(k, 1)).reshape(len(found), max(k, 1))
-        out, ends = [], np.cumsum(lengths)
-        for i, text in enumerate(texts):
-            total = votes[i].sum()
-            if not total or not k or not any(map(str.isalpha, "".join(found[i][:50]) or "")) and not any(map(str.isalpha, text)):
-                out.append(("und", 0.0, []))
-                continue
-            best = int(votes[i].argmax())
-            own = label[ends[i] - lengths[i] : ends[i]]
-            out.append((langs[best], float(votes[i][best] / total), _spans(text, own, langs) if spans else int((np.diff(own) != 0).sum()) + 1))
-        return out
-
-
-def _spans(text: str, labels: np.ndarray, langs: list[str]) -> list[tuple[int, int, str]]:
-    """Positions are those of the lower-cased text's words found again in the text itself."""
-    places = [m.span() for m in LETTERS.finditer(text)]
-    if len(places) != len(labels):  # lower-casing changed a word's extent
-        places = [m.span() for m in LETTERS.finditer(text.lower())]
+        self.model, self.rows, self.known = model, np.zeros((0, len(model.langs)), np.float32), pa.array([], pa.string())
+
+    def _scores(self, words: pa.Array) -> np.ndarray:
+        """Scores of distinct words."""
+        place = pc.index_in(words, value_set=self.known) if len(self.known) else pa.nulls(len(words), pa.int32())
+        missing = words.filter(place.is_null())
+        # a few words at once: their n-grams take far more room than they do
+        new = [self.model.scores(missing.slice(i, SCORED).to_pylist()) for i in range(0, len(missing), SCORED)]
+        at = place.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at[at < 0] = len(self.rows) + np.arange(len(missing))
+        rows = np.concatenate([self.rows, *new])
+        room = self.KNOWN - len(self.known)
+        if room > 0 and len(missing):
+            self.known = pa.concat_arrays([self.known, missing.slice(0, room)])
+            self.rows = rows[: len(self.known)].copy()
+        return rows[at]
+
+    def label(self, texts: list[str | None], spans: bool = False) -> list[tuple[str, float, list | int]]:
+        """(lang, score, spans or their number) of each text."""
+        best, score, found = self.numbered(pa.array(texts, pa.string()), spans)
+        return [(self.model.langs[k] if k >= 0 else "und", float(x), f) for k, x, f in zip(best, score, found)]
+
+    def numbered(self, texts: pa.Array, spans: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | list]:
+        """Of each text the number of its language (-1: no letter), its share of the letters, and its number of runs of one
+        language, or, if asked for, the runs: (first character, end, lang)."""
+        texts = texts.cast(pa.string()).fill_null("")
+        if spans:
+            places = [[m.span() for m in LETTERS.finditer(t.as_py())] for t in texts]
+            words = pa.array([t.as_py()[a:b].lower() for t, own in zip(texts, places) for a, b in own], pa.string())
+            lengths = np.fromiter(map(len, places), np.int64, len(places))
+        else:
+            lists = pc.split_pattern_regex(pc.utf8_lower(texts), r"\P{L}+")
+            words, offsets = lists.flatten(), np.asarray(lists.offsets).astype(np.int64)
+            real = pc.greater(pc.binary_length(words), 0)
+            count = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+            lengths = np.diff(count[offsets - offsets[0]])
+            words = words.filter(real)
+        n, k = len(texts), len(self.model.langs)
+        if not k or not len(words):
+            return np.full(n, -1), np.zeros(n), [[]] * n if spans else np.zeros(n, np.int64)
+        coded = words.dictionary_encode()
+        index = np.asarray(coded.indices)
+        letters = np.asarray(pc.utf8_length(coded.dictionary))
+        label = viterbi(self._scores(coded.dictionary)[index], lengths)
+        owner = np.repeat(np.arange(n), lengths)
+        votes = np.bincount(owner * k + label, letters[index], n * k).reshape(n, k)
+        total = votes.sum(1)
+        best = np.where(total > 0, votes.argmax(1), -1)
+        score = np.where(total > 0, votes.max(1) / np.maximum(total, 1), 0.0)
+        if spans:
+            ends = np.cumsum(lengths)
+            return best, score, [_spans(own, label[b - len(own) : b], self.model.langs) for own, b in zip(places, ends)]
+        moved = np.flatnonzero((label[1:] != label[:-1]) & (owner[1:] == owner[:-1]))
+        return best, score, np.bincount(owner[moved], minlength=n) + (lengths > 0)
+
+
+def _spans(places: list[tuple[int, int]], labels: np.ndarray, langs: list[str]) -> list[tuple[int, int, str]]:
     out: list[tuple[int, int, str]] = []
     for (a, b), k in zip(places, labels):
         if out and out[-1][2] == langs[k]:
@@ -213,13 +236,14 @@ def _predict(model, with_spans: bool):
         claim("language")
         labeller = Labeller(model.value)
         for batch in batches:
-            for part in pieces_of(batch, 4 << 20):
-                found = labeller.label(part.column("text").to_pylist(), with_spans)
-                columns = list(part.columns) + [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+            for part in pieces_of(batch, RUN_BYTES):
+                best, score, found = labeller.numbered(part.column("text"), with_spans)
+                names = pa.array([*labeller.model.langs, "und"])
+                columns = list(part.columns) + [names.take(pa.array(np.where(best < 0, len(names) - 1, best))), pa.array(score)]
                 if with_spans:
-                    columns.append(pa.array([[{"first": a, "end": b, "lang": l} for a, b, l in x[2]] for x in found], pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
+                    columns.append(pa.array([[{"first": a, "end": b, "lang": x} for a, b, x in own] for own in found], pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
                 else:
-                    columns.append(pa.array([x[2] if x[0] != "und" else 0 for x in found], pa.int32()))
+                    columns.append(pa.array(found.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
 
     return run
@@ -233,7 +257,8 @@ def identify(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFra
     """
     new = ["lang_pred", "score", "spans" if with_spans else "n_spans"]
     kept = [c for c in docs.columns if c not in new]
-    rows = docs.select(*kept)
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept])
+    small_batches(docs.sparkSession)
     fields = [f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(rows.schema.fields)]
     n = len(kept)
     fields += [f"c{n} string", f"c{n + 1} double", f"c{n + 2} " + ("array<struct<first:int,end:int,lang:string>>" if with_spans else "int")]
@@ -246,12 +271,16 @@ LEAST = 0.4
 
 
 def keep_identified(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of docs (doc_id, text, lang, any others) whose language can be told, with all their columns."""
+    """The rows of docs (doc_id, text, lang, any others) whose language can be told, with all their columns, whatever these are called.
+
+    Null and empty texts and those without a letter go. Every other text is judged whole, however long; each of several equal rows is
+    judged and kept or not alike. An empty table, and one without a labelled text to learn from, gives an empty result.
+    """
     model = train(docs.where(~held_out(F.col("doc_id"))))
     columns = docs.columns
-    renamed = docs.select(*[F.col(f"`{c}`").alias(c if c == "text" else f"k{i}") for i, c in enumerate(columns)])
-    found = identify(renamed, model).where(F.col("score") >= least).where("lang_pred <> 'und'")
-    return found.select(*[F.col(c if c == "text" else f"k{i}").alias(c) for i, c in enumerate(columns)])
+    names = ["text" if c == "text" else f"k{i}" for i, c in enumerate(columns)]
+    found = identify(docs.toDF(*names), model).where(F.col("score") >= least).where("lang_pred <> 'und'")
+    return found.select(*names).toDF(*columns)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import RUN_BYTES, cut, default_tokenizer, pieces_of, table, tokens
+from quillon.llm.common import RUN_BYTES, cut, default_tokenizer, pieces_of, small_batches, table, tokens
 
 CAPACITY = 1024
 SLACK = 0.02
@@ -123,6 +123,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end: int = 0, capacity:
     A null text counts as empty: one piece with the end id alone. Rows repeated with one doc_id are packed each. An empty
     table gives an empty result. Sequences differ with the input's partitions; the pieces of a document don't.
     """
+    small_batches(docs.sparkSession)
     pieces = cut(docs.select("doc_id", "text").mapInArrow(_pack(tokenizer or default_tokenizer(), end, capacity, added), SCHEMA), "packing")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     filled = pieces.where("bin IS NOT NULL").select(*names, F.expr("shiftleft(part, 31) + bin").alias("sequence_id"), "offset")

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import RUN_BYTES, default_tokenizer, pieces_of, shared_path, table, tokens
+from quillon.llm.common import RUN_BYTES, default_tokenizer, pieces_of, shared_path, small_batches, table, tokens
 
 END = 0
 ROW_GROUP = 32 << 20
@@ -53,6 +53,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end:
     A null text counts as empty, so its document is the end id alone. Null doc_ids come first; rows repeated with one doc_id
     follow each other by text. An empty table writes files without rows. Texts move once, before they are encoded.
     """
+    small_batches(docs.sparkSession)
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     (
         ordered.mapInArrow(_encode(tokenizer or default_tokenizer(), end, added), SCHEMA)

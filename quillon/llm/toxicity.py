@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillon.llm.common import CACHE, claim, held_out, pieces_of, table
+from quillon.llm.common import CACHE, claim, held_out, pieces_of, small_batches, table
 
 #: Bound of the training sample: expected rows of each label.
 TRAIN_ROWS = 6000
@@ -232,6 +232,7 @@ def _score(model):
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score (0 to 1) of every row of docs (doc_id, text; other columns are not used); null and empty texts too."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: SLOTS weights
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_score(shared), "doc_id long, score double")
 
 
