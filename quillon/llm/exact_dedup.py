@@ -1,39 +1,52 @@
 """Exact deduplication: tree-merge of sorted digest runs, with DataFrame functions only.
 
-Every input partition is a run of digests. Round by round, FAN neighbouring runs become one (the binomial tree with a
-wider fan-in): the exchange is keyed by (run group, digest), so a merge of runs is spread over the cluster by digest,
-and one digest's partial results from FAN runs meet in one row. Each run is pre-aggregated before it moves, so a text
-that makes up a third of all rows sends one row per run and round. Every level keeps the largest identifier, the
-count, and the least and greatest check value (byte length and a second, independent hash); groups whose checks differ
-would be digests of unequal texts and are told apart by them, as the check values are part of the key.
+Every input partition is a run of digests. Each run is sorted by digest and neighbouring equal digests become one entry
+(a sort aggregation: the entry's best identifier is a struct, which Spark merges in sorted order, not in a hash
+table). Then, round by round, 2**FAN_BITS neighbouring runs are exchanged and merged into one the same way, until one
+run is left: the depth is the logarithm of the number of runs. The exchange is keyed by (run group, digest), so one
+merge of runs is spread over the cluster by digest, and a text that makes up a third of all rows sends one entry a run
+and round. An entry's key is the SHA-256 digest with two checks, the byte length and an independent 64-bit hash, so every level
+retains identifiers only of rows whose checks agree too; the texts themselves are not compared.
+
+Digests are computed once and written; what comes after reads the written rows. Groups with more than a HOT-th of all rows, of
+which there are HOT at most, are broadcast to the rows; only the others' rows are exchanged to meet their group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quillon.llm.common import table
+from quillon.llm.common import cut, table
 
 #: Runs that one merge takes, as a power of two.
 FAN_BITS = 4
-#: Rounds before the last one, which joins whatever runs are left.
-ROUNDS = 2
+#: A group with more than this share of all rows is broadcast; so there are at most that many.
+HOT = 1000
 KEY = ["digest", "bytes", "second"]
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id and the verified digest key of each whole text; a null text counts as empty."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", F.sha2(text.cast("binary"), 256).alias("digest"), F.octet_length(text).cast("long").alias("bytes"), F.xxhash64(text).alias("second"))
+def _digests(text: Column) -> list[Column]:
+    """The verified key of a whole text; null counts as empty."""
+    whole = F.coalesce(text, F.lit(""))
+    return [F.sha2(whole.cast("binary"), 256).alias("digest"), F.octet_length(whole).cast("long").alias("bytes"), F.xxhash64(whole).alias("second")]
+
+
+def _merge(runs: DataFrame, run: Column) -> DataFrame:
+    return runs.groupBy(run.alias("run"), *KEY).agg(F.max("best").alias("best"), F.sum("group_size").alias("group_size"))
 
 
 def merged_runs(keyed: DataFrame) -> DataFrame:
-    """KEY, keep_id (the largest doc_id) and group_size, merged in rounds of 2**FAN_BITS runs."""
-    runs = keyed.withColumn("run", F.spark_partition_id()).groupBy("run", *KEY).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    for _ in range(ROUNDS):
-        runs = runs.groupBy(F.shiftright("run", FAN_BITS).alias("run"), *KEY).agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-    return runs.groupBy(*KEY).agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    """KEY, best (the struct of the largest doc_id, tie and row) and group_size; keyed: run, KEY, doc_id, tie, row, as written."""
+    most = keyed.agg(F.max("run")).first()[0] or 0
+    runs = _merge(keyed.select("run", *KEY, F.struct("doc_id", "tie", "row").alias("best"), F.lit(1).cast("long").alias("group_size")), F.col("run"))
+    while most:
+        most >>= FAN_BITS
+        runs = _merge(runs, F.shiftright("run", FAN_BITS))
+    return runs.select(*KEY, "best", "group_size")
+
+
+def _numbered(tie: Column) -> list[Column]:
+    return [tie.alias("tie"), F.monotonically_increasing_id().alias("row"), F.spark_partition_id().alias("run")]
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -42,21 +55,30 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     Equal: the same code points; null equals empty. The largest doc_id of a group stays; a null doc_id is the smallest.
     Of rows repeated with the same doc_id and text exactly one is kept. An empty table gives an empty result.
     """
-    keyed = digests(docs)
-    copies = Window.partitionBy("doc_id", *KEY).orderBy("doc_id")
-    rows = keyed.withColumn("copy", F.row_number().over(copies))
-    return rows.join(merged_runs(keyed), KEY).select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.col("digest").alias("text_sha256"))
+    keyed = cut(docs.select("doc_id", *_digests(F.col("text")), *_numbered(F.lit(0))), "digests")
+    groups = cut(merged_runs(keyed).select(*KEY, F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size"), "digests")
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    large = F.col("group_size") * HOT > total
+    hot = F.broadcast(groups.where(large))  # HOT rows at most
+    rows = keyed.select("doc_id", "row", *KEY)
+    named = rows.join(hot, KEY).unionByName(rows.join(hot.select(*KEY), KEY, "left_anti").join(groups.where(~large), KEY))
+    return named.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def keep_distinct(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns (which may have any names)."""
+    """The rows of docs (doc_id, text, any others) that stay, with all their columns, whatever these are called.
+
+    Null text equals empty. Of equal texts the row with the largest doc_id stays (null is the smallest); of rows with that
+    doc_id the one whose columns have the greatest hash, so that reruns over rows in another order keep an equal row. An
+    empty table gives an empty result.
+    """
     columns = docs.columns
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keeps = merged_runs(digests(docs)).select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"))
-    marked = docs.withColumn("__digest", F.sha2(text.cast("binary"), 256))
-    # keyed by the identifier that stays, of which each group has one: a large group of copies meets no single task
-    stay = marked.join(keeps, F.col("doc_id").eqNullSafe(F.col("__keep")) & (marked["__digest"] == keeps["__digest"]), "left_semi")
-    return stay.dropDuplicates(["doc_id", "__digest"]).select(*columns)
+    held = docs.toDF(*[f"c{i}" for i in range(len(columns))])
+    doc, text = (F.col(f"c{columns.index(c)}") for c in ("doc_id", "text"))
+    tie = F.xxhash64(*[F.to_json(F.struct(f"c{i}")) if "map<" in t else F.col(f"c{i}") for i, (_, t) in enumerate(held.dtypes)])
+    marked = cut(held.select("*", doc.alias("doc_id"), *_digests(text), *_numbered(tie)), "digests")
+    stay = merged_runs(marked.select("doc_id", *KEY, "tie", "row", "run")).select(F.col("best.row").alias("row"))
+    return marked.join(stay, "row", "left_semi").select(*[F.col(f"c{i}") for i in range(len(columns))]).toDF(*columns)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
