@@ -1,7 +1,7 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Every document gets a hash-random key. Keys are range-sorted within each source by cutting them at their first hex
-digits into fixed ranges; sums per (source, range) and one prefix sum over those ranges give each range's start, and a
+digits into ranges, as many as the rows ask for; sums per (source, range) and one prefix sum over those ranges give each range's start, and a
 second prefix sum inside a (source, range) gives each document's place. No task ever holds a whole source. Each source
 is then cut at its exact budget: whole epochs first, the last epoch up to the word at which the budget ends.
 """
@@ -17,8 +17,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
 SEED = "mix-1"
-#: Hex digits of the key that name its range: 4096 ranges of each source.
-RANGE_DIGITS = 3
+#: Rows of all sources for each range of a source: the number of hex digits of the key that name its range follows the number of rows.
+RANGE_ROWS = 1 << 14
 
 
 def words_in(text: Column) -> Column:
@@ -26,9 +26,17 @@ def words_in(text: Column) -> Column:
 
 
 def keyed(docs: DataFrame, seed: str) -> DataFrame:
-    """docs with __size, __key (hash-random) and __range."""
+    """docs (doc_id, text, __source) with __size, __key (hash-random) and __tie, which tells texts of one doc_id apart."""
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    return docs.withColumn("__size", words_in(F.col("text"))).withColumn("__key", key).withColumn("__range", F.substring("__key", 1, RANGE_DIGITS))
+    return docs.withColumn("__size", words_in(F.col("text"))).withColumn("__key", key).withColumn("__tie", F.xxhash64("text"))
+
+
+def digits(rows: int) -> int:
+    """Hex digits that name a range: with 3 of them a source has 4096 ranges, the least."""
+    n = 3
+    while rows > RANGE_ROWS << 4 * n and n < 8:
+        n += 1
+    return n
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -58,13 +66,15 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
 
 
 def placed(rows: DataFrame, narrow: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """rows (keyed(); source as __source) with source_size, target and taken. narrow: the same rows' __source, __range, __size."""
+    """rows (keyed()) with source_size, target and taken. narrow: the same rows' __source, __key, __size, as written."""
+    name = F.substring("__key", 1, digits(narrow.count()))
+    rows, narrow = rows.withColumn("__range", name), narrow.withColumn("__range", name)
     ranges = narrow.groupBy("__source", "__range").agg(F.sum("__size").alias("__in_range"))
     before = Window.partitionBy("__source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     aims = targets(ranges.groupBy("__source").agg(F.sum("__in_range").alias("source_size")), weights, share, most)
     starts = ranges.withColumn("__start", F.coalesce(F.sum("__in_range").over(before), F.lit(0)))
     starts = starts.join(aims.withColumnRenamed("__source", "__aim"), F.col("__source").eqNullSafe(F.col("__aim"))).select(F.col("__source").alias("__s"), F.col("__range").alias("__r"), "__start", "source_size", "target")
-    inside = Window.partitionBy("__source", "__range").orderBy("__key", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__source", "__range").orderBy("__key", "doc_id", "__size", "__tie").rowsBetween(Window.unboundedPreceding, -1)
     at = rows.withColumn("__at", F.coalesce(F.sum("__size").over(inside), F.lit(0)))
     at = at.join(starts, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__r")))
     budget = F.floor("target").cast("long")
@@ -79,31 +89,35 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     A null text has size 0; a null source is a source, the last. Rows repeated with one doc_id follow each other. Sources
     without words have target 0. An empty table gives an empty result. Reruns agree: keys depend on seed and doc_id alone.
     """
-    narrow = cut(keyed(docs.select("doc_id", "text", F.col("source").alias("__source")), seed).select("doc_id", "__source", "__size", "__key", "__range"), "mixing")
+    narrow = cut(keyed(docs.select("doc_id", "text", F.col("source").alias("__source")), seed).select("doc_id", "__source", "__size", "__key", "__tie"), "mixing")
     return placed(narrow, narrow).select("doc_id", F.col("__size").alias("size"), "source_size", "target", "taken")
 
 
 def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """The mix itself, with docs' columns: a row for each whole repeat and, at the budget's end, one with the first words.
+    """The mix itself, with all columns of docs (doc_id, text, source, any others, whatever they are called): a row for each whole repeat
+    and, at the budget's end, one with the first words.
 
-    The one document of a source in which its budget ends has those first words joined by single spaces; n_chars, where
-    the table has it, follows. Documents that the mix doesn't reach go, and so do those without words.
+    The one document of a source in which its budget ends has those first words joined by single spaces; a column n_chars, where
+    the table has one, is their length there. Documents that the mix doesn't reach go, and so do those without words (null and empty texts among
+    them). A null source is a source. Rows repeated with one doc_id follow each other by size and text's hash. An empty table gives an empty result.
     """
     columns = docs.columns
-    rows = keyed(docs.withColumn("__source", F.col("source")), seed)
-    narrow = cut(rows.select("__source", "__range", "__size"), "mixing")
-    sizes = narrow.groupBy("__source", "__range").agg(F.sum("__size").alias("__size"))
-    at = placed(rows, sizes)
+    held = docs.toDF(*[f"c{i}" for i in range(len(columns))])
+    at = {c: F.col(f"c{columns.index(c)}") for c in ("doc_id", "text", "source", "n_chars") if c in columns}
+    rows = keyed(held.select("*", at["doc_id"].alias("doc_id"), at["text"].alias("text"), at["source"].alias("__source")), seed)
+    narrow = cut(rows.select("__source", "__key", "__size"), "mixing")
+    placed_rows = placed(rows, narrow)
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     first = F.array_join(F.slice(words, F.lit(1), F.col("__last").cast("int")), " ")
     whole = F.col("__epochs") + (F.col("__last") == F.col("__size")).cast("long")
     copies = F.when(F.col("taken") == 0, F.array().cast("array<boolean>")).otherwise(
         F.concat(F.array_repeat(F.lit(True), whole.cast("int")), F.when((F.col("__last") > 0) & (F.col("__last") < F.col("__size")), F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
     )
-    out = at.withColumn("__whole", F.explode(copies)).withColumn("text", F.when(F.col("__whole"), F.col("text")).otherwise(first))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("__whole"), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
-    return out.select(*columns)
+    out = placed_rows.withColumn("__whole", F.explode(copies)).withColumn("__text", F.when(F.col("__whole"), F.col("text")).otherwise(first))
+    new = {"text": F.col("__text")}
+    if "n_chars" in at:
+        new["n_chars"] = F.when(F.col("__whole"), at["n_chars"]).otherwise(F.length("__text").cast(held.schema[columns.index("n_chars")].dataType))
+    return out.select(*[new.get(c, F.col(f"c{i}")).alias(f"c{i}") for i, c in enumerate(columns)]).toDF(*columns)
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
