@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import WordHashes, as_bytes, claim, cut, mix, pieces_of, table, window_hashes
+from quillon.llm.common import WordHashes, as_bytes, claim, cut, mix, pieces_of, small_batches, table, window_hashes
 
 WORDS = 5
 #: Links: 100 * |both| >= PERCENT * |either|.
@@ -46,6 +46,9 @@ SHARE = 8
 #: Entries that a partition counts at once.
 CHUNK = 3_000_000
 ROUNDS = 3
+#: A list with more than this share of all entries is dealt in SALTS parts.
+HOT = 1000
+SALTS = 64
 #: Bits of the filter that spares most documents without links a second look; its size is fixed.
 FILTER_BITS = 27
 RUN_BYTES = 4 << 20
@@ -286,14 +289,22 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return stars.unionByName(after.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def _salted(lists: DataFrame) -> DataFrame:
+    """lists with salt: lists that hold more than a HOT-th of all entries (HOT at most) are dealt in SALTS parts by set."""
+    sizes = lists.groupBy("h").count()
+    hot = F.broadcast(sizes.where(F.col("count") * HOT > (sizes.agg(F.sum("count")).first()[0] or 0)).select("h", F.lit(True).alias("hot")))
+    return lists.join(hot, "h", "left").withColumn("salt", F.when(F.col("hot"), F.pmod("set", F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("hot")
+
+
 def _round(lists: DataFrame, of: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """lists with comp, less those lists that are all one component; and one pair (a, b) for each component but its lists' first."""
     if of is None:
         rows = lists.withColumn("comp", F.col("set"))
     else:
         rows = lists.join(of, lists["set"] == of["node"], "left").withColumn("comp", F.coalesce("component", "set")).drop("node", "component")
-    several = rows.groupBy("h").agg(F.min(F.struct("own", "set", "comp")).alias("first"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most")
-    rows = rows.join(several.select("h", "first"), "h")
+    several = rows.groupBy("h").agg(F.min(F.struct("own", "set", "comp")).alias("first"), F.min("comp").alias("least"), F.max("comp").alias("most"), F.max("salt").alias("salts")).where("least <> most")
+    several = several.select("h", "first", F.explode(F.sequence(F.lit(0), F.when(F.col("salts") > 0, F.lit(SALTS - 1)).otherwise(F.lit(0)))).alias("salt"))
+    rows = rows.join(several, ["h", "salt"])
     stars = rows.where("comp <> first.comp").groupBy("comp", F.col("first.comp").alias("to"), F.col("set").alias("a"), F.col("own").alias("own"), F.col("first.set").alias("b")).count()
     pairs = stars.groupBy("comp").agg(F.max(F.struct("count", F.negative("own").alias("no"), F.negative("b").alias("nb"), F.negative("a").alias("na"))).alias("best"))
     return rows.select("h", "set", "n", "place", "own", "comp"), pairs.select((-F.col("best.na")).alias("a"), (-F.col("best.nb")).alias("b"))
@@ -316,6 +327,7 @@ def _joined(texts: DataFrame, counts: bool = False) -> tuple[DataFrame, DataFram
 
     A set is its digest: d1 names it in lists and links, so rows that share a doc_id keep a set each.
     """
+    small_batches(texts.sparkSession)
     entries = texts.withColumn("mark", _mark()).mapInArrow(_entries, ENTRY).repartition("h").sortWithinPartitions("h")
     counted = cut(entries.mapInArrow(_counted, "doc long, n int, d1 long, d2 long, count int, mark long"), "jaccard")
     stats = counted.where("n IS NOT NULL").select("doc", "mark", "n", "d1", "d2")
@@ -333,7 +345,7 @@ def _joined(texts: DataFrame, counts: bool = False) -> tuple[DataFrame, DataFram
     edges = frequent.where("kind = 2").groupBy("h").agg(F.sum("count").alias("total")).where("total > 1")
     at_edge = frequent.where("kind = 1").select("set", "h").join(edges, "h").select("set", "h", F.col("total").alias("count"))
     shared = frequent.where("kind = 0").select("set", "h", "count").unionByName(at_edge)
-    lists = cut(_index(shared.join(sets.select("set", "n"), "set")), "jaccard")
+    lists = cut(_salted(cut(_index(shared.join(sets.select("set", "n"), "set")), "jaccard")), "jaccard")
     # only sets in a list are compared
     sets = cut(sets.join(lists.select("set").distinct(), "set", "left_semi"), "jaccard")
     links, of, rows = None, None, None
@@ -478,16 +490,22 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, but one text of each group that links connect: that of the smallest doc_id (null first).
 
     Texts count, not doc_ids: different texts under one doc_id, or without one, go only if links connect them with a text that stays.
-    Of one doc_id's texts in a group one stays; so does one of rows with equal doc_id and text. Texts without shingles all stay.
+    Of one doc_id's texts in a group one stays; so does one of rows with equal doc_id and text. Texts without shingles all stay
+    (null and empty ones). Of equal rows one stays, of rows that differ only in other columns the one with the least hash. Columns may have any names. An empty table gives
+    an empty result.
     """
+    columns = docs.columns
+    held = docs.toDF(*[f"c{i}" for i in range(len(columns))])
+    doc, text = (F.col(f"c{columns.index(c)}") for c in ("doc_id", "text"))
+    tie = F.xxhash64(*[F.to_json(F.struct(f"c{i}")) if "map<" in t else F.col(f"c{i}") for i, (_, t) in enumerate(held.dtypes)])
     stats, links, _ = _joined(docs.select("doc_id", "text"))
     rows = stats.join(_classes(stats, links).select(F.col("set").alias("d1"), "class"), "d1", "left").select("doc", "mark", "class")
     rows = cut(rows, "jaccard")
     first = rows.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc", "mark")).alias("first")).select("first.doc", "first.mark")
     stay = first.unionByName(rows.where("class IS NULL").select("doc", "mark")).distinct().select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"))
-    kept = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__mark": _mark()}).join(stay, ["__doc", "__mark"], "left_semi")
-    one = Window.partitionBy("__doc", "__mark").orderBy("text")
-    return kept.withColumn("__row", F.row_number().over(one)).where("__row = 1").select(*docs.columns)
+    kept = held.withColumns({"__doc": F.coalesce(doc.cast("long"), F.lit(NULL_ID)), "__mark": F.xxhash64(text), "__tie": tie}).join(stay, ["__doc", "__mark"], "left_semi")
+    one = Window.partitionBy("__doc", "__mark").orderBy(text, "__tie")
+    return kept.withColumn("__row", F.row_number().over(one)).where("__row = 1").drop("__doc", "__mark", "__tie", "__row").toDF(*columns)
 
 
 def op4_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillon.llm import common, mixing
@@ -93,3 +94,38 @@ def test_stages_are_brute_force(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+CLASH = ["__digest", "__keep", "__row", "__stay", "__doc", "__mark", "__tie", "__key", "__size", "__range", "__source", "__s", "__r", "__start", "__at", "__last", "__epochs", "__whole", "__text", "c0", "k1", "digest", "tie", "row", "run", "score", "lang_pred", "x.y"]
+
+
+def test_stages_keep_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    plain = common.cut(docs, "test")
+    extra = plain.toDF(*COLUMNS)
+    for i, c in enumerate(CLASH):
+        extra = extra.withColumn(c.replace(".", "_dot_"), F.concat(F.lit(f"{i}:"), F.col("doc_id").cast("string")))
+    extra = extra.toDF(*COLUMNS, *CLASH)
+    docs = plain
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.cut(stage(spark, docs, SF), "test")
+        extra = common.cut(stage(spark, extra, SF), "test")
+        assert extra.columns == COLUMNS + CLASH
+        assert sorted(rows_of(docs), key=str) == sorted(rows_of(extra), key=str)
+        for r in extra.collect():
+            assert [r[c] for c in CLASH] == [f"{i}:{r.doc_id}" for i in range(len(CLASH))]
+    assert corpus_pipeline.STAGES[-1][1](spark, extra, SF).count() == corpus_pipeline.STAGES[-1][1](spark, docs, SF).count()
+
+
+def test_empty_tables(spark, tmp_path):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_rows_that_differ_elsewhere_are_settled_alike(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(7, "a b c", x, "s", 5) for x in "pqrst"] + [(None, "one two three four five six", x, "s", 5) for x in "uv"] + [(3, "a b c", "z", "s", 5)]
+    for stage in corpus_pipeline.STAGES[1:3]:
+        found = {tuple(sorted(map(str, rows_of(stage[1](spark, spark.createDataFrame(rows[k:] + rows[:k], schema).repartition(n), SF))))) for k, n in ((0, 1), (3, 4), (5, 2))}
+        assert len(found) == 1
