@@ -74,6 +74,11 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 def pieces_of(batch: pa.RecordBatch, max_bytes: int = 16 << 20):
     """The batch in runs of rows with about max_bytes of text each, so that working memory follows the run, not the batch."""
+    yield from _halves(batch, max_bytes)
+    freed()
+
+
+def _halves(batch: pa.RecordBatch, max_bytes: int):
     column = batch.column("text")
     if column.nbytes <= max_bytes or batch.num_rows <= 1:
         yield batch
@@ -81,20 +86,23 @@ def pieces_of(batch: pa.RecordBatch, max_bytes: int = 16 << 20):
     half = batch.num_rows // 2
     for part in (batch.slice(0, half), batch.slice(half)):
         # nbytes of a slice counts only what the slice uses
-        yield from pieces_of(part, max_bytes)
+        yield from _halves(part, max_bytes)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to CACHE words."""
+def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one after the other, and the number of each text's words; null counts as empty.
 
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < CACHE and len(word) < 64:
-            self[word] = value
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    Each distinct word of the run is hashed once. lower: A-Z count as a-z.
+    """
+    texts = texts.cast(pa.string()).fill_null("")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    words, offsets = lists.flatten(), np.asarray(lists.offsets).astype(np.int64)
+    real = pc.greater(pc.binary_length(words), 0)
+    count = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    coded = words.filter(real).dictionary_encode()
+    distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+    return hashes[np.asarray(coded.indices)], np.diff(count[offsets - offsets[0]])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -276,6 +284,17 @@ _owner: list[str] = [""]
 _cleared: list[dict] = [_tokens]
 
 
+def freed() -> None:
+    """What Arrow and the C library hold but don't use goes back to the system; workers outlive tasks, stages and operators."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass
+
+
 def claim(name: str, caches: dict | None = None) -> None:
     """Called where an operator begins in a Python worker: what other operators remembered there goes.
 
@@ -287,12 +306,7 @@ def claim(name: str, caches: dict | None = None) -> None:
         _owner[0] = name
         for c in _cleared:
             c.clear()
-        try:
-            import ctypes
-
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except OSError:
-            pass
+        freed()
 
 
 def tokens(path: str, added: bool = True) -> Tokens:

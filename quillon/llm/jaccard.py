@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import WordHashes, as_bytes, claim, cut, mix, pieces_of, small_batches, table, window_hashes
+from quillon.llm.common import claim, cut, mix, pieces_of, small_batches, table, window_hashes, word_hashes
 
 WORDS = 5
 #: Links: 100 * |both| >= PERCENT * |either|.
@@ -61,15 +61,16 @@ def need(n: int | np.ndarray) -> int | np.ndarray:
     return -(-PERCENT * n // 100)
 
 
-def shingles(texts: list[bytes], hashes: WordHashes, words: int = WORDS) -> list[np.ndarray]:
+def shingles(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text, in A-Z lower-cased words; fewer words are one sequence; none: empty."""
-    out = []
-    for text in texts:
-        w = hashes.of(text.lower().split())
-        if len(w) >= words:
-            out.append(np.unique(window_hashes(w, words, 21)))
+    flat, lengths = word_hashes(texts, True)
+    windows, out, at = window_hashes(flat, words, 21), [], 0
+    for n in lengths.tolist():
+        if n >= words:
+            out.append(np.unique(windows[at : at + n - words + 1]))
         else:
-            out.append(window_hashes(w, len(w), 100 + len(w)) if len(w) else np.zeros(0, np.uint64))
+            out.append(window_hashes(flat[at : at + n], n, 100 + n) if n else np.zeros(0, np.uint64))
+        at += n
     return out
 
 
@@ -89,7 +90,6 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (h, doc, sure): first shingles; sure: it repeats here. And a row with n, digest (h, d2), count and the text's mark for each document."""
     names = [c.split()[0] for c in ENTRY.split(", ")]
     claim("entries")
-    hashes = WordHashes()
     sets: list[tuple[int, np.ndarray, int]] = []
     size = 0
 
@@ -123,7 +123,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for part in pieces_of(batch, RUN_BYTES):
-            for i, s, x in zip(_ids(part).tolist(), shingles(as_bytes(part.column("text")), hashes), part.column("mark").to_pylist()):
+            for i, s, x in zip(_ids(part).tolist(), shingles(part.column("text")), part.column("mark").to_pylist()):
                 sets.append((i, s, x))
                 size += len(s)
             if size >= CHUNK:
@@ -471,12 +471,11 @@ def _built(texts: DataFrame, bits: DataFrame) -> DataFrame:
         for bucket, packed in shared.value:
             x = np.frombuffer(zlib.decompress(packed), np.uint8)
             filled[(bucket - 1) * len(x) : bucket * len(x)] = x
-        hashes = WordHashes()
         for batch in batches:
             cell = np.asarray(batch.column("cell"))
             keep = (filled[cell >> 3] >> (cell & 7).astype(np.uint8) & 1) > 0
             for part in pieces_of(batch.filter(pa.array(keep)), RUN_BYTES):
-                found = shingles(as_bytes(part.column("text")), hashes)
+                found = shingles(part.column("text"))
                 marks = [digest(s) for s in found]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(_ids(part)), pa.array([a for a, _ in marks], pa.int64()), pa.array([b for _, b in marks], pa.int64()), pa.array(list(map(len, found)), pa.int32()), pa.array([s.tobytes() for s in found], pa.binary())],

@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillon.llm.common import WordHashes, as_bytes, claim, cut, mix, pieces_of, table, window_hashes
+from quillon.llm.common import as_bytes, claim, cut, mix, pieces_of, small_batches, table, window_hashes, word_hashes
 
 WINDOW = 13
 WIDTH_BITS = 29
@@ -36,17 +36,10 @@ RUN_BYTES = 4 << 20
 HELD = 4_000_000
 
 
-def _words(part: pa.RecordBatch, hashes: WordHashes) -> tuple[list[list[bytes]], list[np.ndarray]]:
-    words = [t.split() for t in as_bytes(part.column("text"))]
-    return words, [hashes.of(w) for w in words]
-
-
-def _windows(words: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of some documents: first hash, document (place in the list), position."""
-    flat = np.concatenate(words) if words else np.zeros(0, np.uint64)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
+def _windows(flat: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of some documents (their words' hashes and numbers of words): first hash, document (place in the list), position."""
     own = np.maximum(lengths - width + 1, 0)
-    doc = np.repeat(np.arange(len(words)), own)
+    doc = np.repeat(np.arange(len(lengths)), own)
     position = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
     start = (np.cumsum(lengths) - lengths)[doc] + position
     return window_hashes(flat, width, SEEDS[0])[start] if len(start) else np.zeros(0, np.uint64), doc, position
@@ -90,10 +83,10 @@ def _chunks(row: int, cell: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 def _sketch(width: int, bits: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = WordHashes(), [[] for _ in range(rows)], 0
+        held, size = [[] for _ in range(rows)], 0
         for batch in batches:
             for part in pieces_of(batch, RUN_BYTES):
-                windows, _, _ = _windows(_words(part, hashes)[1], width)
+                windows, _, _ = _windows(*word_hashes(part.column("text")), width)
                 for row in range(rows):
                     held[row].append(cells(windows, row, bits).astype(np.uint32))
                 size += len(windows)
@@ -162,11 +155,11 @@ def _candidates(shared, key: str, width: int, bits: int, rows: int):
         yield pa.RecordBatch.from_arrays([pa.array(h1[go]), pa.array(h2[go]), pa.array(doc[go], mask=null[go]), pa.array(place[go]), pa.nulls(n, pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, merged, held, size = WordHashes(), _repeated(shared, key, bits, rows), [], 0
+        merged, held, size = _repeated(shared, key, bits, rows), [], 0
         for batch in batches:
             for part in pieces_of(batch, RUN_BYTES):
-                hashed = _words(part, hashes)[1]
-                windows, doc, position = _windows(hashed, width)
+                flat, lengths = word_hashes(part.column("text"))
+                windows, doc, position = _windows(flat, lengths, width)
                 at = np.arange(len(windows))
                 for row in range(rows):
                     cell = cells(windows[at], row, bits)
@@ -176,9 +169,11 @@ def _candidates(shared, key: str, width: int, bits: int, rows: int):
                 ids = part.column("doc_id").cast(pa.int64())
                 null = ids.is_null().to_numpy(zero_copy_only=False)
                 which = doc[at]
-                tags = np.array([_tag(t) if n else 0 for t, n in zip(as_bytes(part.column("text")), np.bincount(which, minlength=part.num_rows))], np.int64)
-                start = np.cumsum([0, *map(len, hashed)])[which] + position[at]
-                second = _second(np.concatenate(hashed), start, width)
+                found = np.flatnonzero(np.bincount(which, minlength=part.num_rows))
+                tags = np.zeros(part.num_rows, np.int64)
+                tags[found] = [_tag(t) for t in as_bytes(part.column("text").take(pa.array(found)))]
+                start = (np.cumsum(lengths) - lengths)[which] + position[at]
+                second = _second(flat, start, width)
                 held.append((windows[at].view(np.int64), (second & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), ids.fill_null(0).to_numpy(zero_copy_only=False)[which], null[which], tags[which] << 32 | position[at]))
                 size += len(at)
                 if size >= HELD // 4:
@@ -291,6 +286,7 @@ def _strip(width: int, digest: bool):
 
 def removed_places(docs: DataFrame, width: int = WINDOW, bits: int = WIDTH_BITS, rows: int = ROWS) -> DataFrame:
     """doc_id, gone, gone_packed: where windows start that occur in a document with a smaller doc_id, as _strip reads them."""
+    small_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text")
     sketches = texts.mapInArrow(_sketch(width, bits, rows), "row int, chunk int, once binary, more binary")
     merged = cut(sketches.repartition("row", "chunk").sortWithinPartitions("row", "chunk").mapInArrow(_merge, "row int, chunk int, repeated binary"), "sketch")
