@@ -4,8 +4,8 @@ Decoding is vectorised. The width of a code depends only on its place after the
 the bit stream many at a time. A code's string is the string of an earlier code and one more byte, so lengths come from
 pointer doubling over codes and bytes from pointer doubling over the output, a few vector steps for a stream.
 
-`store` keeps any bytes losslessly as 8-bit samples, 64 a row, in frames of at most FRAME_ROWS rows. Its streams clear the
-dictionary before codes would grow, which makes encoding a bit-packing of the samples (9 bits each, no compression).
+`store` keeps any bytes losslessly as 8-bit samples, 64 a row, in frames of at most FRAME_ROWS rows, each compressed by LZW
+with a growing dictionary. The greedy search for dictionary strings goes byte by byte; codes are packed into bits many at a time.
 """
 
 from __future__ import annotations
@@ -14,18 +14,17 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillon.llm.common import as_bytes, pieces_of, small_batches, table
+from quillon.llm.common import as_bytes, cut, freed, pieces_of, small_batches, table
 
 WIDTH = 64
 FRAME_ROWS = 4096
 DELAY = 10
-#: Samples between clear codes: the dictionary then never reaches 512 entries and codes stay at 9 bits.
-RUN = 254
 GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
 #: Colour bins of the histogram columns: two bits a channel.
 BINS = 64
@@ -62,10 +61,16 @@ def _codes(bits: np.ndarray, at: np.ndarray, width: np.ndarray) -> np.ndarray:
     return (word >> (at & 7).astype(np.uint32) & ((1 << width.astype(np.uint32)) - 1)).astype(np.int32)
 
 
+@lru_cache
+def _first_widths(minimum: int) -> np.ndarray:
+    table_size = (1 << minimum) + 2 + np.maximum(np.arange(4096) - 1, 0)
+    return np.clip(np.floor(np.log2(table_size)).astype(np.int64) + 1, minimum + 1, 12)
+
+
 def _widths(minimum: int, n: int) -> np.ndarray:
-    """Widths of the first n codes after a clear code."""
-    table_size = (1 << minimum) + 2 + np.maximum(np.arange(n) - 1, 0)
-    return np.clip(np.floor(np.log2(np.maximum(table_size, 1))).astype(np.int64) + 1, minimum + 1, 12)
+    """Widths of the first n codes after a clear code; in a full dictionary they stay at 12 bits."""
+    first = _first_widths(minimum)
+    return first[:n] if n <= len(first) else np.append(first, np.full(n - len(first), 12))
 
 
 def _strings(codes: np.ndarray, minimum: int) -> np.ndarray:
@@ -110,18 +115,6 @@ def lzw_decode(data: bytes, minimum: int, size: int | None = None) -> np.ndarray
     clear, stop = 1 << minimum, (1 << minimum) + 1
     bits = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(4, np.uint8)])
     total = len(data) * 8
-    # if clear codes come before codes can grow, all codes have one width
-    n = total // (minimum + 1)
-    codes = _codes(bits, np.arange(n) * (minimum + 1), np.full(n, minimum + 1))
-    marks = np.flatnonzero((codes == clear) | (codes == stop))
-    if len(marks):
-        ends = np.flatnonzero(codes[marks] == stop)
-        if len(ends):
-            marks = marks[: ends[0] + 1]
-            most = np.diff(np.concatenate([[-1], marks])).max() - 1
-            inner = codes[: marks[-1]]
-            if most <= clear - 1 and (inner <= clear).all():
-                return inner[inner != clear][:size].astype(np.uint8)
     out, at, have, guess = [], 0, 0, 512
     while at + minimum < total:
         guess = max(guess, 64)
@@ -146,69 +139,50 @@ def lzw_decode(data: bytes, minimum: int, size: int | None = None) -> np.ndarray
     return (np.concatenate(out) if out else np.zeros(0, np.uint8))[:size]
 
 
-def lzw_encode(samples: bytes, minimum: int) -> bytes:
-    """A compressing encoder (greedy, with a clear code whenever the dictionary is full)."""
-    clear, stop = 1 << minimum, (1 << minimum) + 1
-    out, acc, held, width = bytearray(), 0, 0, minimum + 1
-
-    def put(code: int) -> None:
-        nonlocal acc, held
-        acc |= code << held
-        held += width
-        while held >= 8:
-            out.append(acc & 255)
-            acc >>= 8
-            held -= 8
-
-    put(clear)
-    known: dict[tuple[int, int], int] = {}
-    following, prefix = stop + 1, None
-    for b in samples:
-        if prefix is None:
+def _parsed(samples: bytes, clear: int) -> list[int]:
+    """Codes of the greedy parse, with a clear code first and whenever the dictionary is full, and the end code."""
+    out = [clear]
+    if samples:
+        put, known, following = out.append, {}, clear + 2
+        prefix, *_ = samples[:1]
+        get = known.get
+        for b in memoryview(samples)[1:]:
+            key = prefix << 8 | b
+            code = get(key)
+            if code is not None:
+                prefix = code
+                continue
+            put(prefix)
+            if following == 4096:
+                put(clear)
+                known.clear()
+                following = clear + 2
+            else:
+                known[key] = following
+                following += 1
             prefix = b
-            continue
-        found = known.get((prefix, b))
-        if found is not None:
-            prefix = found
-            continue
-        put(prefix)
-        if following == 4096:
-            put(clear)
-            known.clear()
-            following, width = stop + 1, minimum + 1
-        else:
-            known[prefix, b] = following
-            if following == 1 << width and width < 12:
-                width += 1
-            following += 1
-        prefix = b
-    if prefix is not None:
         put(prefix)
-        if following == 1 << width and width < 12:
-            width += 1
-    put(stop)
-    if held:
-        out.append(acc & 255)
-    return bytes(out)
-
-
-def packed(samples: np.ndarray) -> bytes:
-    """An LZW stream of 8-bit samples whose codes are all 9 bits wide."""
-    n = len(samples)
-    groups = -(-n // RUN)
-    codes = np.full((groups, RUN + 1), 256, np.uint16)
-    body = np.full(groups * RUN, 257, np.uint16)
-    body[:n] = samples
-    codes[:, 1:] = body.reshape(groups, RUN)
-    flat = codes.reshape(-1)[: groups + n]
-    flat = np.append(flat, np.uint16(257)) if n else np.array([256, 257], np.uint16)
-    count = len(flat)
-    eight = np.zeros((-(-count // 8), 10), np.uint16)
-    eight[:, 1:9] = np.append(flat, np.zeros(-count % 8, np.uint16)).reshape(-1, 8)
-    out = np.empty((len(eight), 9), np.uint8)
-    for j in range(9):
-        out[:, j] = (eight[:, j] >> (9 - j)) | ((eight[:, j + 1] << j) & 255)
-    return out.tobytes()[: -(-count * 9 // 8)]
+    out.append(clear + 1)
+    return out
+
+
+def lzw_encode(samples: bytes, minimum: int) -> bytes:
+    """The compressed stream of samples (all below 1 << minimum)."""
+    clear = 1 << minimum
+    codes = np.array(_parsed(samples, clear), np.int64)
+    # codes since the last clear code give a code's width; the first clear code has the least
+    place = np.arange(len(codes))
+    after = np.flatnonzero(codes == clear) + 1
+    since = place - np.repeat(np.concatenate([[0], after]), np.diff(np.concatenate([[0], after, [len(codes)]])))
+    widths = _widths(minimum, int(since.max()) + 1)[since]
+    ends = np.cumsum(widths)
+    at = ends - widths
+    shifted = codes << (at & 7)
+    out = np.zeros(int(ends[-1] + 7 >> 3) + 2, np.int64)
+    for k in range(3):
+        # codes share bytes, never bits
+        out += np.bincount((at >> 3) + k, shifted >> 8 * k & 255, len(out)).astype(np.int64)
+    return out[:-2].astype(np.uint8).tobytes()
 
 
 def _sub_blocks(data: bytes) -> bytes:
@@ -222,7 +196,6 @@ def _sub_blocks(data: bytes) -> bytes:
 def store(payload: bytes) -> bytes:
     """A GIF file that holds the payload (a positive multiple of WIDTH bytes) as samples of a grey palette."""
     rows = len(payload) // WIDTH
-    samples = np.frombuffer(payload, np.uint8)
     height = min(rows, FRAME_ROWS)
     out = [b"GIF89a", WIDTH.to_bytes(2, "little"), height.to_bytes(2, "little"), b"\xf7\0\0", GREY]
     for a in range(0, rows, FRAME_ROWS):
@@ -230,7 +203,7 @@ def store(payload: bytes) -> bytes:
         # disposal 2: the canvas is cleared before the next frame
         out.append(b"\x21\xf9\x04\x08" + DELAY.to_bytes(2, "little") + b"\0\0")
         out.append(b"\x2c\0\0\0\0" + WIDTH.to_bytes(2, "little") + n.to_bytes(2, "little") + b"\0\x08")
-        out.append(_sub_blocks(packed(samples[a * WIDTH : (a + n) * WIDTH])))
+        out.append(_sub_blocks(lzw_encode(payload[a * WIDTH : (a + n) * WIDTH], 8)))
     return b"".join(out) + b"\x3b"
 
 
@@ -289,7 +262,7 @@ def frames(data: bytes) -> Iterator[Frame]:
             else:
                 shown = new != clear_index
                 area[shown] = colours[new[shown]]
-            yield Frame(number, delay, left, top, index, canvas)
+            yield Frame(number, delay, left, top, index, canvas.copy())
             if disposal == 2:
                 area[:] = 0
             elif disposal == 3:
@@ -314,31 +287,58 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def store_texts(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media (a GIF file) of every row of docs (doc_id, text; other columns are not used).
 
-    A null text counts as empty; an empty one is a row of zeros. Texts of any length are whole, in as many frames as needed.
+    A null text counts as empty; an empty one is a row of zeros. Texts of any length are whole, in as many frames as needed. Repeated rows
+    have a file each, and equal texts equal files. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 
-def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "frame", "start_ms", "delay_ms", "width", "height", "samples", "histogram"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
-    for batch in batches:
-        for i in range(batch.num_rows):
-            doc, media, start = batch.column("doc_id")[i].as_py(), batch.column("media")[i].as_py(), 0
-            for f in frames(media) if media else ():
-                row = [doc, f.number, start, f.delay_ms, f.canvas.shape[1], f.canvas.shape[0], f.index.tobytes(), f.histogram()]
-                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
-                start += f.delay_ms
+FRAME = "frame int, start_ms long, delay_ms int, width int, height int, samples binary, histogram array<long>"
+#: Samples in an Arrow batch of frames.
+BATCH = 8 << 20
+
+
+def _frames(kept: int):
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, owner, size = [], [], 0
+
+            def made() -> pa.RecordBatch:
+                own = [batch.column(i).take(pa.array(owner, pa.int64())) for i in range(kept)]  # noqa: B023
+                new = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)]  # noqa: B023
+                return pa.RecordBatch.from_arrays(own + new, [str(i) for i in range(kept + len(kinds))])
+
+            for i, media in enumerate(batch.column(kept)):
+                data, start = media.as_py(), 0
+                for f in frames(data) if data else ():
+                    rows.append((f.number, start, f.delay_ms, f.canvas.shape[1], f.canvas.shape[0], f.index.tobytes(), f.histogram()))
+                    owner.append(i)
+                    start += f.delay_ms
+                    size += f.index.size
+                    if size > BATCH:
+                        yield made()
+                        rows, owner, size = [], [], 0
+            yield made()
+        freed()
+
+    return run
 
 
 def media_frames(media: DataFrame) -> DataFrame:
-    """A row for each timed frame of media (doc_id, media): number, times, canvas size, stored samples, colour histogram.
+    """A row for each timed frame of media (doc_id, media, any others): the other columns, then number, times, canvas size, stored samples, colour histogram.
 
-    Null or empty media have no frames; media that are no GIF fail.
+    A file's frames follow each other in one partition. Null or empty media have no frames; media that are no GIF fail. Columns called like the
+    new ones are replaced. Repeated rows have frames each. An empty table gives an empty result.
     """
-    schema = "doc_id long, frame int, start_ms long, delay_ms int, width int, height int, samples binary, histogram array<long>"
-    return media.select("doc_id", "media").mapInArrow(_frames, schema)
+    new = [c.split()[0] for c in FRAME.split(", ")]
+    kept = [c for c in media.columns if c not in (*new, "media")]
+    small_batches(media.sparkSession)
+    rows = media.select(*[F.col(f"`{c}`") for c in kept], "media")
+    fields = [f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(rows.schema.fields[:-1])]
+    return rows.mapInArrow(_frames(len(kept)), ", ".join([*fields, FRAME])).toDF(*kept, *new)
 
 
 def feature(size: tuple[int, int], count: int, histogram: np.ndarray) -> str:
@@ -346,23 +346,51 @@ def feature(size: tuple[int, int], count: int, histogram: np.ndarray) -> str:
     return f"{size[0]}x{size[1]}x{count};" + ",".join(f"{b}:{histogram[b]}" for b in np.flatnonzero(histogram))
 
 
+FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+class _Whole:
+    """What is known of a file from its frames so far."""
+
+    def __init__(self, doc: int | None, n: int, media_bytes: int, media_sha256: str, size: tuple[int, int]):
+        self.doc, self.n, self.media, self.size = doc, n, (media_bytes, media_sha256), size
+        self.digest, self.tail, self.bytes, self.count, self.histogram = hashlib.sha256(), b"", 0, 0, np.zeros(BINS, np.int64)
+
+    def add(self, samples: bytes, histogram: list[int]) -> None:
+        self.digest.update(samples)
+        self.tail = (self.tail + samples[-64:])[-64:]
+        self.bytes += len(samples)
+        self.count += 1
+        self.histogram += histogram
+
+    def row(self) -> tuple:
+        return self.doc, self.n, self.bytes, self.digest.hexdigest(), zlib.crc32(self.tail), *self.media, feature(self.size, self.count, self.histogram)
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    """Rows of files from rows of frames, of which a file's follow each other."""
+    names = [c.split()[0] for c in FEATURES.split(", ")]
     kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    whole: _Whole | None = None
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names)
+
     for batch in batches:
         rows = []
-        for doc, n, media in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("media")):
-            data = media.as_py()
-            payload, hist, count, size = [], np.zeros(BINS, np.int64), 0, (0, 0)
-            for f in frames(data):
-                payload.append(f.index.tobytes())
-                hist += f.histogram()
-                count, size = count + 1, (f.canvas.shape[1], f.canvas.shape[0])
-            whole = b"".join(payload)
-            rows.append((doc, n, len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(size, count, hist)))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 8, kinds)], names)
+        values = (batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media_bytes", "media_sha256", "frame", "width", "height"))
+        for doc, n, media_bytes, media_sha256, frame, width, height, samples, histogram in zip(*values, batch.column("samples"), batch.column("histogram")):
+            if frame == 0:
+                if whole:
+                    rows.append(whole.row())
+                whole = _Whole(doc, n, media_bytes, media_sha256, (width, height))
+            whole.add(samples.as_py(), histogram.values.to_numpy(zero_copy_only=False))
+        yield made(rows)
+    if whole:
+        yield made([whole.row()])
 
 
 def op5_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return store_texts(table(spark, sf_dir, "documents")).mapInArrow(_features, schema)
+    stored = cut(store_texts(table(spark, sf_dir, "documents")), "media")
+    known = stored.select("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    return media_frames(known).mapInArrow(_features, FEATURES)
