@@ -343,7 +343,8 @@ def _joined(texts: DataFrame, counts: bool = False) -> tuple[DataFrame, DataFram
     spread = sets.mapInArrow(_flat, "h long, set long").repartitionByRange("h", "set").sortWithinPartitions("h", "set")
     frequent = cut(spread.mapInArrow(_frequencies, FREQUENT), "jaccard")
     edges = frequent.where("kind = 2").groupBy("h").agg(F.sum("count").alias("total")).where("total > 1")
-    at_edge = frequent.where("kind = 1").select("set", "h").join(edges, "h").select("set", "h", F.col("total").alias("count"))
+    # edges: two a range at most, so every entry of a shingle that fills whole ranges stays where it is
+    at_edge = frequent.where("kind = 1").select("set", "h").join(F.broadcast(edges), "h").select("set", "h", F.col("total").alias("count"))
     shared = frequent.where("kind = 0").select("set", "h", "count").unionByName(at_edge)
     lists = cut(_salted(cut(_index(shared.join(sets.select("set", "n"), "set")), "jaccard")), "jaccard")
     # only sets in a list are compared
