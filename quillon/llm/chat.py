@@ -21,11 +21,13 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm.common import pieces_of, table
+from quillon.llm.common import pieces_of, small_batches, table
 
 START, END = b"<|im_start|>", b"<|im_end|>\n"
 LOSS_ROLE = "assistant"
 SCHEMA = "conv_id long, seq long, n_turns int, formatted string, loss array<struct<first:int,end:int>>"
+#: Bytes that are scattered at once.
+RUN_BYTES = 1 << 20
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -51,10 +53,16 @@ def _utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scatter(buffer: np.ndarray, at: np.ndarray, offsets: np.ndarray, data: np.ndarray) -> None:
-    """Copies string i (offsets, data) to buffer[at[i]:]."""
-    lengths = np.diff(offsets)
-    source = np.arange(offsets[0], offsets[-1])
-    buffer[source + np.repeat(at - offsets[:-1], lengths)] = data[offsets[0] : offsets[-1]]
+    """Copies string i (offsets, data) to buffer[at[i]:], in runs of RUN_BYTES, as an index takes far more room than its byte."""
+    i = 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + RUN_BYTES, "right")) - 1)
+        a, b = offsets[i], offsets[j]
+        if j == i + 1:
+            buffer[at[i] : at[i] + b - a] = data[a:b]
+        else:
+            buffer[np.arange(a, b) + np.repeat(at[i:j] - offsets[i:j], np.diff(offsets[i : j + 1]))] = data[a:b]
+        i = j
 
 
 def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -64,6 +72,8 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     role_n, text_n = np.diff(role_at), np.diff(text_at)
     lengths = len(START) + role_n + 1 + text_n + len(END)
     turn = np.concatenate([[0], np.cumsum(lengths)])
+    if turn[-1] >= 1 << 31:
+        raise ValueError("a turn of 2 GiB or more when formatted")  # runs are of 16 MB, so this is one text
     buffer = np.empty(turn[-1], np.uint8)
     n = turn[:-1]
     buffer[n[:, None] + np.arange(len(START))] = np.frombuffer(START, np.uint8)
@@ -112,6 +122,7 @@ def format_chat(conversations: DataFrame) -> DataFrame:
     conv_id are one conversation. loss has the byte spans in formatted of the texts of turns whose role is assistant.
     An empty table gives an empty result.
     """
+    small_batches(conversations.sparkSession)
     rows = conversations.select("conv_id", "turn", "role", "text")
     order = ["conv_id", "turn", "role", "text"]
     return rows.repartitionByRange("conv_id", "turn").sortWithinPartitions(*order).mapInArrow(_format, SCHEMA)

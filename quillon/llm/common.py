@@ -13,8 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A word is a run of bytes that are not ASCII white space; `bytes.split()` splits at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Python-side caches are emptied at this size, so that their memory does not follow the corpus.
-CACHE = 400_000
 #: Text that is encoded at once.
 RUN_BYTES = 10 << 20
 #: Bytes of an Arrow batch.

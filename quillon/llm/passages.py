@@ -34,6 +34,8 @@ SEEDS = (11, 12)
 RUN_BYTES = 4 << 20
 #: Windows that a partition holds at once in either pass.
 HELD = 4_000_000
+#: Bits of the map of documents that lose something.
+FILTER_BITS = 27
 
 
 def _windows(flat: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -271,7 +273,8 @@ def _strip(width: int, digest: bool):
                         place = np.concatenate([np.asarray(lists[i].values), np.frombuffer(b"".join(packed or []), np.int64)])
                         start = place[place >> 32 == _tag(text)] & 0xFFFFFFFF
                         edge = np.zeros(n + 1, np.int64)
-                        start = np.unique(start)
+                        # a tag has 31 bits: what another text of this doc_id left by chance must not reach beyond this one
+                        start = np.unique(start[start + width <= n])
                         edge[start] += 1
                         edge[start + width] -= 1
                         cover = np.cumsum(edge[:-1]) > 0
@@ -298,8 +301,18 @@ def removed_places(docs: DataFrame, width: int = WINDOW, bits: int = WIDTH_BITS,
 
 
 def _joined(docs: DataFrame, width: int, bits: int, rows: int) -> DataFrame:
-    gone = removed_places(docs, width, bits, rows).withColumnRenamed("doc_id", "__gone_id")
-    return docs.select("doc_id", "text").join(gone, F.col("doc_id").eqNullSafe(F.col("__gone_id")), "left").select("doc_id", "text", "gone", "gone_packed")
+    """doc_id, text, gone, gone_packed. Only texts of documents that may lose something are exchanged: a bitmap of fixed size
+    (2**FILTER_BITS bits, by hash of doc_id) tells the others, which stay in their partitions."""
+    gone = cut(removed_places(docs, width, bits, rows).withColumnRenamed("doc_id", "__gone_id"), "places")
+    cell = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("long"), F.lit(-1))), F.lit(1 << FILTER_BITS)) + 1
+    maps = gone.select(cell("__gone_id").alias("__cell")).groupBy(F.bitmap_bucket_number("__cell").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__cell")).alias("__bits"))
+    held = docs.select("doc_id", "text", cell("doc_id").alias("__cell")).withColumn("__bucket", F.bitmap_bucket_number("__cell"))
+    held = held.withColumn("__at", F.bitmap_bit_position("__cell")).join(F.broadcast(cut(maps, "places")), "__bucket", "left")
+    maybe = F.expr("coalesce(cast(conv(hex(substring(__bits, cast(shiftright(__at, 3) as int) + 1, 1)), 16, 10) as int) & shiftleft(1, cast(__at & 7 as int)), 0) <> 0")
+    texts = held.select("doc_id", "text", maybe.alias("__maybe"))
+    some = texts.where("__maybe").join(gone, F.col("doc_id").eqNullSafe(F.col("__gone_id")), "left").select("doc_id", "text", "gone", "gone_packed")
+    none = [F.lit(None).cast(gone.schema[c].dataType).alias(c) for c in ("gone", "gone_packed")]
+    return texts.where("NOT __maybe").select("doc_id", "text", *none).unionByName(some)
 
 
 def strip_repeats(docs: DataFrame, width: int = WINDOW, bits: int = WIDTH_BITS, rows: int = ROWS) -> DataFrame:

@@ -21,8 +21,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillon.llm.common import CACHE, claim, held_out, pieces_of, small_batches, table
+from quillon.llm.common import claim, cut, held_out, pieces_of, small_batches, table
 
+#: Words whose slots a worker remembers.
+CACHE = 200_000
 #: Bound of the training sample: expected rows of each label.
 TRAIN_ROWS = 6000
 SLOTS = 1 << 18
@@ -52,8 +54,8 @@ TEMPLATES = ["{} people live here", "they are {}", "a {} neighbour came", "my fr
 
 
 def slots_of(word: str) -> list[int]:
-    """Feature slots of a lower-cased word."""
-    keys = [f"={word}"] + [f"^{word[:n]}" for n in PREFIXES if len(word) >= n]
+    """Feature slots of a lower-cased word. An identity term has only its own, so that no other word of a text speaks for or against a group."""
+    keys = [f"={word}"] + [f"^{word[:n]}" for n in PREFIXES if len(word) >= n and word not in KIND]
     return [xxhash.xxh3_64_intdigest(k.encode("utf-8", "surrogatepass")) % SLOTS for k in keys]
 
 
@@ -62,17 +64,23 @@ def features(text: str | None) -> set[int]:
 
 
 def counterfactuals(text: str, most: int = 4) -> list[tuple[set[int], set[int]]]:
-    """(features of a sentence, of its counterpart) for sentences of the text that name a group."""
+    """(features that only a sentence has, that only its counterpart has) for sentences of the text that name a group.
+
+    What both have takes no part in the change of the logit, so it is left out.
+    """
     out = []
     low = text.lower()
     if not any(t in low for t in KIND):
         return out
     for sentence in SENTENCE.split(low):
-        words = LETTERS.findall(sentence)
-        if any(w in KIND for w in words):
+        words = set(LETTERS.findall(sentence))
+        named = [w for w in words if w in KIND]
+        if named:
+            rest = {s for w in words if w not in KIND for s in slots_of(w)}
+            own = {s for w in named for s in slots_of(w)} - rest
             for shift in range(1, most + 1):
-                other = [IDENTITY[KIND[w]][(IDENTITY[KIND[w]].index(w) + shift) % len(IDENTITY[KIND[w]])] if w in KIND else w for w in words]
-                out.append(({s for w in set(words) for s in slots_of(w)}, {s for w in set(other) for s in slots_of(w)}))
+                other = {s for w in named for s in slots_of(IDENTITY[KIND[w]][(IDENTITY[KIND[w]].index(w) + shift) % len(IDENTITY[KIND[w]])])} - rest
+                out.append((own - other, other - own))
     return out
 
 
@@ -99,19 +107,24 @@ def chi_squared(toxic: np.ndarray, seen: np.ndarray, positives: int, n: int) ->
     return n * (a * d - b * c) ** 2 / np.maximum(1.0, (a + b) * (c + d) * positives * (n - positives))
 
 
-def fit(rows: list, labels: np.ndarray, pairs: list, rates: dict | None = None, steps: int = STEPS, l2: float = L2, weight: float = PAIRS) -> Model:
-    """rows: feature slots of each text; rates: share of each label's rows that was drawn; pairs: (slots, slots) of sentences and counterparts. Gradient descent on all rows at once."""
+def kept_features(seen: np.ndarray, toxic: np.ndarray, positives: int, n: int) -> np.ndarray:
+    """The slots that a model uses, of those that `seen` rows, `toxic` of them positive, have."""
+    chi = chi_squared(toxic, seen, positives, n)
+    chi[seen < MIN_DOCS] = 0
+    best = np.argsort(-chi, kind="stable")[:FEATURES]
+    return np.union1d(best[chi[best] > 0], np.array([s for s in {s for t in KIND for s in slots_of(t)} if seen[s]], np.int64))
+
+
+def fit(rows: list, labels: np.ndarray, pairs: list, rates: dict | None = None, steps: int = STEPS, l2: float = L2, weight: float = PAIRS, counts: list[int] | None = None) -> Model:
+    """rows: feature slots of each text; rates: share of each label's rows that was drawn; pairs: (slots, slots) of sentences and counterparts,
+    each counts times (once). Gradient descent on all rows at once."""
     weights = np.zeros(SLOTS, np.float32)
     positives = int(labels.sum())
     if not rows or not positives or positives == len(labels):
         return Model(weights, 4.0 * (2 * (positives > 0) - 1))
     seen = np.bincount(np.fromiter((s for r in rows for s in r), np.int64, sum(map(len, rows))), minlength=SLOTS)
-    terms = {s for t in KIND for s in slots_of(t)}
     toxic = np.bincount(np.fromiter((s for r, x in zip(rows, labels) if x for s in r), np.int64), minlength=SLOTS)
-    chi = chi_squared(toxic, seen, positives, len(rows))
-    chi[seen < MIN_DOCS] = 0
-    best = np.argsort(-chi, kind="stable")[:FEATURES]
-    keep = np.union1d(best[chi[best] > 0], np.array([s for s in terms if seen[s]], np.int64))
+    keep = kept_features(seen, toxic, positives, len(rows))
     column = np.full(SLOTS, -1, np.int64)
     column[keep] = np.arange(len(keep))
     row, feature = sparse(rows, column)
@@ -121,7 +134,8 @@ def fit(rows: list, labels: np.ndarray, pairs: list, rates: dict | None = None,
     cost = np.array([1 / (rates or {}).get(int(x), 1.0) for x in labels])
     cost /= cost.sum()
     w, b = np.zeros(size), 0.0
-    spread = 2 * weight / max(1, len(pairs))
+    times = np.ones(len(pairs)) if counts is None else np.array(counts, float)
+    spread = 2 * weight * times / max(1.0, times.sum())
 
     def apart(w: np.ndarray) -> np.ndarray:
         return np.bincount(first[0], w[first[1]], len(pairs)) - np.bincount(second[0], w[second[1]], len(pairs))
@@ -157,41 +171,45 @@ def fit(rows: list, labels: np.ndarray, pairs: list, rates: dict | None = None,
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    many = pa.list_(pa.struct([("first", pa.list_(pa.int32())), ("second", pa.list_(pa.int32()))]))
     for batch in batches:
         for part in pieces_of(batch, 4 << 20):
             texts = part.column("text").to_pylist()
-            found = [counterfactuals(t or "") for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("label").cast(pa.int32()),
-                    pa.array([sorted(features(t)) for t in texts], pa.list_(pa.int32())),
-                    pa.array([[sorted(a) for a, _ in f] for f in found], pa.list_(pa.list_(pa.int32()))),
-                    pa.array([[sorted(b) for _, b in f] for f in found], pa.list_(pa.list_(pa.int32()))),
-                ],
-                ["label", "features", "first", "second"],
-            )
+            pairs = [[{"first": sorted(a), "second": sorted(b)} for a, b in counterfactuals(t or "")] for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column("label").cast(pa.int32()), pa.array([sorted(features(t)) for t in texts], pa.list_(pa.int32())), pa.array(pairs, many)], ["label", "features", "pairs"])
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """docs: doc_id, text; labels: doc_id, toxic. Rows without a label, and labels without a document, are not used.
+    """docs: doc_id, text; labels: doc_id, toxic. Rows without a label of 0 or 1, and labels without a document, are not used.
 
     Of several labels of a document the largest counts. Without both labels in the sample, every score is near 0 or 1.
+    The driver gets counts by slot (SLOTS of them), of each sampled row only the slots that the model uses (FEATURES and the
+    identity terms' at most), and counterfactual pairs reduced to those slots and counted, so its memory follows none of the texts' lengths.
     """
-    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    rates = {r.label: min(1.0, train_rows / r["count"]) for r in known.groupBy("label").count().collect() if r.label in (0, 1)}
+    known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
+    rates = {r.label: min(1.0, train_rows / r["count"]) for r in known.groupBy("label").count().collect()}
     rate = F.when(F.col("label") == 1, F.lit(rates.get(1, 0.0))).otherwise(F.lit(rates.get(0, 0.0)))
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rate * (1 << 30))
+    small_batches(docs.sparkSession)
     # bounded by the sample's parameter, so its ids can go to all executors
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("label", "text")
-    got = rows.mapInArrow(_featurise, "label int, features array<int>, first array<array<int>>, second array<array<int>>").toArrow()
-    order = sorted(range(got.num_rows), key=lambda i: (got["label"][i].as_py(), got["features"][i].as_py()))
-    found = [(got["label"][i].as_py(), np.array(got["features"][i].as_py(), np.int64), got["first"][i].as_py(), got["second"][i].as_py()) for i in order]
-    pairs = [(a, b) for _, _, x, y in found for a, b in zip(x, y)]
+    rows = cut(rows.mapInArrow(_featurise, "label int, features array<int>, pairs array<struct<first:array<int>,second:array<int>>>"), "toxicity")
+    seen, toxic = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+    by_slot = rows.select("label", F.explode("features").alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("seen"), F.sum("label").alias("toxic")).toArrow()
+    slots = np.asarray(by_slot["slot"])
+    seen[slots], toxic[slots] = np.asarray(by_slot["seen"]), np.asarray(by_slot["toxic"])
+    of_label = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    keep = kept_features(seen, toxic, of_label.get(1, 0), sum(of_label.values()))
+    used = F.array(*[F.lit(int(s)) for s in keep]) if len(keep) else F.array().cast("array<int>")
+    found = rows.select("label", F.array_sort(F.array_intersect("features", used)).alias("features")).groupBy("label", "features").count().orderBy("label", "features").collect()
+    apart = rows.select(F.explode("pairs").alias("p")).select(*[F.array_sort(F.array_intersect(f"p.{c}", used)).alias(c) for c in ("first", "second")])
+    pairs = [((list(r["first"]), list(r["second"])), r["count"]) for r in apart.groupBy("first", "second").count().orderBy("first", "second").collect()]
     for kind in IDENTITY.values():
         for i, term in enumerate(kind):
             for template in TEMPLATES:
-                pairs.append((sorted(features(template.format(term))), sorted(features(template.format(kind[(i + 1) % len(kind)])))))
-    return fit([f for _, f, _, _ in found], np.array([x for x, _, _, _ in found], float), pairs, rates)
+                pairs.append(((sorted(features(template.format(term))), sorted(features(template.format(kind[(i + 1) % len(kind)])))), 1))
+    texts = [(np.array(r.features, np.int64), float(r.label)) for r in found for _ in range(r["count"])]
+    return fit([f for f, _ in texts], np.array([x for _, x in texts]), [p for p, _ in pairs], rates, counts=[n for _, n in pairs])
 
 
 class Scorer:
@@ -230,7 +248,11 @@ def _score(model):
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score (0 to 1) of every row of docs (doc_id, text; other columns are not used); null and empty texts too."""
+    """doc_id and score (0 to 1) of every row of docs (doc_id, text; other columns are not used).
+
+    Null and empty texts, and those without a letter, have the score of no feature. Texts are scored whole, however long; equal rows have
+    a row each with equal scores. An empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: SLOTS weights
     small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_score(shared), "doc_id long, score double")
