@@ -445,9 +445,19 @@ def jaccard_links(docs: DataFrame) -> DataFrame:
     return _named(stats, classes).withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
 
 
+def _with_classes(stats: DataFrame, classes: DataFrame) -> DataFrame:
+    """stats with the columns of classes (d1, others); those of sets that more than a HOT-th of all rows have (HOT at most) are broadcast."""
+    total = stats.count()
+    hot = stats.where("n > 0").groupBy("d1").count().where(F.col("count") * HOT > total).select("d1")
+    large = F.broadcast(cut(classes.join(F.broadcast(hot), "d1", "left_semi"), "jaccard"))
+    some = stats.where("n > 0")
+    none = stats.where("n = 0").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in classes.schema.fields if f.name != "d1"])
+    return some.join(large, "d1").unionByName(some.join(large.select("d1"), "d1", "left_anti").join(classes, "d1", "left")).unionByName(none)
+
+
 def _named(stats: DataFrame, classes: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of stats, and what else classes has of its set."""
-    found = stats.join(classes.drop("class").withColumnRenamed("set", "d1"), "d1", "left").withColumn("low", F.coalesce("low", "doc"))
+    found = _with_classes(stats, classes.drop("class").withColumnRenamed("set", "d1")).withColumn("low", F.coalesce("low", "doc"))
     found = cut(found, "jaccard")
     # documents with rows in several classes connect these
     several = found.groupBy("doc").agg(F.min("low").alias("least"), F.max("low").alias("most")).where("least <> most").select("doc")
@@ -499,7 +509,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     doc, text = (F.col(f"c{columns.index(c)}") for c in ("doc_id", "text"))
     tie = F.xxhash64(*[F.to_json(F.struct(f"c{i}")) if "map<" in t else F.col(f"c{i}") for i, (_, t) in enumerate(held.dtypes)])
     stats, links, _ = _joined(docs.select("doc_id", "text"))
-    rows = stats.join(_classes(stats, links).select(F.col("set").alias("d1"), "class"), "d1", "left").select("doc", "mark", "class")
+    rows = _with_classes(stats, _classes(stats, links).select(F.col("set").alias("d1"), "class")).select("doc", "mark", "class")
     rows = cut(rows, "jaccard")
     first = rows.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc", "mark")).alias("first")).select("first.doc", "first.mark")
     stay = first.unionByName(rows.where("class IS NULL").select("doc", "mark")).distinct().select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"))
