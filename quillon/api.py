@@ -1,7 +1,9 @@
-"""The verbs of a memory store over versioned tables: every write is a new version, every read is a DataFrame.
+"""The verbs of a memory store over delta tables: every write adds files, every read is a DataFrame.
 
-A store is a folder with the tables memories, entities, episodes, edges and activity (`sources.tables`). Methods that
-answer questions take frames of many queries; nothing is collected to the driver.
+A store is a folder with the tables memories, entities, episodes, edges and activity (`sources.tables`). A row's key is
+its namespace and its id: all verbs see and change rows of their own namespace alone. A write adds the new or changed
+rows (or the ends of rows) as a delta; a read keeps the newest of each key; `compact` folds deltas into one. Methods that answer
+questions take frames of many queries; nothing is collected to the driver.
 """
 
 from __future__ import annotations
@@ -19,9 +21,11 @@ MEMORIES = (
 )
 ENTITIES = "id string, namespace_id string, name string, kind string"
 EPISODES = "id string, namespace_id string, participants array<string>, started_at timestamp, ended_at timestamp, outcome string"
-EDGES = "id string, source string, target string, edge_type string, weight double, age_days double, invalid_at timestamp"
+EDGES = "id string, namespace_id string, source string, target string, edge_type string, weight double, age_days double, invalid_at timestamp"
 ACTIVITY = "id string, namespace_id string, user_id string, event_type string, detail string, created_at timestamp"
 SCHEMAS = {"memories": MEMORIES, "entities": ENTITIES, "episodes": EPISODES, "edges": EDGES, "activity": ACTIVITY}
+#: What names a row.
+KEY = ["namespace_id", "id"]
 #: What a write gives where nothing is said; fixed values.
 DEFAULTS = {"confidence": 0.8, "stability": 1.0, "retrievability": 1.0, "salience": 0.5}
 
@@ -31,11 +35,8 @@ class Memory:
         self.spark, self.root, self.namespace, self.embed = spark, root.rstrip("/"), namespace, embed
 
     def table(self, name: str) -> DataFrame:
-        """The current version; empty if nothing was written."""
-        path = f"{self.root}/{name}"
-        if not tables.versions(self.spark, path):
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return tables.current(self.spark, path)
+        """The current rows of all namespaces; empty if nothing was written."""
+        return tables.latest(self.spark, f"{self.root}/{name}", SCHEMAS[name], KEY)
 
     def mine(self, name: str = "memories") -> DataFrame:
         return self.table(name).where(F.col("namespace_id") == self.namespace)
@@ -50,14 +51,23 @@ class Memory:
         return rows.select(*out)
 
     def put(self, name: str, rows: DataFrame) -> int:
-        return tables.merge(self._shaped(rows, name), f"{self.root}/{name}")
+        """Adds rows in place of this namespace's rows with their ids; of rows with one id any one."""
+        return tables.append(self._shaped(rows, name).withColumn("namespace_id", F.lit(self.namespace)).dropDuplicates(["id"]), f"{self.root}/{name}", "namespace_id")
 
-    def _replace(self, name: str, rows: DataFrame) -> int:
-        path = f"{self.root}/{name}"
-        known = tables.versions(self.spark, path)
-        n = (known[-1] if known else 0) + 1
-        rows.write.parquet(f"{path}/v{n}")
-        return n
+    def _change(self, name: str, updates: DataFrame) -> int:
+        """Adds this namespace's rows with the non-null columns of updates (one row an id)."""
+        return self.put(name, store.updated(store.by_ids(self.mine(name), updates), updates))
+
+    def _end(self, name: str, ids: DataFrame) -> int:
+        """Ends this namespace's rows with these ids."""
+        found = store.by_ids(self.mine(name).select("id"), ids)
+        return tables.append(self._shaped(found, name).withColumn("namespace_id", F.lit(self.namespace)), f"{self.root}/{name}", "namespace_id", gone=True)
+
+    def compact(self) -> None:
+        """Folds the deltas of every table into one; answers stay the same."""
+        for name, schema in SCHEMAS.items():
+            if name != "activity" and len(tables.deltas(self.spark, f"{self.root}/{name}")) > 1:
+                tables.compact(self.spark, f"{self.root}/{name}", schema, KEY, "namespace_id")
 
     def remember(self, facts: DataFrame, now: Column) -> int:
         """Facts (id, entity, fact, confidence?): predicate and object by the fact's verb."""
@@ -76,7 +86,7 @@ class Memory:
 
     def end_episodes(self, ended: DataFrame, now: Column) -> int:
         """ended: id, outcome."""
-        return self._replace("episodes", store.updated(self.table("episodes"), ended.select("id", now.alias("ended_at"), "outcome")))
+        return self._change("episodes", ended.select("id", now.alias("ended_at"), "outcome"))
 
     def recall(self, queries: DataFrame, now: Column, limit: int = 5, types: list[str] | None = None, min_confidence: float | None = None) -> DataFrame:
         """queries (qid, text, target?); types and min_confidence look at the limited answers, so fewer may be left."""
@@ -96,38 +106,37 @@ class Memory:
     def reinforce(self, returned: DataFrame, now: Column) -> int:
         """Applies a recall's side effect: returned (id)."""
         u = fusion.reinforced(store.by_ids(self.mine(), returned), now)
-        return self._replace("memories", store.updated(self.table("memories"), u))
+        return self._change("memories", u)
 
     def update(self, changes: DataFrame) -> int:
         """changes: id, fact, confidence?; the fact is split at its first space; a null confidence keeps the old one."""
         a, b = T.split_first_space(F.col("fact"))
         u = changes.select("id", a.alias("predicate"), b.alias("object"), F.col("fact").alias("content"), *([F.col("confidence")] if "confidence" in changes.columns else []))
-        return self._replace("memories", store.updated(self.table("memories"), u))
+        return self._change("memories", u)
 
     def forget(self, entities: DataFrame) -> int:
         """Deletes what entities (id) own."""
-        return self._replace("memories", store.without_entities(self.table("memories"), entities))
+        return self._end("memories", store.of_entities(self.mine(), entities))
 
     def delete(self, ids: DataFrame) -> int:
-        return self._replace("memories", self.table("memories").join(ids.select("id").distinct(), "id", "left_anti"))
+        return self._end("memories", ids)
 
     def purge(self) -> int:
-        return self._replace("memories", self.table("memories").where(F.col("namespace_id") != self.namespace))
+        """Ends all memories of the namespace; rows of other namespaces, and of none, stay."""
+        return self._end("memories", self.mine())
 
     def erase(self, entities: DataFrame) -> DataFrame:
         """Erases entities with all that belongs to them, and returns the report."""
-        left = store.erase(self.table("memories"), self.table("episodes"), self.table("edges"), entities)
-        report = left["report"]
-        path = f"{self.root}/erased"
-        n = len(tables.versions(self.spark, path)) + 1
-        report.write.parquet(f"{path}/v{n}")
-        self._replace("memories", left["memories"])
-        self._replace("edges", left["edges"])
-        self._replace("entities", self.table("entities").join(entities.select("id").distinct(), "id", "left_anti"))
-        return self.spark.read.parquet(f"{path}/v{n}")
+        left = store.erase(self.mine(), self.mine("episodes"), self.mine("edges"), entities)
+        n = tables.claim(self.spark, f"{self.root}/erased")
+        left["report"].withColumn("namespace_id", F.lit(self.namespace)).write.parquet(f"{self.root}/erased/{n}")
+        self._end("memories", left["gone_memories"])
+        self._end("edges", left["gone_edges"])
+        self._end("entities", entities)
+        return self.spark.read.parquet(f"{self.root}/erased/{n}")
 
     def export(self, entities: DataFrame) -> DataFrame:
-        return store.export(self.table("memories"), self.table("episodes"), entities)
+        return store.export(self.mine(), self.mine("episodes"), entities)
 
     def inspect(self, limit: int = 20) -> DataFrame:
         """Of each entity: episodic memories, newest first, then facts, up to the limit."""
@@ -145,8 +154,8 @@ class Memory:
         facts = found.select(F.concat(F.lit("fact-"), "seed").alias("id"), F.lit("semantic").alias("memory_type"), F.col("entity").alias("subject"), "predicate", "object", F.concat_ws(" ", "predicate", "object").alias("content"), "confidence", now.alias("created_at"))
         fresh = self._shaped(facts.join(self.mine().select("subject", "predicate", "object"), ["subject", "predicate", "object"], "left_anti"), "memories")
         passed = consolidation.decay_pass(self.mine(), now).select("id", "stability", "retrievability")
-        kept = store.updated(self.table("memories"), passed)
-        return self._replace("memories", kept.unionByName(fresh))
+        kept = store.updated(self.mine(), passed)
+        return self.put("memories", kept.unionByName(fresh))
 
     def log(self, events: DataFrame) -> None:
         tables.write(self._shaped(events, "activity"), f"{self.root}/log", by=["namespace_id"])
@@ -155,6 +164,16 @@ class Memory:
         log = tables.read(self.spark, f"{self.root}/log")
         return analytics.daily(log.where(F.col("namespace_id") == self.namespace), now, days)
 
+    def recent(self, n: int = 20) -> DataFrame:
+        """The namespace's newest n events with a summary each."""
+        log = tables.read(self.spark, f"{self.root}/log")
+        return analytics.recent(log.where(F.col("namespace_id") == self.namespace), "namespace_id", n)
+
+    def usage(self) -> DataFrame:
+        """user_id, month, tier (the event type), n: the namespace's billed events."""
+        log = tables.read(self.spark, f"{self.root}/log")
+        return analytics.usage(log.where(F.col("namespace_id") == self.namespace).select("user_id", "created_at", F.col("event_type").alias("tier"), F.lit(1).alias("n")))
+
     def feedback(self, samples: DataFrame, weights: list[float]) -> DataFrame:
         """Learned weights of samples (key, seq, signals, relevant)."""
         return fusion.learn_weights(samples, weights)

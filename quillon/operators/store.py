@@ -107,7 +107,8 @@ def erase(memories: DataFrame, episodes: DataFrame, edges: DataFrame, entities:
     count = lambda f, name: f.groupBy("entity").agg(F.count(F.lit(1)).alias(name))
     report = entities.select(F.col("id").alias("entity")).distinct().join(count(obs, "observations"), "entity", "left").join(count(own, "memories"), "entity", "left").join(count(edge, "edges"), "entity", "left").fillna(0)
     gone = obs.select("id").unionByName(own.select("id")).distinct()
-    return {"memories": memories.join(gone, "id", "left_anti"), "edges": edges.join(edge.select("id").distinct(), "id", "left_anti"), "report": report}
+    cut = edge.select("id").distinct()
+    return {"memories": memories.join(gone, "id", "left_anti"), "edges": edges.join(cut, "id", "left_anti"), "report": report, "gone_memories": gone, "gone_edges": cut}
 
 
 def export(memories: DataFrame, episodes: DataFrame, entities: DataFrame) -> DataFrame:
