@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quillon.functions import text as T, vectors as V
-from quillon.operators import analytics, consolidation, fusion, sessions, store
+from quillon.operators import analytics, consolidation, fusion, graph, sessions, store
 from quillon.sources import tables
 
 MEMORIES = (
@@ -88,20 +88,22 @@ class Memory:
         """ended: id, outcome."""
         return self._change("episodes", ended.select("id", now.alias("ended_at"), "outcome"))
 
-    def recall(self, queries: DataFrame, now: Column, limit: int = 5, types: list[str] | None = None, min_confidence: float | None = None) -> DataFrame:
-        """queries (qid, text, target?); types and min_confidence look at the limited answers, so fewer may be left."""
+    def recall(self, queries: DataFrame, now: Column, limit: int = 5, types: list[str] | None = None, min_confidence: float | None = None, scorer=None) -> DataFrame:
+        """queries (qid, text, target?); types and min_confidence look at the limited answers, so fewer may be left. scorer(query, text): reranks their head."""
         asked = queries.withColumn("v", self.embed(F.col("text")))
         if "target" not in queries.columns:
             asked = asked.withColumn("target", F.lit(None).cast("string"))
-        got = fusion.recall(self.mine(), asked, now, fusion.Config(limit=limit))
+        links = graph.memory_edges(self.mine()).unionByName(self.mine("edges").select("source", "target", "edge_type", "weight", "age_days", "invalid_at"))
+        got = fusion.recall(self.mine(), asked, now, fusion.Config(limit=limit), links, scorer)
         rows = got.join(self.mine().select("id", "memory_type", "content", "episode_id", "event_time", "created_at", "confidence"), "id")
         if types:
             rows = rows.where(F.col("memory_type").isin(types))
         return rows if min_confidence is None else rows.where(F.col("confidence") >= min_confidence)
 
     def recall_grouped(self, queries: DataFrame, now: Column, limit: int = 50, order: str = "chronological", max_groups: int | None = None, types: list[str] | None = None) -> DataFrame:
+        """Answers by session; `observations` are those of the session's episode, by time."""
         rows = self.recall(queries, now, limit, types).withColumnRenamed("final_score", "score")
-        return sessions.group(rows, order, max_groups)
+        return sessions.with_observations(sessions.group(rows, order, max_groups), self.mine().where("memory_type = 'observation'"))
 
     def reinforce(self, returned: DataFrame, now: Column) -> int:
         """Applies a recall's side effect: returned (id)."""

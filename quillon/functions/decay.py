@@ -17,7 +17,8 @@ def elapsed_days(then: Column, now: Column) -> Column:
 
 
 def retrievability(stability: Column, days: Column) -> Column:
-    return F.when(days <= 0, 1.0).otherwise(1.0 / (1.0 + days / (9.0 * stability)))
+    """1 before any time has passed; a stability of 0 is forgotten at once."""
+    return F.when(days <= 0, 1.0).when(stability == 0, 0.0).otherwise(1.0 / (1.0 + days / (9.0 * F.nullif(stability, F.lit(0.0)))))
 
 
 def reinforce(stability: Column, difficulty: Column, r: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions import decay, text as T
-from quillon.operators import search
+from quillon.operators import graph, search
+from quillon.sources.scratch import kept
 
 #: Signals in order, with their default weights; fixed values.
 WEIGHTS = {"vector": 1.0, "lexical": 0.8, "activation": 1.0, "spread": 0.8, "intent": 0.5, "confidence": 0.5, "entity": 1.2}
@@ -70,43 +71,82 @@ def access_score(count: Column, most: Column) -> Column:
     return F.when(most > 0, F.log(count + 1.0) / F.log(most + 1.0)).otherwise(0.0)
 
 
-def recall(memories: DataFrame, queries: DataFrame, now: Column, config: Config | None = None) -> DataFrame:
+def owner() -> Column:
+    """The entity that a memory's vector belongs to."""
+    return F.when(F.col("memory_type") == "semantic", F.col("subject")).when(F.col("memory_type") == "episodic", F.col("about_entity"))
+
+
+def rendered() -> Column:
+    """What a reranker reads of a memory."""
+    fact = F.concat_ws(" ", "subject", "predicate", "object")
+    return F.when(F.col("memory_type") == "semantic", fact).when(F.col("memory_type") == "procedural", F.concat(F.lit("trigger: "), "trigger", F.lit(" action: "), "action")).otherwise(F.col("content"))
+
+
+def candidates(memories: DataFrame, asked: DataFrame, c: Config) -> tuple[DataFrame, DataFrame]:
+    """vector and lexical hits (qid, id, score, path, rank), each written once.
+
+    Path 1 has the c.candidates best of all memories. Path 0, for queries with a target, has the c.candidates best of those that the target owns: by
+    vector those about it, by words its facts, then the turns about or from it.
+    """
+    kind = F.when(F.col("memory_type") == "semantic", 0).when(F.col("memory_type") == "episodic", 1).otherwise(2).cast("int")
+    owners = F.when(F.col("memory_type") == "semantic", F.array("subject")).when(F.col("memory_type") == "episodic", F.array("about_entity", "source_entity")).otherwise(F.array().cast("array<string>"))
+    texts = memories.select("id", F.col("content").alias("text"), kind.alias("kind"), F.array_distinct(F.array_compact(owners)).alias("owners"))
+    lexical = kept(search.lexical_paths(texts, asked, c.candidates, c.candidates), "lexical")
+    rows = memories.where("v IS NOT NULL").select("id", "v", owner().alias("owner"))
+    vectors = asked.where("v IS NOT NULL").select("qid", "v", F.col("target").alias("owner"))
+    broad = search.vector_top_k(rows, vectors, c.candidates).withColumn("path", F.lit(1))
+    scoped = search.vector_top_k(rows, vectors.where("owner IS NOT NULL"), c.candidates, True).withColumn("path", F.lit(0))
+    return kept(broad.unionByName(scoped), "vectors"), lexical
+
+
+def recall(memories: DataFrame, queries: DataFrame, now: Column, config: Config | None = None, edges: DataFrame | None = None, scorer=None) -> DataFrame:
     """The config.limit best memories of each query, with the fused score and the reported signals.
 
-    memories: the unified frame with v (array, may be null). queries: qid, text, v, target (an entity, may be null).
-    Candidates are the vector and the lexical hits (config.candidates each). Signals that say nothing are left out; an id
-    that is no candidate keeps its rank and is dropped after fusion. Ties by id.
+    memories: the unified frame with v (array, may be null). queries: qid, text, v, target (an entity, may be null). edges
+    (source, target, edge_type, weight, age_days, invalid_at): what activation spreads over from a query's target. scorer(query, text): a pandas
+    UDF that reorders the first config.rerank answers. Candidates are the vector and the lexical hits, config.candidates each; with a target,
+    those of the target and a quarter of the best of all. Signals that say nothing are left out; an id that is no candidate keeps its rank and is
+    dropped after fusion. Ties by id. Memories' texts are read once, hits and signals are written once.
     """
     c = config or Config()
-    docs = memories.select("id", F.col("content").alias("text"))
-    vector = search.vector_top_k(memories.where("v IS NOT NULL").select("id", "v", F.lit(None).cast("string").alias("owner")), queries.select("qid", "v", F.lit(None).cast("string").alias("owner")), c.candidates).select("qid", "id", "score")
-    hits = search.top_k(search.bm25(docs, queries), c.candidates)
-    lexical = search.positional(hits)
-    ids = search.dealt(vector.select("qid", "id").unionByName(hits.select("qid", "id")), "qid", "id").distinct()
-    intents = queries.select("qid", "target", T.intent(F.col("text")).alias("intent"))
-    rows = ids.join(memories.drop("v", "content"), "id").join(intents, "qid")
+    asked = kept(queries.select("qid", "text", "v", "target", T.intent(F.col("text")).alias("intent")), "queries")
+    vectors, hits = candidates(memories, asked, c)
+    target = asked.select("qid", "target")
+    most = F.when(F.col("target").isNull(), c.candidates).otherwise(c.candidates // 4)
+    within = lambda found: found.join(F.broadcast(target), "qid").where((F.col("path") == 0) | (F.col("rank") <= most))
+    vector = within(vectors).groupBy("qid", "id").agg(F.max("score").alias("score"))
+    lexical = search.positional(hits.where("path = 1"))
+    ids = kept(search.dealt(vector.select("qid", "id").unionByName(within(hits).select("qid", "id")), "qid", "id").distinct(), "candidates")
+    rows = ids.join(memories.drop("v"), "id").join(F.broadcast(asked.select("qid", "target", "intent", F.col("text").alias("query"))), "qid")
     signals = rows.select(
         "qid", "id",
-        F.expr("1").alias("one"),
         activation_signal(now).alias("activation"),
         T.affinity(F.col("intent"), F.col("memory_type")).alias("intent"),
         confidence_signal().alias("confidence"),
         F.when(F.col("target").isNotNull(), entity_signal(F.col("target"))).alias("entity"),
         recency(now).alias("recency"),
         F.when(F.col("memory_type") == "episodic", F.col("access_count")).otherwise(0).alias("accesses"),
-        "memory_type",
+        *([F.col("query"), rendered().alias("text")] if scorer else []),
     )
+    signals = kept(signals, "signals")
     long = signals.select("qid", "id", F.expr("stack(4, 'activation', activation, 'intent', intent, 'confidence', confidence, 'entity', entity) AS (signal, score)")).where("score IS NOT NULL")
-    rankings = vector.select("qid", "id", F.lit("vector").alias("signal"), "score").unionByName(lexical.select("qid", "id", F.lit("lexical").alias("signal"), "score")).unionByName(long)
+    rankings = vector.select("qid", "id", F.lit("vector").alias("signal"), "score").unionByName(lexical.select("qid", "id", F.lit("lexical").alias("signal"), "score")).unionByName(long.select("qid", "id", "signal", "score"))
+    if edges is not None:
+        starts = asked.where("target IS NOT NULL").select(F.col("target").alias("id"), "intent").distinct()
+        walked = graph.beam(edges, starts, c.beam, c.depth).withColumnRenamed("start", "target")
+        spread = walked.join(F.broadcast(asked.select("qid", "target", "intent")), ["target", "intent"])
+        rankings = rankings.unionByName(spread.select("qid", F.col("node").alias("id"), F.lit("spread").alias("signal"), "score"))
     rankings = search.dealt(rankings, "qid", "signal")
-    sizes = ids.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+    sizes = signals.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("accesses").alias("most"))
     fused = fuse_with(gate(rankings).join(sizes, "qid"), c)
-    out = fused.join(signals, ["qid", "id"]).join(vector.withColumnRenamed("score", "vector_score"), ["qid", "id"], "left").join(lexical.withColumnRenamed("score", "lexical_score"), ["qid", "id"], "left")
-    most = F.max("accesses").over(Window.partitionBy("qid"))
-    ranked = out.withColumn("access", access_score(F.col("accesses"), most)).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id")))
-    return ranked.where(F.col("rank") <= c.limit).select(
-        "qid", "id", F.col("rank").cast("long"), F.col("score").alias("final_score"), F.coalesce("vector_score", F.lit(0.0)).alias("vector_score"), F.coalesce("lexical_score", F.lit(0.0)).alias("lexical_score"),
-        F.col("recency").alias("recency_score"), F.col("access").alias("access_score"), F.col("intent").alias("intent_score"), F.col("confidence").alias("confidence_score"), F.coalesce("entity", F.lit(0.0)).alias("entity_score"),
+    out = fused.join(signals, ["qid", "id"]).join(sizes.select("qid", "most"), "qid")
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= max(c.limit, c.rerank if scorer else 0))
+    if scorer:
+        out = rerank(out, scorer, c.rerank).withColumn("rank", F.col("new_rank")).drop("new_rank")
+    out = out.where(F.col("rank") <= c.limit).join(vector.withColumnRenamed("score", "vector_score"), ["qid", "id"], "left").join(lexical.withColumnRenamed("score", "lexical_score"), ["qid", "id"], "left")
+    return out.select(
+        "qid", "id", F.col("rank").cast("long"), F.col("score").alias("final_score"), F.coalesce(decay.clamp(F.col("vector_score")), F.lit(0.0)).alias("vector_score"), F.coalesce("lexical_score", F.lit(0.0)).alias("lexical_score"),
+        F.col("recency").alias("recency_score"), access_score(F.col("accesses"), F.col("most")).alias("access_score"), F.col("intent").alias("intent_score"), F.col("confidence").alias("confidence_score"), F.coalesce("entity", F.lit(0.0)).alias("entity_score"),
     )
 
 
@@ -126,9 +166,10 @@ def linear(signals: DataFrame, weights: list[float] | None = None) -> DataFrame:
 
 
 def rerank(ranked: DataFrame, scorer, head: int = 20) -> DataFrame:
-    """Rows (qid, id, rank, text, query): the first `head` of each query by scorer(query, text) (a pandas UDF); the rest as they were."""
-    scored = ranked.withColumn("score", F.when(F.col("rank") <= head, scorer("query", "text")))
-    order = Window.partitionBy("qid").orderBy(F.col("rank") > head, F.desc("score"), F.when(F.col("rank") > head, F.col("rank")), "id")
+    """Rows (qid, id, rank, text, query, score?): the first `head` of each query by scorer(query, text) (a pandas UDF), which is their new score; the rest as they were."""
+    old = F.col("score") if "score" in ranked.columns else F.lit(None).cast("double")
+    scored = ranked.withColumn("score", F.when(F.col("rank") <= head, scorer("query", "text")).otherwise(old))
+    order = Window.partitionBy("qid").orderBy(F.col("rank") > head, F.when(F.col("rank") <= head, F.col("score")).desc(), F.when(F.col("rank") > head, F.col("rank")), "id")
     return scored.withColumn("new_rank", F.row_number().over(order))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions import decay
+from quillon.sources.scratch import kept
 
 #: How well an edge type suits an intent; fixed values.
 ALIGNMENT = [
@@ -34,14 +35,22 @@ def from_memories(memories: DataFrame) -> DataFrame:
     return e.unionByName(s).dropDuplicates(["source", "target"])
 
 
+def memory_edges(memories: DataFrame) -> DataFrame:
+    """from_memories as edges that a beam can walk: of type entity, valid and new."""
+    return from_memories(memories).select("source", "target", F.lit("entity").alias("edge_type"), "weight", F.lit(0.0).alias("age_days"), F.lit(None).cast("timestamp").alias("invalid_at"))
+
+
 def bfs(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """start, node, distance of what valid edges reach from starts (id) in at most depth steps; the start itself is left out."""
-    step = valid(edges).select("source", "target").distinct()
-    seen = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("distance")).distinct()
-    front = seen
+    """start, node, distance of what valid edges reach from starts (id) in at most depth steps; the start itself is left out.
+
+    Edges are written once and every step's new nodes too, so a step reads edges, one frontier and what was seen, whatever the depth.
+    """
+    step = kept(valid(edges).select("source", "target").distinct(), "edges")
+    front = kept(starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("distance")).distinct(), "frontier")
+    seen = front
     for d in range(1, depth + 1):
         reached = front.join(step, front["node"] == step["source"]).select("start", F.col("target").alias("node")).distinct()
-        front = reached.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("distance", F.lit(d))
+        front = kept(reached.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("distance", F.lit(d)), "frontier")
         seen = seen.unionByName(front)
     return seen.where("distance > 0").withColumn("score", 1.0 / (1.0 + F.col("distance")))
 
@@ -50,17 +59,17 @@ def beam(edges: DataFrame, starts: DataFrame, width: int = 10, depth: int = 4) -
     """start, node, score of the beams from starts (id, intent). edges: source, target, edge_type, weight, age_days, half_life?.
 
     A step multiplies exp(0.4 alignment + 0.4 weight + 0.2 confidence); each depth keeps the width best nodes not seen before,
-    ties by node.
+    ties by node. Edges and every step's nodes are written, as in bfs.
     """
     half = F.coalesce("half_life", F.lit(90.0)) if "half_life" in edges.columns else F.lit(90.0)
-    step = valid(edges).select("source", "target", "edge_type", "weight", decay.edge_confidence(F.lit(1.0), F.col("age_days"), half).alias("confidence"))
-    first = starts.select(F.col("id").alias("start"), "intent", F.col("id").alias("node"), F.lit(1.0).alias("score"))
-    seen, front = first, first
+    step = kept(valid(edges).select("source", "target", "edge_type", "weight", decay.edge_confidence(F.lit(1.0), F.col("age_days"), half).alias("confidence")), "edges")
+    front = kept(starts.select(F.col("id").alias("start"), "intent", F.col("id").alias("node"), F.lit(1.0).alias("score")), "frontier")
+    seen = front
     for _ in range(depth):
         gain = F.exp(0.4 * alignment(F.col("edge_type"), F.col("intent")) + 0.4 * F.col("weight") + 0.2 * F.col("confidence"))
         to = front.join(step, front["node"] == step["source"]).select("start", "intent", F.col("target").alias("node"), (F.col("score") * gain).alias("score"))
         best = to.groupBy("start", "intent", "node").agg(F.max("score").alias("score")).join(seen.select("start", "intent", "node"), ["start", "intent", "node"], "left_anti")
-        front = best.withColumn("__r", F.row_number().over(Window.partitionBy("start", "intent").orderBy(F.desc("score"), "node"))).where(F.col("__r") <= width).drop("__r")
+        front = kept(best.withColumn("__r", F.row_number().over(Window.partitionBy("start", "intent").orderBy(F.desc("score"), "node"))).where(F.col("__r") <= width).drop("__r"), "frontier")
         seen = seen.unionByName(front)
     return seen.where("node <> start")
 

@@ -29,3 +29,10 @@ def attach(groups: DataFrame, observations: DataFrame, most: int = 1024) -> Data
     """qid, group_id, id, score of the groups' observations, at most `most` a query by time."""
     found = groups.where("episode_id IS NOT NULL").select("qid", "group_id", "episode_id", "group_score").join(observations.select("episode_id", "id", "created_at"), "episode_id")
     return found.withColumn("__r", F.row_number().over(Window.partitionBy("qid").orderBy("created_at", "id"))).where(F.col("__r") <= most).select("qid", "group_id", "id", F.col("group_score").alias("score"))
+
+
+def with_observations(groups: DataFrame, observations: DataFrame, most: int = 1024) -> DataFrame:
+    """groups with observations, the ids of those attached to each by time; none: an empty array."""
+    found = attach(groups, observations, most).join(observations.select("id", "created_at"), "id")
+    lists = found.groupBy("qid", "group_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("created_at", "id"))), lambda x: x["id"]).alias("observations"))
+    return groups.join(lists, ["qid", "group_id"], "left").withColumn("observations", F.coalesce("observations", F.array().cast("array<string>")))

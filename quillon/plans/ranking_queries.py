@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions import decay, text as T, vectors as V
-from quillon.operators import fusion, search, sessions, store
+from quillon.operators import fusion, graph, search, sessions, store
 from quillon.plans import fixtures as X
 from quillon.plans.registry import query
+from quillon.sources.scratch import kept
 
 R = lambda c, n=6: F.round(c, n)
 
@@ -45,23 +46,39 @@ def ft01(spark, d):
     return search.match_all(docs(spark, d), texts(spark, d))
 
 
-@query("ft02_match_ranked_by_type", f"WITH {POST}, x AS (SELECT qid, m.id, source, row_number() OVER (PARTITION BY qid, source ORDER BY m.id) AS r FROM m JOIN (SELECT 's-' || doc_id AS id, source FROM documents) USING (id)) SELECT qid, id, source, r AS rank FROM x WHERE r <= 20")
+def kinds(spark, d):
+    kind = F.when(F.col("memory_type") == "semantic", 0).when(F.col("memory_type") == "episodic", 1).otherwise(2).cast("int")
+    owners = F.when(F.col("memory_type") == "semantic", F.array("subject")).when(F.col("memory_type") == "episodic", F.array("about_entity", "source_entity")).otherwise(F.array().cast("array<string>"))
+    return X.memories(spark, d).select("id", "memory_type", F.col("content").alias("text"), kind.alias("kind"), F.array_compact(owners).alias("owners"))
+
+
+MEMBM = f"""q AS (SELECT DISTINCT 'q' || item_id AS qid, unnest({TOK}) AS token FROM benchmark), w AS (SELECT id, memory_type, subject, about_entity, source_entity, {TOK.replace('text', 'content')} AS t FROM mem), f AS (SELECT id, len(t) AS length, unnest(t) AS token FROM w),
+ p AS (SELECT id, token, count(*) AS tf, any_value(length) AS length FROM f WHERE token IN (SELECT token FROM q) GROUP BY id, token), z AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM w), dfs AS (SELECT token, count(*) AS df FROM p GROUP BY token),
+ b AS (SELECT qid, id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS score FROM p JOIN q USING (token) JOIN dfs USING (token), z GROUP BY qid, id)"""
+
+
+@query("ft02_match_ranked_by_type", f"WITH {MEMBM}, x AS (SELECT qid, b.id, memory_type, row_number() OVER (PARTITION BY qid, memory_type ORDER BY score DESC, b.id) AS r FROM b JOIN w USING (id)) SELECT qid, id, memory_type, r AS rank FROM x WHERE r <= 20")
 def ft02(spark, d):
-    hits = search.match_all(docs(spark, d), texts(spark, d)).join(docs(spark, d).select("id", "source"), "id")
-    w = Window.partitionBy("qid", "source").orderBy("id")
-    return hits.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 20").select("qid", "id", "source", "rank")
+    rows, out = kinds(spark, d), None
+    # a word's weight is that in all memories: kinds are ranked apart, each memory's target being its kind
+    asked = texts(spark, d).crossJoin(F.broadcast(spark.createDataFrame([(t,) for t in X.TYPES], "target string")))  # four rows
+    by_kind = rows.select("id", "text", F.lit(0).alias("kind"), F.array("memory_type").alias("owners"))
+    found = search.lexical_paths(by_kind, asked.select(F.concat_ws("|", "qid", "target").alias("qid"), "text", "target"), 1, 20).where("path = 0")
+    return found.select(F.substring_index("qid", "|", 1).alias("qid"), "id", F.substring_index("qid", "|", -1).alias("memory_type"), F.col("rank").cast("long"))
 
 
-@query("ft03_match_scoped", f"WITH {POST} SELECT qid, m.id FROM m JOIN (SELECT 's-' || doc_id AS id, source FROM documents) s USING (id) WHERE 'src' || (CAST(substr(qid, 2) AS INT) % 20) = s.source")
+@query("ft03_match_scoped", f"""WITH {MEMBM}, a AS (SELECT 'q' || item_id AS qid, CASE WHEN item_id % 2 = 0 THEN 'u' || (item_id % 50) ELSE 'src' || (item_id % 20) END AS target FROM benchmark),
+ x AS (SELECT qid, b.id, memory_type, row_number() OVER (PARTITION BY qid ORDER BY CASE memory_type WHEN 'semantic' THEN 0 ELSE 1 END, score DESC, b.id) AS r FROM b JOIN a USING (qid) JOIN w USING (id) WHERE memory_type = 'semantic' AND subject = target OR memory_type = 'episodic' AND (about_entity = target OR source_entity = target))
+ SELECT qid, id, r AS rank FROM x WHERE r <= 20""")
 def ft03(spark, d):
-    hits = search.match_all(docs(spark, d), texts(spark, d)).join(docs(spark, d).select("id", "source"), "id")
-    return hits.where(F.concat(F.lit("src"), F.substring("qid", 2, 9).cast("int") % 20) == F.col("source")).select("qid", "id")
+    target = F.expr("CASE WHEN substr(qid, 2) % 2 = 0 THEN concat('u', cast(substr(qid, 2) AS INT) % 50) ELSE concat('src', cast(substr(qid, 2) AS INT) % 20) END")
+    found = search.lexical_paths(kinds(spark, d), texts(spark, d).withColumn("target", target), 1, 20)
+    return found.where("path = 0").select("qid", "id", F.col("rank").cast("long"))
 
 
 @query("ft04_bm25", f"WITH {BM} SELECT qid, id, round(score, 6) AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS r FROM b) WHERE r <= 10")
 def ft04(spark, d):
-    scores = search.bm25(docs(spark, d), texts(spark, d)).withColumn("score", R("score", 9))
-    return search.top_k(scores, 10).select("qid", "id", R("score").alias("score"), F.col("rank").cast("long"))
+    return search.bm25_top(docs(spark, d), texts(spark, d), 10).select("qid", "id", R("score").alias("score"), F.col("rank").cast("long"))
 
 
 def _any(words, low="lower(text)"):
@@ -190,23 +207,6 @@ def rk03(spark, d):
     return search.positional(hits).withColumn("score", R("score"))
 
 
-MERGE = f"""WITH {COS}, t AS (SELECT qid, id, score, 0 AS path FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM s WHERE ql = label) WHERE r <= 100
- UNION ALL SELECT qid, id, score, 1 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM s) WHERE r <= 25)
- SELECT qid, id, round(arg_min(score, path), 6) AS score, min(path) AS path FROM t GROUP BY qid, id"""
-
-
-@query("rk05_dual_path", MERGE)
-def rk05(spark, d):
-    return search.merge_candidates(cosines(spark, d, 100, True), cosines(spark, d, 25)).select("qid", "id", R("score").alias("score"), "path")
-
-
-@query("rk04_candidate_union", f"WITH {POST}, x AS (SELECT qid, id FROM m UNION SELECT qid, id FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY id) AS r FROM m) WHERE r <= 5) SELECT qid, id FROM x")
-def rk04(spark, d):
-    hits = search.match_all(docs(spark, d), texts(spark, d)).withColumn("score", F.lit(1.0))
-    first = hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("id"))).where("rank <= 5")
-    return search.merge_candidates(hits, first.select("qid", "id", "score")).select("qid", "id")
-
-
 def _intent(col):
     return "CASE " + " ".join(f"WHEN {_any(w, f'lower({col})')} THEN '{n}'" for n, w in T.INTENTS) + " ELSE 'general' END"
 
@@ -289,15 +289,16 @@ def rk17(spark, d):
 DAYS = "floor((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(created_at)) / 1000) / 86400000.0"
 
 
-@query("rk18_recency", f"SELECT id, round(CASE WHEN {DAYS} <= 0 THEN 1.0 ELSE 1 / (1 + {DAYS} / (9 * CASE memory_type WHEN 'procedural' THEN reliability ELSE stability END)) END, 6) AS recency FROM mem WHERE memory_type <> 'procedural' OR reliability > 0")
+@query("rk18_recency", f"SELECT id, round(CASE WHEN {DAYS} <= 0 THEN 1.0 WHEN CASE memory_type WHEN 'procedural' THEN reliability ELSE stability END = 0 THEN 0.0 ELSE 1 / (1 + {DAYS} / (9 * CASE memory_type WHEN 'procedural' THEN reliability ELSE stability END)) END, 6) AS recency FROM mem")
 def rk18(spark, d):
-    return X.memories(spark, d).where("memory_type <> 'procedural' OR reliability > 0").select("id", R(fusion.recency(X.now())).alias("recency"))
+    return X.memories(spark, d).select("id", R(fusion.recency(X.now())).alias("recency"))
 
 
 @query("rk19_access_score", "SELECT id, round(ln(access_count + 1) / ln(max(access_count) OVER (PARTITION BY namespace_id) + 1), 6) AS access FROM mem WHERE memory_type = 'episodic'")
 def rk19(spark, d):
-    most = F.max("access_count").over(Window.partitionBy("namespace_id"))
-    return X.episodic(spark, d).select("id", R(fusion.access_score(F.col("access_count"), most)).alias("access"))
+    rows = X.episodic(spark, d)
+    most = rows.groupBy("namespace_id").agg(F.max("access_count").alias("most"))
+    return rows.join(most, "namespace_id").select("id", R(fusion.access_score(F.col("access_count"), F.col("most"))).alias("access"))
 
 
 @query("rk20_linear_fusion", "SELECT p_partkey, round(0.25 * least(greatest(p_size / 40.0, 0), 1) + 0.10 * 0.5 + 0.15 * (p_partkey % 5) / 5.0 + 0.05 * 0.5 + 0.20 * 0.25 + 0.10 * 0.0 + 0.10 * (p_size % 10) / 10.0 + 0.05, 6) AS score FROM part")
@@ -306,53 +307,98 @@ def rk20(spark, d):
     return fusion.linear(rows).select("p_partkey", R("score").alias("score"))
 
 
-@query("rk21_rerank")
+@query("rk21_rerank", f"""WITH {BM}, h AS (SELECT qid, id, r FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS r FROM b) WHERE r <= 50),
+ o AS (SELECT h.*, len(list_intersect(regexp_extract_all(x.text, '[^ ]+'), regexp_extract_all(y.text, '[^ ]+'))) AS s FROM h JOIN (SELECT 's-' || doc_id AS id, text FROM documents) x USING (id) JOIN (SELECT 'q' || item_id AS qid, text FROM benchmark) y USING (qid))
+ SELECT qid, id, r AS rank, row_number() OVER (PARTITION BY qid ORDER BY r > 20, CASE WHEN r <= 20 THEN -s ELSE r END, id) AS new_rank FROM o""")
 def rk21(spark, d):
     @F.pandas_udf("double")
     def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([float(len(set(x.split()) & set(y.split()))) for x, y in zip(a, b)])
+        return pd.Series([float(len(set(filter(None, x.split(" "))) & set(filter(None, y.split(" "))))) for x, y in zip(a, b)])
 
-    hits = search.top_k(search.bm25(docs(spark, d), texts(spark, d)).withColumn("score", R("score", 9)), 50)
-    rows = hits.join(docs(spark, d).select("id", "text"), "id").join(texts(spark, d).withColumnRenamed("text", "query"), "qid").drop("score")
+    hits = search.bm25_top(docs(spark, d), texts(spark, d), 50)
+    rows = hits.join(docs(spark, d).select("id", "text"), "id").join(F.broadcast(texts(spark, d).withColumnRenamed("text", "query")), "qid")
     return fusion.rerank(rows, overlap).select("qid", "id", F.col("rank").cast("long"), F.col("new_rank").cast("long"))
 
 
-@query("rk22_reinforce_returned", f"SELECT id, round(stability * (1 + 0.5 * 6 * pow(stability, -0.2) * (exp(0.2 * (1 - CASE WHEN t <= 0 THEN 1 ELSE 1 / (1 + t / (9 * stability)) END)) - 1)), 6) AS stability, access_count + 1 AS access_count FROM (SELECT *, floor((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(coalesce(last_accessed, created_at))) / 1000) / 86400000.0 AS t FROM mem WHERE memory_type = 'episodic')")
-def rk22(spark, d):
-    return fusion.reinforced(X.memories(spark, d), X.now()).select("id", R("stability").alias("stability"), "access_count")
+TARGET = "CASE WHEN item_id % 5 = 0 THEN NULL WHEN item_id % 2 = 0 THEN 'u' || (item_id % 50) ELSE 'src' || (item_id % 20) END"
 
 
 def recall_frames(spark, d):
-    """Documents as memories with the vector of the same number where there is one; benchmark texts with every hundredth vector as queries."""
-    v = X.read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    mem = X.semantic(spark, d).withColumn("content", F.col("object")).join(v.select(F.concat(F.lit("s-"), "vec_id").alias("id"), "v"), "id", "left")
-    q = X.read(spark, d, "benchmark").join(v.where("vec_id % 100 = 0"), F.col("item_id") * 100 == F.col("vec_id")).select(F.concat(F.lit("q"), "item_id").alias("qid"), "text", "v", F.concat(F.lit("src"), F.col("item_id") % 20).alias("target"))
-    return mem, q
-
-
-@query("rk24_recall", f"""WITH {BM}, mv AS (SELECT m.*, v.e, v.norm FROM mem m LEFT JOIN (SELECT 's-' || vec_id AS id, e, norm FROM vec) v USING (id) WHERE memory_type = 'semantic'),
- qs AS (SELECT 'q' || item_id AS qid, text, e AS qe, norm AS qn, 'src' || (item_id % 20) AS target, {_intent('text')} AS intent FROM benchmark JOIN vec ON item_id * 100 = vec_id),
- vt AS (SELECT qid, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM (SELECT qid, id, round(list_dot_product(qe, e) / (qn * norm), 9) AS score FROM qs, mv WHERE e IS NOT NULL)) WHERE r <= 100),
- lt0 AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS r FROM b WHERE qid IN (SELECT qid FROM qs)), lt1 AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n FROM lt0 WHERE r <= 100),
- lt AS (SELECT qid, id, (n - r + 1) / n AS score FROM lt1), c AS (SELECT qid, id FROM vt UNION SELECT qid, id FROM lt), cn AS (SELECT qid, count(*) AS n FROM c GROUP BY qid),
- sg AS (SELECT c.qid, c.id, 0.0 AS activation, {AFF} AS intent, confidence, CASE WHEN subject = target THEN 1.0 ELSE 0.0 END AS entity FROM c JOIN mv USING (id) JOIN qs USING (qid)),
- lg AS (SELECT qid, id, 'vector' AS signal, score, 1.0 AS w FROM vt UNION ALL SELECT qid, id, 'lexical', score, 0.8 FROM lt UNION ALL SELECT qid, id, 'activation', activation, 1.0 FROM sg UNION ALL SELECT qid, id, 'intent', intent, 0.5 FROM sg
-  UNION ALL SELECT qid, id, 'confidence', confidence, 0.5 FROM sg UNION ALL SELECT qid, id, 'entity', entity, 1.2 FROM sg),
+    """All memories of all kinds, facts, procedures and observations with the vector of their number where there is one; every benchmark text as a query, with
+    the vector of its number; targets are users, sources or none."""
+    v = kept(X.read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "vectors")
+    mem = X.memories(spark, d).withColumn("vec_id", F.expr("try_cast(regexp_extract(id, '^[spo]-([0-9]+)$', 1) AS BIGINT)")).join(v, "vec_id", "left").drop("vec_id")
+    q = X.read(spark, d, "benchmark").join(v, F.col("item_id") == F.col("vec_id"), "left").select(F.concat(F.lit("q"), "item_id").alias("qid"), "text", "v", F.expr(TARGET).alias("target"))
+    mem = kept(mem, "memories")
+    return mem, q, graph.memory_edges(mem)
+
+
+RECALL = f"""q AS (SELECT DISTINCT 'q' || item_id AS qid, unnest({TOK}) AS token FROM benchmark),
+ w AS (SELECT id, memory_type, subject, about_entity, source_entity, {TOK.replace('text', 'content')} AS t FROM mem), f AS (SELECT id, len(t) AS length, unnest(t) AS token FROM w),
+ p AS (SELECT id, token, count(*) AS tf, any_value(length) AS length FROM f WHERE token IN (SELECT token FROM q) GROUP BY id, token), z AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM w), dfs AS (SELECT token, count(*) AS df FROM p GROUP BY token),
+ b AS (SELECT qid, id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS score FROM p JOIN q USING (token) JOIN dfs USING (token), z GROUP BY qid, id),
+ qs AS (SELECT 'q' || item_id AS qid, e AS qe, norm AS qn, {TARGET} AS target, {_intent('text')} AS intent FROM benchmark LEFT JOIN vec ON item_id = vec_id),
+ mv AS (SELECT m.*, CASE memory_type WHEN 'semantic' THEN subject WHEN 'episodic' THEN about_entity END AS owner, v.e, v.norm FROM mem m LEFT JOIN vec v ON v.vec_id = try_cast(regexp_extract(m.id, '^[spo]-([0-9]+)$', 1) AS BIGINT)),
+ vs AS (SELECT qid, mv.id, target, owner, round(list_dot_product(qe, e) / (qn * norm), 9) AS score FROM qs, mv WHERE e IS NOT NULL AND qe IS NOT NULL AND qn > 0 AND norm > 0),
+ vt AS (SELECT DISTINCT qid, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM vs) WHERE r <= CASE WHEN target IS NULL THEN 100 ELSE 25 END
+  UNION SELECT qid, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM vs WHERE owner = target) WHERE r <= 100),
+ lb AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM b JOIN qs USING (qid)),
+ lo AS (SELECT qid, id FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY CASE memory_type WHEN 'semantic' THEN 0 ELSE 1 END, score DESC, id) AS r FROM lb JOIN w USING (id) WHERE memory_type = 'semantic' AND subject = target OR memory_type = 'episodic' AND (about_entity = target OR source_entity = target)) WHERE r <= 100),
+ lt AS (SELECT qid, id, (n - r + 1) / n AS score FROM (SELECT qid, id, r, count(*) OVER (PARTITION BY qid) AS n FROM lb WHERE r <= 100)),
+ c AS (SELECT qid, id FROM vt UNION SELECT qid, id FROM lb WHERE r <= CASE WHEN target IS NULL THEN 100 ELSE 25 END UNION SELECT qid, id FROM lo), cn AS (SELECT qid, count(*) AS n FROM c GROUP BY qid),
+ sg AS (SELECT c.qid, c.id, CASE WHEN memory_type = 'episodic' THEN ln(list_sum(list_transform(range(0, least(greatest(access_count, 1), 20)), lambda i: pow(epoch_us(TIMESTAMP '2024-02-01') / 1e6 - epoch_us(coalesce(last_accessed, created_at)) / 1e6 + i * 3600, -0.5)))) ELSE 0.0 END AS activation, {AFF} AS intent,
+  CASE memory_type WHEN 'procedural' THEN reliability WHEN 'episodic' THEN 1.0 ELSE confidence END AS confidence,
+  CASE WHEN target IS NOT NULL THEN CASE WHEN memory_type = 'semantic' AND subject = target OR memory_type = 'episodic' AND about_entity = target THEN 1.0 WHEN memory_type = 'episodic' AND source_entity = target THEN 0.8 ELSE 0.0 END END AS entity FROM c JOIN mv USING (id) JOIN qs USING (qid)),
+ sp AS (SELECT qid, id, score FROM (SELECT qid, m.id, exp(0.4 * CASE intent WHEN 'question' THEN 0.8 WHEN 'code' THEN 0.7 ELSE 0.3 END + 0.4 * CASE memory_type WHEN 'episodic' THEN 1.0 ELSE confidence END + 0.2) AS score,
+   row_number() OVER (PARTITION BY qid ORDER BY CASE memory_type WHEN 'episodic' THEN 1.0 ELSE confidence END DESC, m.id) AS r FROM qs JOIN mv m ON owner = target) WHERE r <= 10),
+ lg AS (SELECT qid, id, 'vector' AS signal, score, 1.0 AS w FROM vt UNION ALL SELECT qid, id, 'lexical', score, 0.8 FROM lt UNION ALL SELECT qid, id, 'activation', activation, 1.0 FROM sg UNION ALL SELECT qid, id, 'spread', score, 0.8 FROM sp UNION ALL SELECT qid, id, 'intent', intent, 0.5 FROM sg
+  UNION ALL SELECT qid, id, 'confidence', confidence, 0.5 FROM sg UNION ALL SELECT qid, id, 'entity', entity, 1.2 FROM sg WHERE entity IS NOT NULL),
  gt AS (SELECT *, row_number() OVER (PARTITION BY qid, signal ORDER BY score DESC, id) AS r, count(*) OVER (PARTITION BY qid, signal) AS m, max(score) OVER (PARTITION BY qid, signal) - min(score) OVER (PARTITION BY qid, signal) AS sp FROM lg),
- fu AS (SELECT qid, id, round(sum(w / (least(greatest(n // 10, 1), 60) + r)), 12) AS score FROM gt JOIN cn USING (qid) WHERE m = 1 OR sp > 1e-6 GROUP BY qid, id)
- SELECT qid, id, r AS rank, round(score, 6) AS final_score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM fu) WHERE r <= 5""")
+ fu AS (SELECT qid, id, round(sum(w / (least(greatest(n // 10, 1), 60) + r)), 12) AS score FROM gt JOIN cn USING (qid) WHERE m = 1 OR sp > 1e-6 GROUP BY qid, id),
+ rk AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM fu JOIN c USING (qid, id))"""
+
+
+@query("rk04_candidate_union", f"WITH {RECALL}, x AS (SELECT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM vs) WHERE r <= 50 UNION SELECT qid, id FROM lb WHERE r <= 50) SELECT qid, id FROM x")
+def rk04(spark, d):
+    mem, q, _ = recall_frames(spark, d)
+    vectors, lexical = fusion.candidates(mem, kept(q, "queries"), fusion.Config(candidates=50))
+    broad = [f.where("path = 1").select("qid", "id", "score") for f in (lexical, vectors)]
+    return search.merge_candidates(*broad).select("qid", "id")
+
+
+@query("rk05_dual_path", f"""WITH {RECALL}, ps AS (SELECT qid, id, 0 AS path FROM lo UNION ALL SELECT qid, id, 1 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM vs WHERE owner = target) WHERE r <= 100
+ UNION ALL SELECT qid, id, 2 FROM lb WHERE r <= 25 UNION ALL SELECT qid, id, 3 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM vs) WHERE r <= 25) SELECT qid, id, min(path) AS path FROM ps GROUP BY 1, 2""")
+def rk05(spark, d):
+    mem, q, _ = recall_frames(spark, d)
+    vectors, lexical = fusion.candidates(mem, kept(q, "queries"), fusion.Config())
+    paths = [f.where((F.col("path") == p) & (F.col("rank") <= n)).select("qid", "id", "score") for p, n in ((0, 100), (1, 25)) for f in (lexical, vectors)]
+    return search.merge_candidates(*paths).select("qid", "id", "path")
+
+
+@query("rk24_recall", f"WITH {RECALL} SELECT qid, id, r AS rank, round(score, 6) AS final_score FROM rk WHERE r <= 5")
 def rk24(spark, d):
-    mem, q = recall_frames(spark, d)
-    return fusion.recall(mem, q, X.now()).select("qid", "id", "rank", R("final_score").alias("final_score"))
+    mem, q, edges = recall_frames(spark, d)
+    return fusion.recall(mem, q, X.now(), edges=edges).select("qid", "id", "rank", R("final_score").alias("final_score"))
 
 
-@query("ag02_grouped_recall")
+@query("rk22_reinforce_returned", f"""WITH {RECALL}, h AS (SELECT DISTINCT id FROM rk WHERE r <= 20)
+ SELECT id, round(stability * (1 + 0.5 * 6 * pow(stability, -0.2) * (exp(0.2 * (1 - CASE WHEN t <= 0 THEN 1 ELSE 1 / (1 + t / (9 * stability)) END)) - 1)), 6) AS stability, access_count + 1 AS access_count FROM (SELECT *, floor((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(coalesce(last_accessed, created_at))) / 1000) / 86400000.0 AS t FROM mem WHERE memory_type = 'episodic' AND id IN (SELECT id FROM h))""")
+def rk22(spark, d):
+    mem, q, edges = recall_frames(spark, d)
+    returned = fusion.recall(mem, q, X.now(), fusion.Config(limit=20), edges)
+    return fusion.reinforced(store.by_ids(mem, returned), X.now()).select("id", R("stability").alias("stability"), "access_count")
+
+
+@query("ag02_grouped_recall", f"""WITH {RECALL}, gr AS (SELECT qid, r, score, rk.id, memory_type, episode_id, coalesce(event_time, created_at) AS at, CASE WHEN episode_id IS NULL OR memory_type IN ('semantic', 'procedural') THEN 'm:' || rk.id ELSE episode_id END AS group_id FROM rk JOIN mem USING (id) WHERE r <= 50),
+ gs AS (SELECT qid, group_id, max(score) AS group_score, min(r) AS best, count(*) AS n FROM gr GROUP BY 1, 2), gp AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY group_score DESC, best, group_id) AS position FROM gs),
+ ob AS (SELECT episode_id AS group_id, count(*) AS k FROM mem WHERE memory_type = 'observation' GROUP BY 1)
+ SELECT qid, group_id, round(group_score, 6) AS group_score, position, n, coalesce(k, 0) AS observations FROM gp LEFT JOIN ob USING (group_id) WHERE position <= 10""")
 def ag02(spark, d):
-    mem, q = recall_frames(spark, d)
-    got = fusion.recall(mem, q, X.now(), fusion.Config(limit=50)).select("qid", "id", "rank", F.col("final_score").alias("score"))
+    mem, q, edges = recall_frames(spark, d)
+    got = fusion.recall(mem, q, X.now(), fusion.Config(limit=50), edges).select("qid", "id", "rank", F.col("final_score").alias("score"))
     rows = got.join(mem.select("id", "memory_type", "episode_id", "event_time", "created_at"), "id").where(F.col("memory_type").isin(*X.TYPES))
-    groups = sessions.group(rows, "relevance", 10)
-    return groups.select("qid", "group_id", R("group_score").alias("group_score"), F.col("position").cast("long"), F.size("members").cast("long").alias("n"))
+    groups = sessions.with_observations(sessions.group(rows, "relevance", 10), mem.where("memory_type = 'observation'"))
+    return groups.select("qid", "group_id", R("group_score").alias("group_score"), F.col("position").cast("long"), F.size("members").cast("long").alias("n"), F.size("observations").cast("long").alias("observations"))
 
 
 @query("rk25_surprise", f"WITH {COS} SELECT qid, id, round(least(greatest(ln(greatest(score, 1e-10) / greatest(0.1, 1e-6)), -2), 5), 6) AS surprise FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM s) WHERE r <= 100")
@@ -360,15 +406,25 @@ def rk25(spark, d):
     return cosines(spark, d, 100).select("qid", "id", R(decay.surprise(F.col("score"), F.lit(0.1))).alias("surprise"))
 
 
-@query("rk26_multi_space", f"WITH {COS} SELECT qid, id, CASE WHEN id LIKE 'v%' THEN 'text' END AS space, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM s) WHERE r <= 10")
+SPACES = " UNION ALL ".join(f"SELECT '{n}' AS space, id, label, e[1:{k}] AS e, vec_id FROM vec" for n, k in (("text", 64), ("code", 32), ("image", 16)))
+
+
+@query("rk26_multi_space", f"""WITH sp AS (SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM ({SPACES})), a AS (SELECT id || '-' || space AS qid, e AS qe, norm AS qn, len(e) AS n FROM sp WHERE vec_id % 100 = 0),
+ s AS (SELECT qid, id, space, round(list_dot_product(qe, e) / (qn * norm), 9) AS score FROM a JOIN sp ON len(e) = n WHERE norm > 0 AND qn > 0)
+ SELECT qid, id, space, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM s) WHERE r <= 10""")
 def rk26(spark, d):
+    """A query of each space: its length says where it belongs, and the other spaces have no answer to it."""
     v = vecs(spark, d)
-    spaces = {"text": v, "code": v.withColumn("v", F.slice("v", 1, 32)), "image": v.withColumn("v", F.slice("v", 1, 16))}
+    spaces = {n: v.withColumn("v", F.slice("v", 1, k)) for n, k in (("text", 64), ("code", 32), ("image", 16))}
+    asked_all = None
+    for name, rows in spaces.items():
+        part = rows.where("vec_id % 100 = 0").withColumn("qid", F.concat("id", F.lit(f"-{name}")))
+        asked_all = part if asked_all is None else asked_all.unionByName(part)
     found = None
     for name, rows in spaces.items():
-        part = search.vector_top_k(rows, asked(spark, d), 15).withColumn("space", F.lit(name))
+        part = search.vector_top_k(rows, asked_all, 15).withColumn("space", F.lit(name))
         found = part if found is None else found.unionByName(part)
-    best = search.top_k(found.drop("rank").withColumn("score", R("score", 9)), 10)
+    best = search.top_k(found.drop("rank"), 10)
     return best.select("qid", "id", "space", F.col("rank").cast("long"))
 
 
