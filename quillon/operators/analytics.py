@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from quillon.operators import folds
+
 #: Activity types that have a column of their own; fixed values.
 ACTIVITY = {"recall": "recalls", "remember": "remembers", "observe": "observes", "forget": "forgets"}
+#: Bounds of the latency histogram in milliseconds; fixed values.
 BOUNDS = [0.5, 1.0, 2.5, 5.0, 10.0, 25.0, 50.0, 100.0, 150.0, 200.0, 250.0, 500.0]
 
 
@@ -62,17 +68,29 @@ def billable(path: Column) -> Column:
 
 
 def admitted(events: DataFrame, limit: int, window_s: float = 60.0) -> DataFrame:
-    """key, id, admitted of events (key, id, at seconds): admitted if fewer than limit were in the window before.
+    """key, id, admitted of events (key, id, at seconds): admitted if fewer than limit were admitted in the window before.
 
-    Refused events do not count, so admission is a fold over a key's events in order.
+    Refused events do not count, so admission is a fold over a key's events in order; what it holds is the admitted times of one window.
     """
-    ordered = events.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("all"))
-    kind = "struct<open:array<double>,out:array<struct<id:bigint,admitted:boolean>>>"
-    start = F.struct(F.array().cast("array<double>").alias("open"), F.array().cast("array<struct<id:bigint,admitted:boolean>>").alias("out")).cast(kind)
+    rows = events.select("key", "id", "at")
+
+    def make():
+        live: deque[float] = deque()
+
+        def step(batch: pa.RecordBatch | None) -> pa.RecordBatch | None:
+            if batch is None:
+                return None
+            out = []
+            for at in batch.column("at").to_pylist():
+                while live and live[0] <= at - window_s:
+                    live.popleft()
+                out.append(len(live) < limit)
+                if out[-1]:
+                    live.append(at)
+            return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), pa.array(out, pa.bool_())], ["key", "id", "admitted"])
+
+        return step
 
-    def step(s: Column, e: Column) -> Column:
-        live = F.filter(s["open"], lambda t: t > e["at"] - window_s)
-        ok = F.size(live) < limit
-        return F.struct(F.when(ok, F.concat(live, F.array(e["at"]))).otherwise(live).alias("open"), F.concat(s["out"], F.array(F.struct(e["id"].alias("id"), ok.alias("admitted")))).alias("out")).cast(kind)
+    kinds = dict(rows.dtypes)
+    return folds.folded(rows, "key", ["at", "id"], f"key {kinds['key']}, id {kinds['id']}, admitted boolean", make)
 
-    return ordered.select("key", F.explode(F.aggregate("all", start, step)["out"]).alias("o")).select("key", "o.id", "o.admitted")

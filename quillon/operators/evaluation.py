@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -86,16 +87,20 @@ def bradley_terry(wins: DataFrame, rounds: int = 50) -> DataFrame:
     pairs = wins.select(F.col("winner").alias("a"), F.col("loser").alias("b"), "n").unionByName(wins.select(F.col("loser").alias("a"), F.col("winner").alias("b"), "n")).groupBy("a", "b").agg(F.sum("n").alias("n"))
     won = wins.groupBy(F.col("winner").alias("player")).agg(F.sum("n").alias("w"))
     players = pairs.select(F.col("a").alias("player")).distinct()
-    # strengths are one row a player: the loop runs on the driver over that small table
-    table = {(r.a, r.b): r.n for r in pairs.collect()}
-    score = {r.player: r.w for r in won.collect()}
+    # one row a pair of players: the rounds run on the driver over these as arrays
+    found = pairs.collect()
     names = sorted(r.player for r in players.collect())
-    s = {p: 1.0 for p in names}
-    for _ in range(rounds):
-        new = {p: score.get(p, 0) / max(1e-12, sum(n / (s[p] + s[q]) for (a, q), n in table.items() if a == p)) for p in names}
-        mean = sum(new.values()) / len(new)
-        s = {p: x / mean for p, x in new.items()}
-    return wins.sparkSession.createDataFrame(list(s.items()), f"player {dict(pairs.dtypes)['a']}, strength double")
+    number = {p: i for i, p in enumerate(names)}
+    one, two = (np.array([number[r[c]] for r in found], np.int64) for c in "ab")
+    played = np.array([r.n for r in found], float)
+    score = np.zeros(len(names))
+    for r in won.collect():
+        score[number[r.player]] = r.w
+    s = np.ones(len(names))
+    for _ in range(rounds if names else 0):
+        s = score / np.maximum(1e-12, np.bincount(one, played / (s[one] + s[two]), len(names)))
+        s /= s.mean()
+    return wins.sparkSession.createDataFrame(list(zip(names, s.tolist())), f"player {dict(pairs.dtypes)['a']}, strength double")
 
 
 def corrupted(rows: DataFrame, noise: float, dropout: float, seed: int = 42) -> DataFrame:

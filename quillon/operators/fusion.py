@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions import decay, text as T
-from quillon.operators import graph, search
+from quillon.operators import folds, graph, search
 from quillon.sources.scratch import kept
 
 #: Signals in order, with their default weights; fixed values.
@@ -182,16 +183,29 @@ def reinforced(returned: DataFrame, now: Column, difficulty: float = 5.0) -> Dat
 def learn_weights(feedback: DataFrame, start: list[float], rate: float = 0.01, least: float = 0.01) -> DataFrame:
     """key, weights, samples: feedback (key, seq, signals, relevant) folded in order; after each sample weights sum to 1.
 
-    The fold is sequential for a key, so a key's samples meet in one row; keys are users or namespaces.
+    The fold is sequential for a key; what it holds is the key's weights. A null signal counts as one at the least weight.
     """
-    ordered = feedback.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("seq", "signals", "relevant"))).alias("all"))
-
-    def step(w: Column, f: Column) -> Column:
-        moved = F.zip_with(w, f["signals"], lambda a, s: F.greatest(a + rate * F.when(f["relevant"], 1.0).otherwise(-1.0) * s, F.lit(least)))
-        total = F.aggregate(moved, F.lit(0.0), lambda s, x: s + x)
-        return F.transform(moved, lambda x: x / total)
-
-    return ordered.select("key", F.aggregate("all", F.array(*[F.lit(float(x)) for x in start]), step).alias("weights"), F.size("all").cast("long").alias("samples"))
+    rows = feedback.select("key", "seq", "signals", "relevant")
+
+    def make():
+        weights, samples, key = list(start), 0, None
+
+        def step(batch: pa.RecordBatch | None) -> pa.RecordBatch | None:
+            nonlocal weights, samples, key
+            if batch is None:
+                return pa.RecordBatch.from_arrays([key, pa.array([weights], pa.list_(pa.float64())), pa.array([samples], pa.int64())], ["key", "weights", "samples"])
+            key = batch.column("key").slice(0, 1)
+            for signals, relevant in zip(batch.column("signals").to_pylist(), batch.column("relevant").to_pylist()):
+                sign = rate if relevant else -rate
+                moved = [least if s is None else max(w + sign * s, least) for w, s in zip(weights, signals)]
+                total = sum(moved)
+                weights = [x / total for x in moved]
+                samples += 1
+            return None
+
+        return step
+
+    return folds.folded(rows, "key", ["seq"], f"key {dict(rows.dtypes)['key']}, weights array<double>, samples long", make)
 
 
 def pick_procedure(procedures: DataFrame, by: str, threshold: float) -> DataFrame:

@@ -219,7 +219,11 @@ def ev10(spark, d):
     return X.read(spark, d, "part").where("p_size > 0").select("p_size").distinct().select("p_size", evaluation.sample_size(F.col("p_size") / 25.0).cast("long").alias("n"))
 
 
-@query("ev11_bradley_terry")
+@query("ev11_bradley_terry", """WITH RECURSIVE w AS (SELECT s_nationkey AS a, (s_nationkey + 1 + l_linenumber) % 25 AS b, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> (s_nationkey + 1 + l_linenumber) % 25 GROUP BY 1, 2),
+ p AS (SELECT a, b, sum(n)::DOUBLE AS n FROM (SELECT a, b, n FROM w UNION ALL SELECT b, a, n FROM w) GROUP BY 1, 2), won AS (SELECT a, sum(n)::DOUBLE AS n FROM w GROUP BY 1),
+ s AS (SELECT 0 AS r, map_from_entries(list((a, 1.0::DOUBLE))) AS v FROM (SELECT DISTINCT a FROM p) UNION ALL
+  SELECT r + 1, (SELECT map_from_entries(list((a, x / m))) FROM (SELECT a, x, avg(x) OVER () AS m FROM (SELECT p.a, coalesce(any_value(won.n), 0) / sum(p.n / (v[p.a] + v[p.b])) AS x FROM p LEFT JOIN won ON won.a = p.a GROUP BY p.a))) FROM s WHERE r < 50)
+ SELECT e.key AS player, round(e.value, 6) AS strength FROM (SELECT unnest(map_entries(v)) AS e FROM s WHERE r = 50)""")
 def ev11(spark, d):
     o = X.read(spark, d, "lineitem").join(X.read(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("w")), F.col("l_suppkey") == F.col("s_suppkey"))
     wins = o.withColumn("l", (F.col("w") + 1 + F.col("l_linenumber")) % 25).where("w <> l").groupBy(F.col("w").alias("winner"), F.col("l").alias("loser")).agg(F.count(F.lit(1)).alias("n"))
@@ -258,7 +262,11 @@ def ev16(spark, d):
     return words.join(c.where("turn = 1").select("conv_id", F.col("text").alias("b")), "conv_id").groupBy("conv_id").agg(F.bool_or(F.contains(F.lower("b"), F.col("w"))).alias("hit"))
 
 
-@query("ss03_admission")
+@query("ss03_admission", """WITH RECURSIVE x AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+ s AS (SELECT DISTINCT user_id, 0::BIGINT AS i, []::DOUBLE[] AS open, NULL::BIGINT AS event_id, NULL::BOOLEAN AS admitted FROM x UNION ALL
+  SELECT user_id, i, CASE WHEN len(live) < 2 THEN list_append(live, tm) ELSE live END, event_id, len(live) < 2 FROM (
+   SELECT x.user_id, x.i, x.event_id, x.tm, list_filter(s.open, lambda t: t > x.tm - 21600.0) AS live FROM s JOIN x ON x.user_id = s.user_id AND x.i = s.i + 1))
+ SELECT user_id, event_id, admitted FROM s WHERE i > 0""")
 def ss03(spark, d):
     e = X.read(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
     return analytics.admitted(e, 2, 6 * 3600.0).select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "admitted")

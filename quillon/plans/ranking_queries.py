@@ -428,7 +428,10 @@ def rk26(spark, d):
     return best.select("qid", "id", "space", F.col("rank").cast("long"))
 
 
-@query("rk27_learn_weights")
+@query("rk27_learn_weights", """WITH RECURSIVE x AS (SELECT user_id, value / 500 AS a, 0.5::DOUBLE AS b, (event_id % 7) / 7.0::DOUBLE AS c, CASE WHEN event_type = 'purchase' THEN 0.01 ELSE -0.01 END::DOUBLE AS d, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+ s AS (SELECT DISTINCT user_id, 0::BIGINT AS i, [0.5, 0.3, 0.2]::DOUBLE[] AS w FROM x UNION ALL
+  SELECT user_id, i, list_transform(m, lambda y: y / list_sum(m)) FROM (SELECT x.user_id, x.i, [greatest(w[1] + d * a, 0.01), greatest(w[2] + d * b, 0.01), greatest(w[3] + d * c, 0.01)]::DOUBLE[] AS m FROM s JOIN x ON x.user_id = s.user_id AND x.i = s.i + 1))
+ SELECT user_id, max(i) AS samples, round(list_sum(arg_max(w, i)), 6) AS total, round(arg_max(w, i)[1], 6) AS first FROM s GROUP BY 1""")
 def rk27(spark, d):
     fb = X.read(spark, d, "events").selectExpr("user_id key", "event_id seq", "array(value / 500, 0.5, (event_id % 7) / 7.0D) signals", "event_type = 'purchase' relevant")
     out = fusion.learn_weights(fb.withColumn("signals", F.col("signals").cast("array<double>")), [0.5, 0.3, 0.2])

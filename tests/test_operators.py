@@ -3,6 +3,7 @@
 import math
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,3 +252,97 @@ def test_entry_imports(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and time.time() - started < 60
+
+
+def test_folds_cross_batches_and_keys(spark):
+    from quillon.operators import analytics, consolidation, fusion
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rng = np.random.default_rng(8)
+        rows = [(None if k == 3 else f"k{k}", i, float(rng.integers(0, 50))) for k in range(5) for i in range(40)]
+        df = spark.createDataFrame(rows, "key string, id long, at double")
+        got = {(r.key, r.id): r.admitted for r in analytics.admitted(df, 3, 10.0).collect()}
+        for k in {r[0] for r in rows}:
+            live = []
+            for _, i, at in sorted((r for r in rows if r[0] == k), key=lambda r: (r[2], r[1])):
+                live = [t for t in live if t > at - 10.0]
+                assert got[k, i] == (len(live) < 3)
+                if len(live) < 3:
+                    live.append(at)
+        context = {(r.session, r.at): r.context for r in consolidation.temporal_context(df.selectExpr("key session", "id at", "CASE WHEN id = 5 THEN NULL ELSE at END value")).collect()}
+        learned = {r.key: r for r in fusion.learn_weights(df.selectExpr("key", "id seq", "array(at / 50, 0.5D) signals", "at > 25 relevant"), [0.5, 0.5]).collect()}
+        for k in {r[0] for r in rows}:
+            c, w = 0.0, [0.5, 0.5]
+            for _, i, at in sorted((r for r in rows if r[0] == k), key=lambda r: r[1]):
+                c = c if i == 5 else 0.85 * c + 0.15 * at
+                assert abs(context[k, i] - c) < 1e-9
+                w = [max(x + (0.01 if at > 25 else -0.01) * s, 0.01) for x, s in zip(w, (at / 50, 0.5))]
+                w = [x / sum(w) for x in w]
+            assert np.allclose(learned[k].weights, w) and learned[k].samples == 40
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_promotion_and_tiles_are_brute_force(spark, monkeypatch):
+    from quillon.operators import consolidation
+
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(6, 8))
+    rows = [(f"e{i % 2}", f"m{i:03}", i // 3, f"text {i}", (centres[rng.integers(6)] + 0.35 * rng.normal(size=8)).tolist()) for i in range(160)]
+    df = spark.createDataFrame(rows, "entity string, id string, created_at long, content string, v array<double>")
+    cos = lambda a, b: np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)
+    want = []
+    for e in ("e0", "e1"):
+        left = sorted((r for r in rows if r[0] == e), key=lambda r: (r[2], r[1]))
+        while left:
+            seed, *rest = left
+            own = [r for r in rest if cos(r[4], seed[4]) > 0.8]
+            left = [r for r in rest if r not in own]
+            if own:
+                want.append((e, seed[1], own[-1][1], len(own) + 1, own[-1][3]))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        got = [tuple(r) for r in consolidation.promote(df, 0.8).select("entity", "seed", "newest", "size", "object").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got) == sorted(want) and want
+    monkeypatch.setattr(consolidation, "TILE", 16)
+    pairs = {(a[0], *sorted((a[1], b[1]))) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and cos(a[4], b[4]) > 0.8}
+    found = [(r.entity, r.a, r.b) for r in consolidation.similar_pairs(df, 0.8).collect()]
+    assert sorted(found) == sorted(pairs)
+    new = df.where("id < 'm040'")
+    both = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < "m040" and cos(a[4], b[4]) > 0.8}
+    assert sorted((r.new_id, r.old_id) for r in consolidation.supersession(new, df, 0.8).collect()) == sorted(both)
+
+
+def test_lexical_search_is_brute_force(spark):
+    import math
+    import re
+
+    from quillon.operators import search
+
+    rng = np.random.default_rng(10)
+    words = [f"w{i}" for i in range(30)] + ["Éa", "x2"]
+    docs = [(f"d{i:03}", " ".join(rng.choice(words, rng.integers(0, 25))), int(i % 2), [f"o{i % 3}"]) for i in range(120)] + [("d999", None, 0, None)]
+    asked = [(f"q{i}", " ".join(rng.choice(words, 3)), f"o{i % 4}") for i in range(9)] + [("q9", "", None), ("q8x", "W1 nothere", None)]
+    dd, qq = spark.createDataFrame(docs, "id string, text string, kind int, owners array<string>").repartition(4), spark.createDataFrame(asked, "qid string, text string, target string")
+    tok = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    mean = sum(len(tok(t)) for _, t, *_ in docs) / len(docs)
+    df = {w: sum(w in tok(t) for _, t, *_ in docs) for w in {x for _, t, _ in asked for x in tok(t)}}
+    want, every = [], set()
+    for q, t, target in asked:
+        scores = []
+        for i, text, kind, owners in docs:
+            own = tok(text)
+            s = sum(math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * own.count(w) * 2.2 / (own.count(w) + 1.2 * (0.25 + 0.75 * len(own) / mean)) for w in set(tok(t)) if w in own)
+            if set(own) & set(tok(t)):
+                scores.append((-round(s, 9), i, kind, owners))
+            if tok(t) and set(tok(t)) <= set(own):
+                every.add((q, i))
+        want += [(q, i, 1, r + 1) for r, (_, i, _, _) in enumerate(sorted(scores)[:7])]
+        want += [(q, i, 0, r + 1) for r, (_, _, i) in enumerate(sorted((k, s, i) for s, i, k, o in scores if target in (o or []))[:5])]
+    got = [(r.qid, r.id, r.path, r["rank"]) for r in search.lexical_paths(dd, qq, 7, 5).collect()]
+    assert sorted(got) == sorted(want)
+    assert {tuple(r) for r in search.match_all(dd, qq).collect()} == every
+    assert search.match_all(dd, qq.where("false")).count() == 0 and search.lexical_paths(dd.where("false"), qq, 3, 3).count() == 0
