@@ -447,7 +447,7 @@ def jaccard_links(docs: DataFrame) -> DataFrame:
 
 def _with_classes(stats: DataFrame, classes: DataFrame) -> DataFrame:
     """stats with the columns of classes (d1, others); those of sets that more than a HOT-th of all rows have (HOT at most) are broadcast."""
-    total = stats.count()
+    classes, total = cut(classes, "jaccard"), stats.count()
     hot = stats.where("n > 0").groupBy("d1").count().where(F.col("count") * HOT > total).select("d1")
     large = F.broadcast(cut(classes.join(F.broadcast(hot), "d1", "left_semi"), "jaccard"))
     some = stats.where("n > 0")
