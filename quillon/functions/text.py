@@ -30,6 +30,7 @@ REDACTIONS = [
 ]
 INJECTIONS = [r"ignore\s+(all\s+)?previous", r"disregard\s+(all\s+)?(above|previous)", r"system\s*:", r"<\|im_start\|>", r"\[INST\]", r"(?:^|\n)(?:---+|===+|###)\s*(?:instruction|system|prompt)"]
 EMAIL, DATE, URL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", r"\d{4}-\d{2}-\d{2}", r"https?://[^\s<>\"]+"
+PATTERNS = [("email", EMAIL), ("date", DATE), ("url", URL)]
 FACT_VERBS = ["is", "prefers", "uses", "likes", "works at", "works on"]
 SPLIT_VERBS = ["prefers", "likes", "uses", "knows", "is", "has", "wants", "needs"]
 SUCCESS, FAILURE = ["fixed", "resolved", "solved", "completed", "done"], ["failed", "error", "broken", "crash", "bug"]
@@ -244,3 +245,21 @@ def parse_observations(text: Column) -> Column:
     parsed = F.from_json(F.regexp_extract(unfence(text), r"(?s)(\[.*\])", 1), OBSERVATIONS)
     whole = F.when(parsed.isNotNull() & F.forall(parsed, lambda o: o["instance"].isNotNull() & o["action"].isNotNull() & o["entity_type"].isNotNull()), parsed).otherwise(F.array().cast(OBSERVATIONS))
     return F.transform(whole, lambda o: F.struct(o["entity_type"].alias("entity_type"), o["instance"].alias("instance"), o["action"].alias("action"), o["quantity"].alias("quantity"), o["unit"].alias("unit"), F.least(F.greatest(F.coalesce(o["confidence"], F.lit(0.8)), F.lit(0.0)), F.lit(1.0)).alias("confidence")))
+
+
+def found(text: Column, pattern: str) -> Column:
+    """array<struct<match, first>>: what the pattern matches, in order, with the place of its first character (from 0)."""
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<match:string,first:int>>").alias("out"))
+
+    def step(s: Column, m: Column) -> Column:
+        at = F.call_function("locate", m, text, s["at"])
+        return F.struct((at + F.length(m)).alias("at"), F.concat(s["out"], F.array(F.struct(m.alias("match"), (at - 1).alias("first")))).alias("out"))
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), start, step)["out"]
+
+
+def patterns(rows, key: str, text: str):
+    """key, kind, n (from 1), match, first of all e-mail addresses, dates and addresses of pages in rows' texts."""
+    all_ = F.array(*[F.struct(F.lit(k).alias("kind"), found(F.col(text), p).alias("found")) for k, p in PATTERNS])
+    by_kind = rows.where(F.col(text).isNotNull()).select(key, F.explode(all_).alias("x"))
+    return by_kind.select(key, "x.kind", F.posexplode("x.found").alias("i", "m")).select(key, "kind", (F.col("i") + 1).alias("n"), "m.match", "m.first")

@@ -82,6 +82,12 @@ def superseded(edges: DataFrame, pairs: DataFrame, now: Column) -> DataFrame:
     return joined.withColumn("superseded_by", F.when(ends, F.col("__by"))).withColumn("invalid_at", F.when(ends, now).otherwise(F.col("invalid_at"))).drop("__by")
 
 
+def history(edges: DataFrame) -> DataFrame:
+    """edges with position (from 1, oldest first, then by id) among those of their source, still (valid) and valid, how many of them are."""
+    still = F.col("invalid_at").isNull()
+    return edges.withColumn("position", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("age_days"), "id"))).withColumn("still", still).withColumn("valid", F.count(F.when(still, 1)).over(Window.partitionBy("source")))
+
+
 def counts(edges: DataFrame) -> DataFrame:
     nodes = edges.select(F.col("source").alias("n")).unionByName(edges.select(F.col("target").alias("n"))).distinct()
     return nodes.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(edges.agg(F.count(F.lit(1)).alias("edges")))  # one row each

@@ -128,14 +128,14 @@ def st03(spark, d):
 WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '\\s+'), lambda w: w <> ''))"
 
 
-@query("st04_word_overlap", f"SELECT conv_id, round(len(list_intersect(a, b)) / least(len(a), len(b)), 6) AS overlap FROM (SELECT c.conv_id, {WORDS.format('c.text')} AS a, {WORDS.format('e.text')} AS b FROM conversations c JOIN conversations e ON c.conv_id = e.conv_id AND c.turn = 0 AND e.turn = 1) WHERE len(a) > 0 AND len(b) > 0")
+@query("st04_word_overlap", f"SELECT conv_id, turn, round(len(list_intersect(a, b)) / least(len(a), len(b)), 6) AS overlap FROM (SELECT c.conv_id, c.turn, {WORDS.format('c.text')} AS a, {WORDS.format('e.text')} AS b FROM conversations c JOIN conversations e ON c.conv_id = e.conv_id AND e.turn = c.turn + 1) WHERE len(a) > 0 AND len(b) > 0")
 def st04(spark, d):
     from quillon.functions import text as T
 
     c = X.read(spark, d, "conversations")
-    a, b = c.where("turn = 0").select("conv_id", F.col("text").alias("a")), c.where("turn = 1").select("conv_id", F.col("text").alias("b"))
+    a, b = c.select("conv_id", "turn", F.col("text").alias("a")), c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
     has = lambda x: F.col(x).rlike(r"\S")
-    return a.join(b, "conv_id").where(has("a") & has("b")).select("conv_id", R(T.word_overlap(F.col("a"), F.col("b"))).alias("overlap"))
+    return a.join(b, ["conv_id", "turn"]).where(has("a") & has("b")).select("conv_id", "turn", R(T.word_overlap(F.col("a"), F.col("b"))).alias("overlap"))
 
 
 RANKED = f"""{COS}, rk AS (SELECT qid, id, (ql = label)::INT AS rel, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank, sum((ql = label)::INT) OVER (PARTITION BY qid) AS total FROM s),
@@ -149,9 +149,9 @@ def ranked(spark, d):
     return got.select("qid", "id", "rank", (F.col("label") == F.col("ql")).cast("int").alias("rel"), "total")
 
 
-@query("ev01_ndcg", f"WITH {RANKED} SELECT qid, round(sum(CASE WHEN rank <= 5 THEN (pow(2, rel) - 1) / log2(rank + 1) END) / sum(CASE WHEN ideal <= 5 THEN (pow(2, rel) - 1) / log2(ideal + 1) END), 6) AS ndcg FROM tp GROUP BY qid HAVING max(rel) > 0")
+@query("ev01_ndcg", f"WITH {RANKED} SELECT qid, CASE WHEN max(rel) = 0 THEN 0.0::DOUBLE ELSE round(sum(CASE WHEN rank <= 5 THEN (pow(2, rel) - 1) / log2(rank + 1) END) / sum(CASE WHEN ideal <= 5 THEN (pow(2, rel) - 1) / log2(ideal + 1) END), 6) END AS ndcg FROM tp GROUP BY qid")
 def ev01(spark, d):
-    return evaluation.metrics(ranked(spark, d), 5).where("mrr > 0").select("qid", R("ndcg").alias("ndcg"))
+    return evaluation.metrics(ranked(spark, d), 5).select("qid", R("ndcg").alias("ndcg"))
 
 
 @query("ev02_mrr", f"WITH {RANKED} SELECT qid, round(coalesce(1 / min(CASE WHEN rel > 0 THEN rank END), 0), 6) AS mrr FROM tp GROUP BY qid")
@@ -255,11 +255,11 @@ def ev15(spark, d):
     return r.agg(F.countDistinct("qid").alias("queries"), R(F.avg(F.when(F.col("rank") == 1, F.col("rel")))).alias("accuracy"), R(F.sum(F.when(F.col("rank") <= 5, F.col("rel")).otherwise(0)) / F.countDistinct("qid")).alias("hits"))
 
 
-@query("ev16_keyword_hits", "SELECT conv_id, bool_or(contains(lower(b), w)) AS hit FROM (SELECT c.conv_id, unnest(list_filter(regexp_split_to_array(lower(c.text), '[^a-z]+'), lambda x: length(x) > 6)) AS w, e.text AS b FROM conversations c JOIN conversations e ON c.conv_id = e.conv_id AND e.turn = 1 WHERE c.turn = 0) GROUP BY 1")
+@query("ev16_keyword_hits", "SELECT conv_id, bool_or(contains(lower(b), w)) AS hit FROM (SELECT c.conv_id, unnest(list_filter(regexp_split_to_array(lower(c.text), '[^a-z]+'), lambda x: length(x) > 6)) AS w, e.text AS b FROM conversations c JOIN conversations e ON c.conv_id = e.conv_id AND e.turn > 0 WHERE c.turn = 0) GROUP BY 1")
 def ev16(spark, d):
     c = X.read(spark, d, "conversations")
     words = c.where("turn = 0").select("conv_id", F.explode(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) > 6)).alias("w"))
-    return words.join(c.where("turn = 1").select("conv_id", F.col("text").alias("b")), "conv_id").groupBy("conv_id").agg(F.bool_or(F.contains(F.lower("b"), F.col("w"))).alias("hit"))
+    return words.join(c.where("turn > 0").select("conv_id", F.col("text").alias("b")), "conv_id").groupBy("conv_id").agg(F.bool_or(F.contains(F.lower("b"), F.col("w"))).alias("hit"))
 
 
 @query("ss03_admission", """WITH RECURSIVE x AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),

@@ -194,9 +194,9 @@ def gr06(spark, d):
     return graph.superseded(X.edges(spark, d), pairs, X.now()).select("id", F.date_format("invalid_at", "yyyy-MM-dd").alias("ended"), "superseded_by")
 
 
-@query("gr07_valid_out_edges", "SELECT source, count(*) AS n, count(*) FILTER (invalid_at IS NULL) AS valid FROM edg GROUP BY 1")
+@query("gr07_valid_out_edges", "SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY age_days DESC, id) AS position, count(*) FILTER (invalid_at IS NULL) OVER (PARTITION BY source) AS valid, invalid_at IS NULL AS still FROM edg")
 def gr07(spark, d):
-    return X.edges(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("invalid_at").isNull(), 1)).alias("valid"))
+    return graph.history(X.edges(spark, d)).select("source", "id", F.col("position").cast("long"), "valid", "still")
 
 
 @query("gr08_counts", "SELECT (SELECT count(*) FROM (SELECT source FROM edg UNION SELECT target FROM edg)) AS nodes, (SELECT count(*) FROM edg) AS edges")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.functions import text as T
+from quillon.functions import blocks as B, text as T
 from quillon.operators import sync
 from quillon.plans import fixtures as X
 from quillon.plans.registry import query
@@ -18,10 +18,12 @@ def any_sql(col, words):
     return "(" + " OR ".join(f"contains({col}, '{Q(w)}')" for w in words) + ")"
 
 
-@query("sf04_patterns", f"SELECT doc_id, kind, count(*) AS n FROM (SELECT doc_id, 'email' AS kind, unnest(regexp_extract_all(text, '{T.EMAIL}')) FROM documents UNION ALL SELECT doc_id, 'date', unnest(regexp_extract_all(text, '{T.DATE}')) FROM documents UNION ALL SELECT doc_id, 'url', unnest(regexp_extract_all(text, '{T.URL}')) FROM documents) GROUP BY 1, 2")
+_FOUND = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, generate_subscripts(m, 1) AS n, unnest(m) AS match FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS m FROM documents)" for k, p in T.PATTERNS)
+
+
+@query("sf04_patterns", _FOUND)
 def sf04(spark, d):
-    t = X.read(spark, d, "documents").select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_count("text", F.lit(p)).cast("long").alias("n")) for k, p in (("email", T.EMAIL), ("date", T.DATE), ("url", T.URL))])).alias("x"))
-    return t.select("doc_id", "x.kind", "x.n").where("n > 0")
+    return T.patterns(X.read(spark, d, "documents"), "doc_id", "text").select("doc_id", "kind", F.col("n").cast("long"), "match")
 
 
 @query("sf05_redact")
@@ -95,15 +97,14 @@ def sf12(spark, d):
 
 @query("sf13_observation_block", "SELECT p_brand, string_agg(i || '. ' || p_name || CASE WHEN p_size < 10 THEN ' [low confidence]' ELSE '' END, chr(10) ORDER BY i) AS block FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part) GROUP BY 1")
 def sf13(spark, d):
-    rows = X.read(spark, d, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name", "p_size"))).alias("o"))
-    line = F.transform("o", lambda o, i: F.concat((i + 1).cast("string"), F.lit(". "), o["p_name"], F.when(o["p_size"] < 10, " [low confidence]").otherwise("")))
-    return rows.select("p_brand", F.array_join(line, "\n").alias("block"))
+    lines = B.in_order("p_partkey", B.observation_line(F.col("p_name"), F.col("p_size") < 10))
+    return X.read(spark, d, "part").groupBy("p_brand").agg(lines.alias("o")).select("p_brand", B.numbered(F.col("o")).alias("block"))
 
 
 @query("sf14_history_block", "SELECT conv_id, string_agg(json_object('role', role, 'content', text)::VARCHAR, chr(10) ORDER BY turn) AS block FROM conversations GROUP BY 1")
 def sf14(spark, d):
-    rows = X.read(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.to_json(F.struct("role", F.col("text").alias("content"))).alias("j")))).alias("o"))
-    return rows.select("conv_id", F.array_join(F.transform("o", lambda o: o["j"]), "\n").alias("block"))
+    turns = B.in_order("turn", B.history_turn(F.col("role"), F.col("text")))
+    return X.read(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(turns, "\n").alias("block"))
 
 
 @query("sf15_route", f"SELECT doc_id, CASE WHEN regexp_matches(lower(text), '(^|[^0-9A-Za-z])({'|'.join(T.COUNTING)})($|[^0-9A-Za-z])') THEN 'inject' ELSE 'skip' END AS route FROM documents")
@@ -121,14 +122,14 @@ def sf16(spark, d):
 
 @query("sf17_prompt_body", "SELECT conv_id, string_agg('[2024-01-01] ' || role || ': ' || text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1")
 def sf17(spark, d):
-    rows = X.read(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.concat(F.lit("["), F.date_format(F.lit("2024-01-01").cast("date"), "yyyy-MM-dd"), F.lit("] "), "role", F.lit(": "), "text").alias("l")))).alias("o"))
-    return rows.select("conv_id", F.array_join(F.transform("o", lambda o: o["l"]), "\n").alias("body"))
+    turns = B.in_order("turn", B.prompt_turn(F.lit("2024-01-01").cast("date"), F.col("role"), F.col("text")))
+    return X.read(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(turns, "\n").alias("body"))
 
 
 @query("sf18_fingerprint", "SELECT conv_id, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS fingerprint FROM conversations GROUP BY 1")
 def sf18(spark, d):
-    rows = X.read(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("l")))).alias("o"))
-    return rows.select("conv_id", F.sha2(F.array_join(F.transform("o", lambda o: o["l"]), ""), 256).alias("fingerprint"))
+    turns = B.in_order("turn", F.struct("role", "text"))
+    return X.read(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("t")).select("conv_id", B.fingerprint(F.col("t")).alias("fingerprint"))
 
 
 def _capture(col, kind):
@@ -214,7 +215,7 @@ def sf26(spark, d):
 
 @query("sf27_enum_defaults", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'P' THEN 'partial' ELSE 'failure' END AS outcome FROM orders")
 def sf27(spark, d):
-    return X.read(spark, d, "orders").select("o_orderkey", F.expr("CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'P' THEN 'partial' ELSE 'failure' END").alias("outcome"))
+    return X.read(spark, d, "orders").select("o_orderkey", B.outcome(F.col("o_orderstatus")).alias("outcome"))
 
 
 @query("sf28_month_bounds", "SELECT o_orderkey, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS first, strftime(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH, '%Y-%m-%d') AS next, strftime(o_orderdate, '%Y-%m') AS month FROM orders")
@@ -232,4 +233,4 @@ def sf29(spark, d):
 
 @query("sf30_cache_key", "SELECT conv_id, turn, sha256(text || chr(1) || '5' || chr(1) || role) AS key FROM conversations")
 def sf30(spark, d):
-    return X.read(spark, d, "conversations").select("conv_id", "turn", F.sha2(F.concat("text", F.lit("\x01"), F.lit("5"), F.lit("\x01"), "role"), 256).alias("key"))
+    return X.read(spark, d, "conversations").select("conv_id", "turn", B.cache_key(F.col("text"), F.lit(5), F.col("role")).alias("key"))

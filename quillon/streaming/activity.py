@@ -32,6 +32,21 @@ def usage_totals(spark, path: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("user_id", "month", "tier").agg(F.sum("n").cast("long").alias("n"))
 
 
+def billing_sink(path: str, post):
+    """A foreachBatch function: meter records of a batch of requests (user_id, created_at, path) under the batch's id, handed to post(records).
+
+    Only billable paths count. A record's name has the batch's id, so a receiver that drops names it knows bills a repeated batch once.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.where(analytics.billable(F.col("path"))).withColumn("tier", F.lit("request")).withColumn("n", F.lit(1))
+        records = analytics.usage(rows).withColumn("name", F.concat_ws("-", F.lit(str(batch_id)), "user_id", "month"))
+        records.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        post(batch.sparkSession.read.parquet(f"{path}/batch={batch_id}"))
+
+    return write
+
+
 def rate_limit(events: DataFrame, limit: int, window_s: float = 60.0) -> DataFrame:
     """key, id, admitted of a stream (key, id, at seconds): state is the admitted times in the window, at most `limit` a key."""
 

@@ -346,3 +346,40 @@ def test_lexical_search_is_brute_force(spark):
     assert sorted(got) == sorted(want)
     assert {tuple(r) for r in search.match_all(dd, qq).collect()} == every
     assert search.match_all(dd, qq.where("false")).count() == 0 and search.lexical_paths(dd.where("false"), qq, 3, 3).count() == 0
+
+
+def test_billing_and_consolidation_sinks(spark, tmp_path):
+    requests = spark.createDataFrame([("u1", "/v1/recall"), ("u1", "/v1/observe"), ("u2", "/v1/health"), ("u3", "/v1/recall"), (None, "/x")], "user_id string, path string").withColumn("created_at", F.lit("2024-12-31 23:00:00").cast("timestamp"))
+    posted = []
+    sink = activity.billing_sink(str(tmp_path / "bills"), lambda records: posted.append(sorted((r.name, r.n) for r in records.collect())))
+    for _ in range(2):  # a batch that runs twice has the same names
+        sink(requests, 4)
+    assert posted == [[("4-u1-2024-12", 2), ("4-u3-2024-12", 1)]] * 2
+    assert sum(r.n for r in activity.usage_totals(spark, str(tmp_path / "bills")).collect()) == 3
+
+    class Store:
+        runs = 0
+
+        def consolidate(self, now):
+            self.runs += 1
+
+    store_ = Store()
+    run = capture.consolidation_sink(store_, F.current_timestamp())
+    ended = spark.createDataFrame([("e1",)], "id string")
+    run(ended.where("false"), 0)
+    run(ended, 1)
+    assert store_.runs == 1
+
+
+def test_patterns_and_redaction_are_brute_force(spark):
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").union(spark.createDataFrame([(9001, "a@b.co a@b.co 2024-01-02 x http://q/é?2024-01-02 é c@d.org", "en", "s", 1), (9002, None, "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = sorted((i, k, n + 1, m.group(), m.start()) for i, t in texts.items() for k, p in T.PATTERNS for n, m in enumerate(re.finditer(p, t or "", re.ASCII)))
+    assert sorted((r.doc_id, r.kind, r.n, r.match, r.first) for r in T.patterns(docs, "doc_id", "text").collect()) == want and len(want) > 5
+    for r in docs.select("doc_id", T.redact(F.col("text")).alias("clean")).collect():
+        clean = texts[r.doc_id]
+        for pattern, mark in T.REDACTIONS:
+            clean = re.sub(pattern, mark, clean, flags=re.ASCII) if clean is not None else None
+        assert r.clean == clean
