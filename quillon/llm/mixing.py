@@ -102,9 +102,9 @@ def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
     them). A null source is a source. Rows repeated with one doc_id follow each other by size and text's hash. An empty table gives an empty result.
     """
     columns = docs.columns
-    held = docs.toDF(*[f"c{i}" for i in range(len(columns))])
-    at = {c: F.col(f"c{columns.index(c)}") for c in ("doc_id", "text", "source", "n_chars") if c in columns}
-    rows = keyed(held.select("*", at["doc_id"].alias("doc_id"), at["text"].alias("text"), at["source"].alias("__source")), seed)
+    names = [{"doc_id": "doc_id", "text": "text", "source": "__source"}.get(c, f"c{i}") for i, c in enumerate(columns)]
+    held = docs.toDF(*names)
+    rows = keyed(held, seed)
     narrow = cut(rows.select("__source", "__key", "__size"), "mixing")
     placed_rows = placed(rows, narrow)
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
@@ -115,9 +115,10 @@ def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
     )
     out = placed_rows.withColumn("__whole", F.explode(copies)).withColumn("__text", F.when(F.col("__whole"), F.col("text")).otherwise(first))
     new = {"text": F.col("__text")}
-    if "n_chars" in at:
-        new["n_chars"] = F.when(F.col("__whole"), at["n_chars"]).otherwise(F.length("__text").cast(held.schema[columns.index("n_chars")].dataType))
-    return out.select(*[new.get(c, F.col(f"c{i}")).alias(f"c{i}") for i, c in enumerate(columns)]).toDF(*columns)
+    if "n_chars" in columns:
+        i = columns.index("n_chars")
+        new["n_chars"] = F.when(F.col("__whole"), F.col(names[i])).otherwise(F.length("__text").cast(held.schema[i].dataType))
+    return out.select(*[new.get(c, F.col(n)).alias(f"k{i}") for i, (c, n) in enumerate(zip(columns, names))]).toDF(*columns)
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
