@@ -8,7 +8,7 @@ merge of runs is spread over the cluster by digest, and a text that makes up a t
 and round. An entry's key is the SHA-256 digest with two checks, the byte length and an independent 64-bit hash, so every level
 retains identifiers only of rows whose checks agree too; the texts themselves are not compared.
 
-Digests are computed once and written; what comes after reads the written rows. Groups with more than a HOT-th of all rows, of
+Digests are written; what comes after reads the written rows (the filter that keeps whole rows computes them again). Groups with more than a HOT-th of all rows, of
 which there are HOT at most, are broadcast to the rows; only the others' rows are exchanged to meet their group.
 """
 
@@ -76,9 +76,18 @@ def keep_distinct(docs: DataFrame) -> DataFrame:
     held = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     doc, text = (F.col(f"c{columns.index(c)}") for c in ("doc_id", "text"))
     tie = F.xxhash64(*[F.to_json(F.struct(f"c{i}")) if "map<" in t else F.col(f"c{i}") for i, (_, t) in enumerate(held.dtypes)])
-    marked = cut(held.select("*", doc.alias("doc_id"), *_digests(text), *_numbered(tie)), "digests")
-    stay = merged_runs(marked.select("doc_id", *KEY, "tie", "row", "run")).select(F.col("best.row").alias("row"))
-    return marked.join(stay, "row", "left_semi").select(*[F.col(f"c{i}") for i in range(len(columns))]).toDF(*columns)
+    keyed = cut(held.select(doc.alias("doc_id"), *_digests(text), *_numbered(tie)), "digests")
+    name = ["doc_id", *KEY, "tie"]
+    stay = merged_runs(keyed).select(F.col("best.doc_id").alias("s_doc"), F.col("best.tie").alias("s_tie"), *[F.col(c).alias(f"s_{c}") for c in KEY])
+    # a group's rows differ in doc_id or tie, so a large group is spread; the texts are hashed again rather than written once more
+    marked = held.select("*", doc.alias("doc_id"), *_digests(text), tie.alias("tie"))
+    same = F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("tie") == F.col("s_tie"))
+    for c in KEY:
+        same = same & (F.col(c) == F.col(f"s_{c}"))
+    kept = marked.join(stay, same, "left_semi")
+    if not keyed.groupBy(*name).count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(name)  # rows equal in all columns: one is kept
+    return kept.select(*[F.col(f"c{i}") for i in range(len(columns))]).toDF(*columns)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
