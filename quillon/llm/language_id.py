@@ -266,20 +266,17 @@ def identify(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFra
     return rows.mapInArrow(_predict(shared, with_spans), ", ".join(fields)).toDF(*kept, *new)
 
 
-#: A text is rejected if no language has this share of its letters.
-LEAST = 0.4
-
-
-def keep_identified(docs: DataFrame, least: float = LEAST) -> DataFrame:
+def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text, lang, any others) whose language can be told, with all their columns, whatever these are called.
 
-    Null and empty texts and those without a letter go. Every other text is judged whole, however long; each of several equal rows is
-    judged and kept or not alike. An empty table, and one without a labelled text to learn from, gives an empty result.
+    Null and empty texts and those without a letter go. Every other text is judged whole, however long, and stays, however evenly its
+    languages are mixed; each of several equal rows is judged and kept or not alike. An empty table, and one without a labelled text to
+    learn from, gives an empty result.
     """
     model = train(docs.where(~held_out(F.col("doc_id"))))
     columns = docs.columns
     names = ["text" if c == "text" else f"k{i}" for i, c in enumerate(columns)]
-    found = identify(docs.toDF(*names), model).where(F.col("score") >= least).where("lang_pred <> 'und'")
+    found = identify(docs.toDF(*names), model).where("lang_pred <> 'und'")
     return found.select(*names).toDF(*columns)
 
 

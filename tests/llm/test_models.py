@@ -90,6 +90,16 @@ def test_spans_agree_with_the_prediction(spark):
         assert all(0 <= s.first < s.end <= len(r.text) for s in r.spans) and all(a.end <= b.first for a, b in zip(r.spans, r.spans[1:]))
 
 
+def test_evenly_mixed_texts_stay(spark):
+    words = {"en": "the house with many windows", "de": "das haus mit vielen fenstern", "ru": "дом со многими окнами", "el": "το σπίτι με πολλά παράθυρα"}
+    rows = [(i * 10 + j, t, k, "s") for i in range(12) for j, (k, t) in enumerate(words.items())]
+    mixed = [(1000, " ".join(words.values()), None, "s"), (1001, "12 34", None, "s"), (1002, None, None, "s"), (1003, "", "en", "s")]
+    docs = spark.createDataFrame(rows + mixed, "doc_id long, text string, lang string, source string")
+    assert sorted(r.doc_id for r in language_id.keep_identified(docs).collect()) == sorted([r[0] for r in rows] + [1000])
+    found = language_id.identify(docs.where("doc_id = 1000"), language_id.train(docs)).first()
+    assert found.score < 0.4 and found.n_spans == 4
+
+
 def slots(word):
     keys = ["=" + word] + ["^" + word[:n] for n in (4, 5, 6) if len(word) >= n and word not in toxicity.KIND]
     return [xxhash.xxh3_64_intdigest(k.encode()) % toxicity.SLOTS for k in keys]
