@@ -40,10 +40,12 @@ def normal_cdf(x: Column) -> Column:
 
 def wilcoxon(pairs: DataFrame, by: str) -> DataFrame:
     """by, n, w_plus, p of paired x, y; differences of zero are left out, ties have mid-ranks."""
-    rows = pairs.withColumn("d", F.col("y") - F.col("x")).where("d <> 0").withColumn("a", F.abs("d"))
-    mid = F.rank().over(Window.partitionBy(by).orderBy("a")) + (F.count(F.lit(1)).over(Window.partitionBy(by, "a")) - 1) / 2.0
-    sums = rows.withColumn("r", mid).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"))
-    n = F.col("n")
+    d = F.col("y") - F.col("x")
+    # equal sizes are counted first: a key's task reads one row for each distinct one
+    sizes = pairs.withColumn("d", d).where("d <> 0").groupBy(by, F.abs("d").alias("a")).agg(F.count(F.lit(1)).alias("c"), F.count(F.when(F.col("d") > 0, 1)).alias("up"))
+    upto = F.sum("c").over(Window.partitionBy(by).orderBy("a").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sums = sizes.withColumn("r", upto - (F.col("c") - 1) / 2.0).groupBy(by).agg(F.sum("c").alias("n"), F.sum(F.col("up") * F.col("r")).alias("w_plus"))
+    n = F.col("n").cast("double")  # its cube is beyond 64 bits from some 1.7 million rows a key
     z = (F.col("w_plus") - n * (n + 1) / 4.0) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0)
     return sums.withColumn("p", 2 * normal_cdf(-F.abs(z)))
 

@@ -213,6 +213,27 @@ def test_statistics(spark):
     assert (m.mrr, m.accuracy_at_1, m.recall_at_k) == (0.5, 0.0, 0.5) and 0 < m.ndcg < 1
 
 
+def test_wilcoxon_of_many_rows(spark):
+    n, up = 2_000_000, 1_000_500
+    rows = spark.range(n).selectExpr("'k' k", "0.0D x", f"CASE WHEN id < {up} THEN 1.0D ELSE -1.0D END y")
+    r = evaluation.wilcoxon(rows, "k").first()
+    assert (r.n, r.w_plus) == (n, up * (n + 1) / 2)
+    z = (r.w_plus - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24)
+    assert r.p == pytest.approx(math.erfc(z / math.sqrt(2)), abs=1e-6) and 0.5 < r.p < 0.6
+
+
+def test_wilcoxon_mid_ranks(spark):
+    rows = [(k, float(i * 7 % 5) if i % 11 else None, i * i % 13 / 2) for k, m in (("a", 60), ("b", 7), (None, 40)) for i in range(m)]
+    got = {r.k: r for r in evaluation.wilcoxon(spark.createDataFrame(rows, "k string, x double, y double"), "k").collect()}
+    assert len(got) == 3
+    for k, r in got.items():
+        ds = [y - x for key, x, y in rows if key == k and x is not None and y != x]
+        rank = lambda d: sum(abs(e) < abs(d) for e in ds) + (sum(abs(e) == abs(d) for e in ds) + 1) / 2
+        n, w = len(ds), sum(rank(d) for d in ds if d > 0)
+        z = abs(w - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24)
+        assert (r.n, r.w_plus) == (n, w) and r.p == pytest.approx(math.erfc(z / math.sqrt(2)), abs=1e-6)
+
+
 def drain(query):
     query.processAllAvailable()
     query.stop()
